@@ -1,11 +1,11 @@
 """Reproducible sampling: rank by a seeded hash of a key."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacancia import rules
-from vacancia.operators.ordered import first_k_per_key
+from vacancia.operators.ordered import first_k_per_key, running_totals
 
 
 def hash_rank(seed: int, *keys: str) -> Column:
@@ -93,6 +93,6 @@ def stability_sample(results: DataFrame, n: int, seed: int, *keys: str) -> DataF
 
 
 def stratum_rank(df: DataFrame, stratum: str, seed: int, *keys: str) -> DataFrame:
-    """Random position of every row within its stratum."""
-    w = Window.partitionBy(stratum).orderBy(hash_rank(seed, *keys), *keys)
-    return df.withColumn("rn", F.row_number().over(w))
+    """Random position of every row within its stratum, however large the stratum."""
+    keyed = df.withColumn("__h", hash_rank(seed, *keys))
+    return running_totals(keyed, [stratum], ["__h", *keys], {"rn": F.lit(1)}).drop("__h")
