@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vacancia import rules
 from vacancia.candidate import Profile
+from vacancia.functions.core import let
 from vacancia.functions.text import strip_tags
 
 
@@ -95,10 +96,13 @@ def outside_us(title: Column, text: Column, strict: bool = False) -> Column:
     edge = r"\b" if strict else ""
     def any_of(terms: str) -> str:
         return rf"(?i)\b(?:{terms}){edge}"
-    place = F.coalesce(*[F.nullif(F.get_json_object(text, path), F.lit(""))
-                         for path in ("$.location.name", "$.locationName", "$.city")], F.lit(""))
-    where = F.concat_ws(" ", F.lower(place), F.lower(title), F.lower(text))
-    return where.rlike(any_of(rules.NON_US_TERMS)) & ~where.rlike(any_of(rules.US_TERMS))
+    # Only a JSON object can carry a location field; plain text skips the parser.
+    place = F.when(text.startswith("{"), F.coalesce(
+        *[F.nullif(F.get_json_object(text, path), F.lit(""))
+          for path in ("$.location.name", "$.locationName", "$.city")]))
+    where = F.concat_ws(" ", F.coalesce(place, F.lit("")), title, text)
+    return let(where, lambda w: w.rlike(any_of(rules.NON_US_TERMS))
+               & ~w.rlike(any_of(rules.US_TERMS)))
 
 
 def primary_languages(clean: Column, known: tuple[str, ...]) -> Column:
@@ -107,11 +111,9 @@ def primary_languages(clean: Column, known: tuple[str, ...]) -> Column:
         F.filter(F.split(clean, r"[.;!\n]"), lambda s: s.rlike(rules.PRIMARY_INDICATORS)), "\n")
     lowered = {s.lower() for s in known}
     wanted = [(n, p) for n, p in rules.PRIMARY_LANGUAGES if n not in lowered]
-    # Wrapping in a one-element transform evaluates the sentence filter once.
-    per_text = F.transform(F.array(marked), lambda m: F.array_compact(F.array(*[
+    return let(marked, lambda m: F.array_compact(F.array(*[
         F.when(m.rlike(p), F.lit(f"Primary language: {n} (not in candidate skills)"))
-        for n, p in wanted])))
-    return F.coalesce(F.get(per_text, F.lit(0)), _no_failures())
+        for n, p in wanted]))) if wanted else _no_failures()
 
 
 def security_operations(clean: Column, title_lower: Column) -> Column:
@@ -127,37 +129,40 @@ def clean_text(title: Column, text: Column) -> Column:
     return strip_tags(F.concat_ws(" ", F.lower(title), F.lower(F.coalesce(text, F.lit("")))))
 
 
-def check_hard_constraints(jobs: DataFrame, profile: Profile, title: str = "title",
-                           text: str = "raw_json", strict: bool = False) -> DataFrame:
-    """Add ``passed`` and ``failures`` (distinct messages in rule order).
-
-    Constraint kinds without a rule (visa, graduation) never reject.
-    """
-    t, tl, clean = F.col(title), F.col("__title"), F.col("__clean")
+def hard_constraint_failures(profile: Profile, title: Column, title_lower: Column, text: Column,
+                             clean: Column, strict: bool = False) -> Column:
+    """Distinct failure messages in rule order."""
     parts: list[Column] = []
     for kind, value in profile.hard_constraints:
         if kind == "min_years":
             parts.append(years_failures(clean, int(value)))
         elif kind == "exclude_pattern":
-            parts.append(excluded_terms(tl, value))
+            parts.append(excluded_terms(title_lower, value))
         elif kind == "clearance" and value == "none":
             parts.append(_only_if(clearance_required(clean), "Requires security clearance"))
-    for kind, value in profile.hard_constraints:
-        if kind == "location_us_only" and value == "true":
-            body = F.coalesce(F.col(text), F.lit(""))
-            parts.append(_only_if(outside_us(t, body, strict), "Non-US location"))
+    if "true" in profile.constraints("location_us_only"):
+        parts.append(_only_if(outside_us(title, text, strict), "Non-US location"))
     parts.append(primary_languages(clean, profile.skills))
-    parts.append(_only_if(security_operations(clean, tl),
+    parts.append(_only_if(security_operations(clean, title_lower),
                           "Security operations/admin role, not software engineering"))
-    parts.append(_only_if(security_title(t, tl), F.concat(
-        F.lit("Security role title ("), t, F.lit("), not software engineering"))))
-    return (
-        jobs.withColumn("__title", F.lower(t))
-        .withColumn("__clean", clean_text(t, F.col(text)))
-        .withColumn("failures", F.array_distinct(F.concat(*parts)))
-        .withColumn("passed", F.size("failures") == 0)
-        .drop("__title", "__clean")
-    )
+    parts.append(_only_if(security_title(title, title_lower), F.concat(
+        F.lit("Security role title ("), title, F.lit("), not software engineering"))))
+    return F.array_distinct(F.concat(*parts))
+
+
+def check_hard_constraints(jobs: DataFrame, profile: Profile, title: str = "title",
+                           text: str = "raw_json", strict: bool = False) -> DataFrame:
+    """Add ``passed`` and ``failures`` (distinct messages in rule order).
+
+    Constraint kinds without a rule (visa, graduation) never reject.
+    """
+    failures = let(
+        F.struct(F.col(title).alias("title"), F.lower(title).alias("lower"),
+                 F.coalesce(F.col(text), F.lit("")).alias("text"),
+                 clean_text(F.col(title), F.col(text)).alias("clean")),
+        lambda r: hard_constraint_failures(profile, r["title"], r["lower"], r["text"], r["clean"],
+                                           strict))
+    return jobs.withColumn("failures", failures).withColumn("passed", F.size("failures") == 0)
 
 
 def failure_counts(checked: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def score_hits(hit_rows: DataFrame, terms: list[str], k1: float = rules.BM25_K1,
 
 def bm25(docs: DataFrame, terms: list[str], text: Column, id_col: str = "doc_id",
          k1: float = rules.BM25_K1, b: float = rules.BM25_B,
-         materialize: bool = False) -> DataFrame:
+         materialize: bool = True) -> DataFrame:
     """``(id, bm25_score)`` of the documents that score above zero."""
     rows = query_hits(docs.select(id_col, text.alias("__text")), terms, F.col("__text")) \
         .select(id_col, "doc_len", "hits")

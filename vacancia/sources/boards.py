@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacancia.functions.core import explode_present, let
 from vacancia.functions.text import iso_millis, parse_vendor_time
 from vacancia.functions.urls import (board_fetch_body, board_fetch_method, board_fetch_url,
                                      fix_placeholder_url)
@@ -27,7 +28,7 @@ def _elements(schema: str, field: str) -> Column:
     """Raw JSON texts of the posting array, null when absent or malformed."""
     parsed = F.from_json(F.col("body"), f"{schema}, {_BAD} string",
                          {"columnNameOfCorruptRecord": _BAD})
-    return F.when(parsed[_BAD].isNull(), parsed.getField(field))
+    return let(parsed, lambda p: F.when(p[_BAD].isNull(), p[field]))
 
 
 def _kind(v: Column, path: str) -> Column:
@@ -117,18 +118,15 @@ def _top_level() -> Column:
 
 
 def _ashby_list() -> Column:
-    # A null board is a valid answer with no postings; a missing one is not. The
-    # GraphQL envelope is small, its board may not be: only the envelope's keys
-    # are inspected, the postings are split as text.
-    shell = "data struct<jobBoard:string>"
-    parsed = F.from_json(F.col("body"), f"{shell}, {_BAD} string",
+    # A null board is a valid answer with no postings; a missing one is not.
+    parsed = F.from_json(F.col("body"), f"data string, {_BAD} string",
                          {"columnNameOfCorruptRecord": _BAD})
-    envelope = F.from_json(F.col("body"), "data string")["data"]
-    board = F.when(parsed[_BAD].isNull(), parsed["data"]["jobBoard"])
-    postings = F.from_json(board, "jobPostings array<string>")["jobPostings"]
-    null_board = (parsed[_BAD].isNull() & board.isNull()
-                  & F.array_contains(F.json_object_keys(envelope), "jobBoard"))
-    return F.when(null_board, F.array().cast("array<string>")).otherwise(postings)
+    def postings(data: Column) -> Column:
+        board = F.from_json(data, "jobBoard string")["jobBoard"]
+        listed = F.from_json(board, "jobPostings array<string>")["jobPostings"]
+        empty = board.isNull() & F.array_contains(F.json_object_keys(data), "jobBoard")
+        return F.when(empty, F.array().cast("array<string>")).otherwise(listed)
+    return let(let(parsed, lambda p: F.when(p[_BAD].isNull(), p["data"])), postings)
 
 
 # Registry: how to split a body, what an element must satisfy, how it is named.
@@ -140,44 +138,43 @@ ADAPTERS: dict[str, tuple[Callable, Callable, Callable]] = {
 }
 
 
-def _validated(payloads: DataFrame, ats: str) -> DataFrame:
-    """``payloads`` of one vendor with its split elements and a verdict."""
-    split, ok, _ = ADAPTERS[ats]
-    items = F.transform(F.col("__raw"), lambda r: F.struct(
+def _items(ats: str) -> Column:
+    """Elements of a body as ``array<struct(raw, v)>``, null when unreadable."""
+    return F.transform(ADAPTERS[ats][0](), lambda r: F.struct(
         r.alias("raw"), F.try_parse_json(r).alias("v")))
-    return (
-        payloads.filter(F.col("ats_type") == ats)
-        .withColumn("__raw", split())
-        .withColumn("__items", items)
-        .withColumn("conformant", F.coalesce(
-            F.forall("__items", lambda e: F.coalesce(ok(e["v"]), F.lit(False))), F.lit(False)))
-        .withColumn("reason", F.when(F.col("__raw").isNull(), "unreadable body or missing list")
-                    .when(~F.col("conformant"), "element fails validation"))
-    )
+
+
+def _all_ok(ats: str, items: Column) -> Column:
+    ok = ADAPTERS[ats][1]
+    return F.coalesce(F.forall(items, lambda e: F.coalesce(ok(e["v"]), F.lit(False))), F.lit(False))
+
+
+def _verdict(ats: str) -> Column:
+    return let(_items(ats), lambda xs: F.struct(
+        xs.isNotNull().alias("readable"), _all_ok(ats, xs).alias("ok"), F.size(xs).alias("n")))
 
 
 def payload_conformance(payloads: DataFrame) -> DataFrame:
     """Every payload with ``conformant``, ``reason`` and ``n_postings``."""
-    parts = [
-        _validated(payloads, ats)
-        .withColumn("n_postings", F.when(F.col("conformant"), F.size("__raw")).cast("bigint"))
-        .drop("__raw", "__items")
-        for ats in ADAPTERS
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    verdict = reduce(lambda acc, a: acc.when(F.col("ats_type") == a, _verdict(a)), ADAPTERS, F)
+    v = F.col("__v")
+    return payloads.withColumn("__v", verdict).select(
+        *payloads.columns, v["ok"].alias("conformant"),
+        F.when(~v["readable"], "unreadable body or missing list")
+        .when(~v["ok"], "element fails validation").alias("reason"),
+        F.when(v["ok"], v["n"]).cast("bigint").alias("n_postings"))
 
 
 def normalize_vendor(payloads: DataFrame, ats: str) -> DataFrame:
-    """Canonical postings of one vendor; non-conformant responses yield none."""
-    row = ADAPTERS[ats][2]
+    """Canonical postings of one vendor; non-conformant responses yield none.
+
+    A body is split, validated and exploded in one evaluation.
+    """
     keep = [c for c in payloads.columns if c != "body"]
-    exploded = (
-        _validated(payloads, ats).filter("conformant")
-        .select(*keep, F.explode("__items").alias("__e"))
-    )
-    fields = row(F.col("__e.v"))
-    out = exploded.select(*keep, *[c.alias(n) for n, c in fields.items()],
-                          F.col("__e.raw").alias("raw_json"))
+    valid = let(_items(ats), lambda xs: F.when(_all_ok(ats, xs), xs))
+    rows = explode_present(payloads.filter(F.col("ats_type") == ats), "__e", valid)
+    out = rows.select(*keep, *[c.alias(n) for n, c in ADAPTERS[ats][2](F.col("__e.v")).items()],
+                      F.col("__e.raw").alias("raw_json"))
     return (
         out.withColumn("url", fix_placeholder_url(F.col("url"), F.col("slug")))
         .withColumn("posted_at", parse_vendor_time(F.col("posted_raw")))

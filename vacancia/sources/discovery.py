@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacancia import rules
+from vacancia.functions.core import explode_present, let, with_present
 from vacancia.functions.text import slugify, strip_tags
 from vacancia.functions.urls import (board_api_url, crawl_pattern, extract_urls, parse_board_url,
                                      surt_prefix, surt_vendor)
@@ -43,7 +44,7 @@ def _output(df: DataFrame, name: Column, source_type: Column | str, detail: Colu
 def _exploded(df: DataFrame, text: Column, variant: str) -> DataFrame:
     """One row per board URL found in ``text``."""
     return (
-        df.withColumn("__hit", F.explode(_parsed_urls(text, variant)))
+        explode_present(df, "__hit", _parsed_urls(text, variant))
         .withColumn("pos", F.col("__hit.pos")).withColumn("board", F.col("__hit.board"))
         .drop("__hit")
     )
@@ -53,9 +54,8 @@ def from_markdown(lines: DataFrame) -> DataFrame:
     """Table rows of a markdown list: the first board URL of each line."""
     cell = F.regexp_extract("line", r"\|\s*\[([^\]]+)\]", 1)
     found = (
-        lines.filter(F.col("line").contains("|") & F.col("line").contains("http"))
-        .withColumn("__hit", F.get(_parsed_urls(F.col("line"), "markdown"), F.lit(0)))
-        .filter("__hit is not null")
+        with_present(lines.filter(F.col("line").contains("|") & F.col("line").contains("http")),
+                     "__hit", F.get(_parsed_urls(F.col("line"), "markdown"), F.lit(0)))
         .withColumn("pos", F.lit(0).cast("bigint")).withColumn("board", F.col("__hit.board"))
     )
     return _output(found, F.coalesce(F.nullif(cell, F.lit("")), F.col("board.slug")),
@@ -92,43 +92,49 @@ def from_company_json(docs: DataFrame) -> DataFrame:
     return _output(out, named, "oss_list", F.col("doc"))
 
 
+def _filled(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
+
+def _crawl_entry(e: Column) -> Column:
+    """Board, source and detail of one parsed crawl-index line."""
+    link = F.coalesce(_filled(e["ats_url"]), _filled(e["url"]))
+    explicit = _filled(e["slug"]).isNotNull() & _filled(e["ats_type"]).isNotNull() & link.isNotNull()
+    kind = (F.when(e["source"].startswith("github:"), "github")
+            .when(e["source"] == "common_crawl", "common_crawl").otherwise("oss_list"))
+    listed = F.struct(
+        F.struct(e["ats_type"].alias("ats_type"), e["slug"].alias("slug"), link.alias("ats_url"))
+        .alias("board"),
+        kind.alias("kind"), F.coalesce(_filled(e["source"]), F.lit("discovery")).alias("detail"))
+    plain = let(parse_board_url(e["url"]), lambda b: F.when(b.isNotNull(), F.struct(
+        b.alias("board"), F.lit("common_crawl").alias("kind"),
+        F.coalesce(_filled(e["collection"]), F.lit("CC-MAIN")).alias("detail"))))
+    return F.when(explicit, listed).otherwise(plain)
+
+
 def from_crawl_jsonl(lines: DataFrame) -> DataFrame:
     """Crawl-index lines, either explicit company rows or plain ``{url}`` rows."""
-    e = F.from_json(F.trim("line"), "slug string, ats_type string, ats_url string, "
-                                    "url string, source string, collection string")
-    def given(c):
-        return F.nullif(F.col(f"__e.{c}"), F.lit(""))
-    link = F.coalesce(given("ats_url"), given("url"))
-    explicit = given("slug").isNotNull() & given("ats_type").isNotNull() & link.isNotNull()
-    listed = F.struct(given("ats_type").alias("ats_type"), given("slug").alias("slug"),
-                      link.alias("ats_url"))
-    source = F.col("__e.source")
-    kind = (F.when(~F.col("__explicit"), "common_crawl")
-            .when(source.startswith("github:"), "github")
-            .when(source == "common_crawl", "common_crawl").otherwise("oss_list"))
-    detail = F.when(F.col("__explicit"), F.coalesce(given("source"), F.lit("discovery"))
-                    ).otherwise(F.coalesce(given("collection"), F.lit("CC-MAIN")))
+    parsed = F.from_json(F.trim("line"), "slug string, ats_type string, ats_url string, "
+                                         "url string, source string, collection string")
     found = (
-        lines.withColumn("__e", e)
-        .withColumn("__explicit", explicit)
-        .withColumn("board", F.when(F.col("__explicit"), listed)
-                    .otherwise(parse_board_url(F.col("__e.url"))))
-        .filter("board is not null").withColumn("pos", F.lit(0).cast("bigint"))
+        with_present(lines, "__hit", let(parsed, _crawl_entry))
+        .withColumn("board", F.col("__hit.board")).withColumn("pos", F.lit(0).cast("bigint"))
     )
-    return _output(found, F.col("board.slug"), kind, detail)
+    return _output(found, F.col("board.slug"), F.col("__hit.kind"), F.col("__hit.detail"))
 
 
 def from_cdx(lines: DataFrame) -> DataFrame:
     """CDX lines: the JSON tail carries the URL."""
     tail = F.substr("line", F.instr("line", "{").cast("int"))
+    hit = let(F.from_json(tail, "url string")["url"], lambda u: let(
+        parse_board_url(u), lambda b: F.when(b.isNotNull(), F.struct(u.alias("url"),
+                                                                     b.alias("board")))))
     found = (
-        lines.filter(F.col("line").contains("{"))
-        .withColumn("__url", F.from_json(tail, "url string")["url"])
-        .withColumn("board", parse_board_url(F.col("__url")))
-        .filter("board is not null").withColumn("pos", F.lit(0).cast("bigint"))
+        with_present(lines.filter(F.col("line").contains("{")), "__hit", hit)
+        .withColumn("board", F.col("__hit.board")).withColumn("pos", F.lit(0).cast("bigint"))
     )
     return _output(found, F.col("board.slug"), "common_crawl", F.lit("cc-direct-cdx"),
-                   ats_url=F.col("__url"))
+                   ats_url=F.col("__hit.url"))
 
 
 def cluster_blocks(lines: DataFrame, include_preceding: bool = False) -> DataFrame:
