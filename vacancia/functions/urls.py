@@ -81,8 +81,9 @@ def extract_urls(text: Column, variant: str) -> Column:
 
 def crawl_pattern(url: Column) -> Column:
     """Name of the first crawl wildcard pattern the URL falls under, else null."""
-    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
-    path = F.try_parse_url(url, F.lit("PATH"))
+    # Crawled hosts may hold characters the URL parser rejects (underscores).
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#:]+)", 1))
+    path = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1)
     out = None
     for name, suffix, prefix in rules.CRAWL_PATTERNS:
         host_ok = host.endswith(suffix) if suffix.startswith(".") else host == suffix

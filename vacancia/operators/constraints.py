@@ -18,7 +18,8 @@ from vacancia.functions.text import strip_tags
 
 def title_relevant(title: Column) -> Column:
     """Reject list first, then the accept list."""
-    return ~title.rlike(rules.IRRELEVANT_TITLE) & title.rlike(rules.RELEVANT_TITLE)
+    return ~title.rlike(rules.IRRELEVANT_TITLE) & title.rlike(
+        rules.ascii_words(rules.RELEVANT_TITLE))
 
 
 def software_title_like(title: Column) -> Column:
@@ -95,9 +96,9 @@ def outside_us(title: Column, text: Column, strict: bool = False) -> Column:
     """A non-US term and no US term in the location field, title or text."""
     edge = r"\b" if strict else ""
     def any_of(terms: str) -> str:
-        return rf"(?i)\b(?:{terms}){edge}"
+        return "(?i)" + rules.ascii_words(rf"\b(?:{terms}){edge}")
     # Only a JSON object can carry a location field; plain text skips the parser.
-    place = F.when(text.startswith("{"), F.coalesce(
+    place = F.when(F.ltrim(text).startswith("{"), F.coalesce(
         *[F.nullif(F.get_json_object(text, path), F.lit(""))
           for path in ("$.location.name", "$.locationName", "$.city")]))
     where = F.concat_ws(" ", F.coalesce(place, F.lit("")), title, text)
@@ -108,20 +109,20 @@ def outside_us(title: Column, text: Column, strict: bool = False) -> Column:
 def primary_languages(clean: Column, known: tuple[str, ...]) -> Column:
     """Messages for languages outside ``known`` named in a requirement sentence."""
     marked = F.array_join(
-        F.filter(F.split(clean, r"[.;!\n]"), lambda s: s.rlike(rules.PRIMARY_INDICATORS)), "\n")
+        F.filter(F.split(clean, r"[.;!\n]"), lambda s: s.rlike(rules.ascii_words(rules.PRIMARY_INDICATORS))), "\n")
     lowered = {s.lower() for s in known}
     wanted = [(n, p) for n, p in rules.PRIMARY_LANGUAGES if n not in lowered]
     return let(marked, lambda m: F.array_compact(F.array(*[
-        F.when(m.rlike(p), F.lit(f"Primary language: {n} (not in candidate skills)"))
+        F.when(m.rlike(rules.ascii_words(p)), F.lit(f"Primary language: {n} (not in candidate skills)"))
         for n, p in wanted]))) if wanted else _no_failures()
 
 
 def security_operations(clean: Column, title_lower: Column) -> Column:
-    return clean.rlike(rules.SECURITY_OPERATIONS) & ~title_lower.contains("software")
+    return clean.rlike(rules.ascii_words(rules.SECURITY_OPERATIONS)) & ~title_lower.contains("software")
 
 
 def security_title(title: Column, title_lower: Column) -> Column:
-    return title.rlike(rules.SECURITY_TITLE) & ~title_lower.contains("software")
+    return title.rlike(rules.ascii_words(rules.SECURITY_TITLE)) & ~title_lower.contains("software")
 
 
 def clean_text(title: Column, text: Column) -> Column:

@@ -151,9 +151,9 @@ def skill_overlap(haystack: Column, profile: Profile) -> Column:
 
 def level_match(title_lower: Column, body_lower: Column) -> Column:
     """Title level, overridden by the first years requirement of the description."""
-    base = (F.when(title_lower.rlike(rules.JUNIOR_TITLE), 1.0)
-            .when(title_lower.rlike(rules.SENIOR_TITLE), 0.1)
-            .when(title_lower.rlike(rules.ENGINEER_TITLE), 0.8).otherwise(0.7))
+    base = (F.when(title_lower.rlike(rules.ascii_words(rules.JUNIOR_TITLE)), 1.0)
+            .when(title_lower.rlike(rules.ascii_words(rules.SENIOR_TITLE)), 0.1)
+            .when(title_lower.rlike(rules.ascii_words(rules.ENGINEER_TITLE)), 0.8).otherwise(0.7))
     digits = F.regexp_extract(body_lower, rules.YEARS_REQUIRED, 1)
     years = F.coalesce(digits.try_cast("bigint"), F.lit(99))
     return (F.when(digits == "", base)
@@ -170,7 +170,7 @@ def location_match(location: Column) -> Column:
 
 
 def title_relevance(title_lower: Column) -> Column:
-    return (F.when(title_lower.rlike(rules.SOFTWARE_TITLE), 1.0)
+    return (F.when(title_lower.rlike(rules.ascii_words(rules.SOFTWARE_TITLE)), 1.0)
             .when(title_lower.contains("engineer"), 0.5).otherwise(0.0))
 
 

@@ -5,7 +5,7 @@ import importlib
 
 from vacancia.plans.registry import Query
 
-_MODULES = ("feed",)
+_MODULES = ("health", "matching")
 
 
 def _registries():

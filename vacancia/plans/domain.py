@@ -142,8 +142,18 @@ SELECT doc_id, source AS company_slug, {_title('doc_id', 'n_chars')} AS title,
        CASE WHEN doc_id % 6 = 0 THEN NULL ELSE lang END AS department,
        concat('<p>', {_case('doc_id % 13', PHRASES)}, '</p> ', text) AS description
 FROM {{documents}}""",
+    "labelled_jobs": f"""
+SELECT job_id, title, concat('{{{{"location":{{{{"name":"', coalesce(location, ''), '"}}}},"content":"',
+         {_case('job_id % 13', PHRASES)}, '"}}}}') AS raw_json,
+       job_id % 13 IN (1, 4, 7, 10)
+       AND NOT contains(title, 'Senior') AND NOT contains(title, 'Principal')
+       AND NOT contains(title, 'Security')
+       AND coalesce(location, '') NOT IN ('London, UK', 'Berlin, Germany', 'Toronto, Canada')
+           AS should_pass
+FROM {{jobs}}""",
     "polls": """
-SELECT event_id AS poll_id, user_id AS company_id, CAST(ts AS TIMESTAMP) AS attempted_at,
+SELECT event_id AS poll_id, user_id AS company_id,
+       CAST(date_trunc('millisecond', ts) AS TIMESTAMP) AS attempted_at,
        CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'timeout' ELSE 'success' END
            AS status,
        CASE WHEN event_type = 'signup' THEN NULL WHEN event_type <> 'error' THEN 200
@@ -184,6 +194,104 @@ SELECT o_custkey AS company_id,
        CAST(l_shipdate AS TIMESTAMP) AS first_seen_at, CAST(l_shipdate AS TIMESTAMP) AS updated_at,
        CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey AS seq
 FROM {lineitem} AS l JOIN {orders} AS o ON o.o_orderkey = l.l_orderkey""",
+    "links": """
+SELECT *, CASE n % 9
+         WHEN 0 THEN concat('https://boards.greenhouse.io/', co, '/jobs/', k)
+         WHEN 1 THEN concat('https://jobs.lever.co/', co, '/', k)
+         WHEN 2 THEN concat('https://jobs.ashbyhq.com/', co)
+         WHEN 3 THEN concat('https://apply.workable.com/', co, '/j/', k)
+         WHEN 4 THEN concat('http://', co, '.workable.com/jobs/', k)
+         WHEN 5 THEN 'https://www.workable.com'
+         WHEN 6 THEN concat('https://careers.example.com/', co)
+         WHEN 7 THEN concat('https://boards-api.greenhouse.io/v1/boards/', co, '/jobs')
+         ELSE concat('https://BOARDS.greenhouse.io/', co, '?t=', k) END AS link,
+       CASE n % 4 WHEN 0 THEN concat('https://jobs.lever.co/', co) WHEN 1 THEN
+            concat('https://other.example.com/', k) WHEN 2 THEN
+            concat('https://jobs.ashbyhq.com/', co, '/apply') ELSE
+            concat('https://boards.greenhouse.io/', co) END AS link2
+FROM (SELECT o_orderkey AS n, o_custkey AS company_id, concat('Co_', CAST(o_custkey AS STRING)) AS co,
+             CAST(o_orderkey AS STRING) AS k, o_orderpriority AS doc,
+             CAST(o_orderdate AS TIMESTAMP) AS ts FROM {orders}) AS o""",
+    "list_lines": """
+SELECT doc, n AS line_no, CASE n % 5
+    WHEN 0 THEN concat('| [Firm ', k, '](', link, ') | Oslo | [Apply](', link2, ') |')
+    WHEN 1 THEN concat('| **Firm ', k, '** | Remote | [Apply](', link, ') |')
+    WHEN 2 THEN concat('| <img src=x> Firm ', k, ' | ', link, ' |')
+    WHEN 3 THEN concat('plain text (', link, '). and "', link2, '", end')
+    ELSE concat('no pipe ', link2) END AS line
+FROM {links}""",
+    "json_docs": """
+SELECT k AS doc, CASE n % 6
+    WHEN 4 THEN concat('{"not":"a list ', k, '"}')
+    WHEN 5 THEN '[{"slug":'
+    ELSE concat('[{"name":"Firm ', k, '","slug":"', co, '","ats_type":"', CASE n % 3 WHEN 0
+        THEN 'lever' WHEN 1 THEN 'ashby' ELSE 'taleo' END, '","ats_url":"', link,
+        '"},{"slug":"x', co, '","ats_type":"greenhouse","ats_url":"', link2,
+        '"},{"slug":"","ats_type":"lever","ats_url":"u"},{"slug":"y","ats_type":"lever"}]')
+    END AS text
+FROM {links}""",
+    "crawl_jsonl": """
+SELECT doc, n AS line_no, CASE n % 7
+    WHEN 0 THEN concat('{"url":"', link, '","slug":"', co, '","ats_type":"lever","source":"github:list"}')
+    WHEN 1 THEN concat('{"ats_url":"', link2, '","url":"', link, '","slug":"', co,
+                       '","ats_type":"ashby","source":"common_crawl"}')
+    WHEN 2 THEN concat('{"url":"', link, '","slug":"', co, '","ats_type":"workable"}')
+    WHEN 3 THEN concat('  {"url":"', link, '","collection":"CC-X"} ')
+    WHEN 4 THEN concat('{"url":"', link, '"}')
+    WHEN 5 THEN concat('{"url":"', link)
+    ELSE '' END AS line
+FROM {links}""",
+    "cdx_lines": """
+SELECT doc, n AS line_no, CASE n % 5
+    WHEN 0 THEN concat('io,greenhouse) 2024 no json ', k)
+    WHEN 1 THEN concat('io,greenhouse) 2024 {"url": "', link)
+    ELSE concat('key) 20240102 {"url": "', link, '", "status": "200", "page": ', CAST(n % 3 AS STRING), '}')
+    END AS line
+FROM {links}""",
+    "index_lines": """
+SELECT doc, n AS line_no, concat(CASE n % 7 WHEN 0 THEN 'io,greenhouse,boards)/' WHEN 1 THEN
+    'com,ashbyhq,jobs)/' WHEN 2 THEN 'com,workable,apply)/' WHEN 3 THEN 'co,lever,jobs)/'
+    WHEN 4 THEN 'com,example)/' WHEN 5 THEN 'aa,first)/' ELSE 'io,zzz)/' END, co, ' 2024',
+    chr(9), 'cdx-', CAST(n % 20 AS STRING), '.gz', CASE WHEN n % 11 = 0 THEN '' ELSE
+    concat(chr(9), CAST(n * 1000 AS STRING), chr(9), CAST(500 + n % 77 AS STRING), chr(9), '1') END)
+    AS line
+FROM {links}""",
+    "threads": """
+SELECT c_custkey AS thread_id, CASE c_custkey % 4 WHEN 0 THEN 'Ask: Who is HIRING? (May)'
+    WHEN 1 THEN 'Ask: Who wants to be hired?' WHEN 2 THEN 'Who is hiring vs who wants work'
+    ELSE 'Ask: who is hiring?' END AS title,
+    TIMESTAMP '2024-06-01 00:00:00' - (c_custkey % 500) * INTERVAL '1' DAY AS created_at
+FROM {customer}""",
+    "comments": """
+SELECT company_id AS thread_id, n AS comment_no, CASE n % 3
+    WHEN 0 THEN concat('<p>We hire, see <a href="', link, '">', link, '</a>.')
+    WHEN 1 THEN concat('Apply at ', link2, '). Or ', link, '`, thanks')
+    ELSE '<i>nothing</i>' END AS comment_html
+FROM {links}""",
+    "directory": """
+SELECT c_custkey AS record_no, c_name AS name,
+       CASE WHEN c_custkey % 2 = 0 THEN replace(c_name, '#', '-') ELSE c_name END AS slug,
+       CASE c_custkey % 3 WHEN 0 THEN concat('https://jobs.lever.co/', co) WHEN 1 THEN ''
+            ELSE concat('https://', co, '.example.com') END AS website,
+       CASE WHEN c_custkey % 4 = 0 THEN concat('See https://jobs.ashbyhq.com/', co, '.') END
+           AS long_description,
+       CASE WHEN c_custkey % 5 = 0 THEN concat('(https://boards.greenhouse.io/', co, ')') ELSE 'x'
+           END AS one_liner,
+       CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_mktsegment END AS batch
+FROM (SELECT *, concat('Co_', CAST(c_custkey AS STRING)) AS co FROM {customer}) AS c""",
+    "probe_answers": """
+SELECT lower(replace(replace(c_name, '#', ''), 'x', '')) AS slug, ats_type,
+       CASE WHEN c_custkey % 7 = 0 THEN 404 ELSE 200 END AS status_code,
+       CASE ats_type WHEN 'greenhouse' THEN CASE c_custkey % 3 WHEN 0 THEN '{"jobs":[]}'
+                     WHEN 1 THEN '{"error":1}' ELSE 'oops' END
+            ELSE CASE c_custkey % 4 WHEN 0 THEN '[]' WHEN 1 THEN '[{"id":"a"}]'
+                 WHEN 2 THEN '{"ok":false}' ELSE '' END END AS body
+FROM {customer} CROSS JOIN (SELECT 'greenhouse' AS ats_type UNION ALL SELECT 'lever') AS v""",
+    "fragments": """
+SELECT concat(CASE n % 3 WHEN 0 THEN 'boards.greenhouse.io' WHEN 1 THEN 'jobs.lever.co' ELSE
+       'jobs.ashbyhq.com' END, ' in:file language:', doc) AS query, n AS fragment_no,
+       concat('x = "', link, '", y: `', link2, '`') AS text
+FROM {links}""",
     "results": """
 SELECT concat('run-', CAST(doc_id % 3 AS STRING)) AS run_id,
        TIMESTAMP '2024-03-01 00:00:00' + (doc_id % 3) * INTERVAL '1' DAY AS run_ts,

@@ -3,6 +3,8 @@
 Everything here is a published rule that results depend on; the logic that
 applies it lives in ``functions`` and ``operators``.
 """
+import re
+import re
 
 # --- vendors (fixed values) ---
 VENDORS = ("greenhouse", "lever", "ashby", "workable")
@@ -70,6 +72,18 @@ SOFTWARE_TITLE_LIKE = (
     "%ML %", "%Machine Learning%", "%DevOps%", "%SRE%", "%Platform%",
 )
 
+
+
+def ascii_words(pattern: str) -> str:
+    """Spell ``\\b`` as ASCII word edges, whatever the runtime's Unicode rules are.
+
+    Every edge here touches a word character, so a leading one is "no word
+    character before" and a trailing one "none after".
+    """
+    leading = re.sub(r"\\b(?=[(a-z])", lambda _: r"(?<!\w)", pattern)
+    return leading.replace(r"\b", r"(?!\w)")
+
+
 # --- hard constraints (fixed values) ---
 # Words that, near "N years", mark it as a requirement.
 YEARS_ANCHOR = (
@@ -98,7 +112,7 @@ US_TERMS = (
 )
 
 PRIMARY_LANGUAGES = (
-    ("go", r"\b(?:golang|go\b(?!od))"),
+    ("go", r"\b(?:golang|go\b)"),
     ("rust", r"\brust\b"),
     ("scala", r"\bscala\b"),
     ("c#", r"\bc#|\.net\b|dotnet"),
