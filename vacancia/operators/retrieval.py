@@ -45,9 +45,10 @@ def query_hits(docs: DataFrame, terms: list[str], text: Column) -> DataFrame:
 
 def corpus_stats(hit_rows: DataFrame, terms: list[str]) -> DataFrame:
     """One row: documents, mean length and document frequency per query term."""
+    found = F.col("hits.term")
     df = F.map_from_arrays(
         F.array(*[F.lit(t) for t in terms]),
-        F.array(*[F.count_if(F.exists("hits", lambda h, t=t: h["term"] == t)) for t in terms]))
+        F.array(*[F.count_if(F.array_contains(found, t)) for t in terms]))
     return hit_rows.agg(F.count(F.lit(1)).alias("n_docs"),
                         F.avg("doc_len").alias("avg_len"), df.alias("df"))
 

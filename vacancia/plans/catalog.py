@@ -5,7 +5,7 @@ import importlib
 
 from vacancia.plans.registry import Query
 
-_MODULES = ("health", "matching")
+_MODULES = ("matching", "evaluation")
 
 
 def _registries():

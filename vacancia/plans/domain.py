@@ -143,9 +143,9 @@ SELECT doc_id, source AS company_slug, {_title('doc_id', 'n_chars')} AS title,
        concat('<p>', {_case('doc_id % 13', PHRASES)}, '</p> ', text) AS description
 FROM {{documents}}""",
     "labelled_jobs": f"""
-SELECT job_id, title, concat('{{{{"location":{{{{"name":"', coalesce(location, ''), '"}}}},"content":"',
-         {_case('job_id % 13', PHRASES)}, '"}}}}') AS raw_json,
-       job_id % 13 IN (1, 4, 7, 10)
+SELECT job_id, title, concat('{{"location":{{"name":"', coalesce(location, ''), '"}},"content":"',
+         {_case('job_id % 13', PHRASES)}, '"}}') AS raw_json,
+       (job_id % 13 IN (1, 4, 7, 10) OR (job_id % 13 = 9 AND contains(title, 'Software')))
        AND NOT contains(title, 'Senior') AND NOT contains(title, 'Principal')
        AND NOT contains(title, 'Security')
        AND coalesce(location, '') NOT IN ('London, UK', 'Berlin, Germany', 'Toronto, Canada')
@@ -341,12 +341,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table."""
+def view(spark: SparkSession, sf_dir: str, name: str,
+         given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A derived table; ``given`` replaces named inputs (a stream for a table)."""
+    if given and name in given:
+        return given[name]
     if name in TABLES:
         return table(spark, sf_dir, name)
     sql = DOMAIN[name]
-    deps = {n: view(spark, sf_dir, n) for n in _names(sql)}
+    deps = {n: view(spark, sf_dir, n, given) for n in _names(sql)}
     return spark.sql(_escape(sql, deps), **deps)
 
 
