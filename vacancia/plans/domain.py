@@ -318,7 +318,7 @@ SELECT concat(source, '/Role ', CAST(doc_id * 17 % 60 AS STRING)) AS key,
            AS verdict,
        concat('rationale ', CAST(doc_id AS STRING)) AS rationale,
        CASE WHEN doc_id % 4 = 0 THEN 'model-v0' ELSE 'model-v1' END AS labeler_id,
-       TIMESTAMP '2024-03-02 00:00:00' + doc_id * INTERVAL '1' MINUTE AS labeled_at
+       TIMESTAMP '2024-03-02 00:00:00' + doc_id * INTERVAL '13' MINUTE AS labeled_at
 FROM {documents}""",
     "probes": """
 SELECT CASE user_id % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' ELSE 'ashby' END AS ats_type,
