@@ -28,9 +28,12 @@ def truncate(text: Column, limit: int) -> Column:
 
 
 def tokenize(text: Column) -> Column:
-    """Lower-cased tokens of two or more characters out of ``[a-z0-9+#./-]``."""
-    clean = F.regexp_replace(strip_tags(F.lower(text)), r"[^a-z0-9+#./-]", " ")
-    return F.filter(F.split(clean, r"\s+"), lambda t: F.length(t) > 1)
+    """Lower-cased tokens of two or more characters out of ``[a-z0-9+#./-]``.
+
+    Taking the tokens out in one pass is several times faster than blanking
+    every other character and splitting.
+    """
+    return F.regexp_extract_all(strip_tags(F.lower(text)), F.lit(r"[a-z0-9+#./-]{2,}"), F.lit(0))
 
 
 def tokenize_literal(text: str) -> list[str]:

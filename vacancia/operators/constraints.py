@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vacancia import rules
 from vacancia.candidate import Profile
-from vacancia.functions.core import let
+from vacancia.functions.core import let, with_present
 from vacancia.functions.text import strip_tags
 
 
@@ -89,7 +89,8 @@ def excluded_terms(title_lower: Column, value: str) -> Column:
 
 
 def clearance_required(clean: Column) -> Column:
-    return clean.rlike(rules.CLEARANCE)
+    # The pattern must end in one of two words; most texts have neither.
+    return (clean.contains("clearance") | clean.contains("security")) & clean.rlike(rules.CLEARANCE)
 
 
 def outside_us(title: Column, text: Column, strict: bool = False) -> Column:
@@ -107,14 +108,21 @@ def outside_us(title: Column, text: Column, strict: bool = False) -> Column:
 
 
 def primary_languages(clean: Column, known: tuple[str, ...]) -> Column:
-    """Messages for languages outside ``known`` named in a requirement sentence."""
+    """Messages for languages outside ``known`` named in a requirement sentence.
+
+    One pattern over the whole text decides whether sentences are looked at.
+    """
     marked = F.array_join(
         F.filter(F.split(clean, r"[.;!\n]"), lambda s: s.rlike(rules.ascii_words(rules.PRIMARY_INDICATORS))), "\n")
     lowered = {s.lower() for s in known}
     wanted = [(n, p) for n, p in rules.PRIMARY_LANGUAGES if n not in lowered]
-    return let(marked, lambda m: F.array_compact(F.array(*[
+    if not wanted:
+        return _no_failures()
+    mentioned = clean.rlike(rules.LANGUAGE_MENTION)
+    named = let(marked, lambda m: F.array_compact(F.array(*[
         F.when(m.rlike(rules.ascii_words(p)), F.lit(f"Primary language: {n} (not in candidate skills)"))
-        for n, p in wanted]))) if wanted else _no_failures()
+        for n, p in wanted])))
+    return F.when(mentioned, named).otherwise(_no_failures())
 
 
 def security_operations(clean: Column, title_lower: Column) -> Column:
@@ -151,21 +159,32 @@ def hard_constraint_failures(profile: Profile, title: Column, title_lower: Colum
     return F.array_distinct(F.concat(*parts))
 
 
+def _failures_of(profile: Profile, title: str, text: str, strict: bool) -> Column:
+    return let(
+        F.struct(F.col(title).alias("title"), F.lower(title).alias("lower"),
+                 F.coalesce(F.col(text), F.lit("")).alias("text"),
+                 clean_text(F.col(title), F.col(text)).alias("clean")),
+        lambda r: hard_constraint_failures(profile, r["title"], r["lower"], r["text"], r["clean"],
+                                           strict))
+
+
 def check_hard_constraints(jobs: DataFrame, profile: Profile, title: str = "title",
                            text: str = "raw_json", strict: bool = False) -> DataFrame:
     """Add ``passed`` and ``failures`` (distinct messages in rule order).
 
     Constraint kinds without a rule (visa, graduation) never reject.
     """
-    failures = let(
-        F.struct(F.col(title).alias("title"), F.lower(title).alias("lower"),
-                 F.coalesce(F.col(text), F.lit("")).alias("text"),
-                 clean_text(F.col(title), F.col(text)).alias("clean")),
-        lambda r: hard_constraint_failures(profile, r["title"], r["lower"], r["text"], r["clean"],
-                                           strict))
+    failures = _failures_of(profile, title, text, strict)
     return jobs.withColumn("failures", failures).withColumn("passed", F.size("failures") == 0)
 
 
+def eligible(jobs: DataFrame, profile: Profile, title: str = "title", text: str = "raw_json",
+             strict: bool = False) -> DataFrame:
+    """The rows that no hard constraint rejects, the rules being run once per row."""
+    clear = F.when(F.size(_failures_of(profile, title, text, strict)) == 0, True)
+    return with_present(jobs, "__clear", clear).drop("__clear")
+
+
 def failure_counts(checked: DataFrame) -> DataFrame:
     """How often each failure message occurs."""
     return checked.select(F.explode("failures").alias("failure")).groupBy("failure").agg(

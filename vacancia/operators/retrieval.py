@@ -13,7 +13,7 @@ from vacancia import rules
 from vacancia.candidate import Profile, expand_query
 from vacancia.functions.scoring import idf, saturated_tf
 from vacancia.functions.text import strip_tags, tokenize, tokenize_literal
-from vacancia.operators.constraints import check_hard_constraints
+from vacancia.operators.constraints import eligible
 from vacancia.operators.ordered import first_k_per_key
 from vacancia.session import reliable
 
@@ -214,9 +214,9 @@ def retrieve_and_rerank(jobs: DataFrame, profile: Profile, k: int = 200, n: int
     frequencies are taken over the eligible postings only.
     """
     terms = terms or expand_query(profile)
-    eligible = check_hard_constraints(jobs, profile, text=text).filter("passed")
+    allowed = eligible(jobs, profile, text=text)
     words = search_text(F.col("title"), F.col("location"), F.col("department"), F.col(body))
-    narrow = with_features(query_hits(eligible, terms, words), profile, body).select(
+    narrow = with_features(query_hits(allowed, terms, words), profile, body).select(
         id_col, *keep, "doc_len", "hits", *FEATURES)
     if materialize:
         narrow = reliable(narrow)

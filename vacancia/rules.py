@@ -91,7 +91,8 @@ YEARS_ANCHOR = (
     "|industry|background|coding|programming|career|building)"
 )
 YEARS_TAIL = r"(?:\s+of\s+[^.;\n]{0,80}?" + YEARS_ANCHOR + r"|\s+" + YEARS_ANCHOR + ")"
-NOT_AFTER_RANGE = r"(?<!\d\s{0,8}[-–]\s{0,8})"
+# The digit test comes first: the look-behind is costly and only matters there.
+NOT_AFTER_RANGE = r"(?=\d)(?<!\d\s{0,8}[-–]\s{0,8})"
 YEARS_RANGE = r"(\d+)\s*[-–]\s*(\d+)\s*(?:years?|yrs?)" + YEARS_TAIL
 YEARS_ANCHORED = NOT_AFTER_RANGE + r"(\d+)\+?\s*(?:years?|yrs?)" + YEARS_TAIL
 YEARS_MINIMUM = r"(?:minimum|at least|require[sd]?)\s+(\d+)\s*(?:years?|yrs?)"
@@ -123,6 +124,11 @@ PRIMARY_LANGUAGES = (
     ("elixir", r"\belixir\b"),
     ("erlang", r"\berlang\b"),
 )
+# Any of them, as one pattern: decides whether sentences need to be looked at.
+LANGUAGE_MENTION = (
+    r"(?<!\w)(?:golang|(?:go|rust|scala|swift|ruby|php|kotlin|elixir|erlang)(?!\w)|c#)"
+    r"|\.net(?!\w)|dotnet"
+)
 PRIMARY_INDICATORS = (
     r"(?:build|maintain|develop|write|using|proficien|expert|strong|require|must|primary|core)\b"
 )

@@ -51,3 +51,14 @@ def reliable(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a table that has fewer splits than the session has cores.
+
+    A small single-row-group file would run a text-heavy plan on one core. A
+    large table has more splits than cores and is returned as it is, so no
+    shuffle is added at scale. ``scan`` must be a plain file scan.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
