@@ -84,6 +84,20 @@ def upsert_jobs(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
     return merged.select(*JOB_KEY, "row.*", "first_seen_at", "is_new")
 
 
+def upsert_jobs_delta(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """``upsert_jobs`` for a small increment over a large table.
+
+    Rows whose key is not in the increment pass through untouched. When the
+    increment's keys fit the broadcast limit (measured at run time) the large
+    side is filtered in place and never shuffled; it is read twice instead.
+    """
+    keys = incoming.select(*JOB_KEY).distinct()
+    columns = [c for c in incoming.columns if c != "seq"]
+    kept = existing.select(*columns).join(keys, JOB_KEY, "left_anti").withColumn("is_new", F.lit(False))
+    merged = upsert_jobs(existing.select(*columns).join(keys, JOB_KEY, "left_semi"), incoming)
+    return merged.unionByName(kept)
+
+
 def rows_added(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: how many rows a repeated run added (0 when idempotent)."""
     n = lambda df, sign: df.agg(F.count(F.lit(1)).alias("n")).select((F.col("n") * sign).alias("n"))

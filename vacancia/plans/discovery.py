@@ -189,7 +189,7 @@ _BLOCKS = f""", blocks AS (SELECT doc, p[1] AS surt, p[2] AS shard, CAST(p[3] AS
 
 
 @discovery.add("s15_cluster_blocks", ctes("index_lines") + _BLOCKS + """
-SELECT surt_prefix, count(*) AS blocks, sum(length) AS bytes, sum("offset") AS offsets
+SELECT surt_prefix, count(*) AS blocks, CAST(sum(length) AS BIGINT) AS bytes, CAST(sum("offset") AS BIGINT) AS offsets
 FROM direct GROUP BY surt_prefix""")
 def _(spark, sf):
     return src.cluster_blocks(view(spark, sf, "index_lines")).groupBy("surt_prefix").agg(
@@ -349,7 +349,9 @@ def _(spark, sf):
  r AS (SELECT pattern, count(DISTINCT page) AS pages, count(*) AS lines, sum(length(line)) AS bytes
    FROM l GROUP BY pattern),
  t AS (SELECT r.*, coalesce(new_slugs, 0) AS new_slugs FROM r LEFT JOIN f USING (pattern))
-SELECT * FROM t UNION ALL SELECT 'TOTAL', sum(pages), sum(lines), sum(bytes), sum(new_slugs) FROM t""")
+SELECT pattern, pages, lines, CAST(bytes AS BIGINT) AS bytes, new_slugs FROM t UNION ALL SELECT 'TOTAL',
+ CAST(sum(pages) AS BIGINT), CAST(sum(lines) AS BIGINT), CAST(sum(bytes) AS BIGINT),
+ CAST(sum(new_slugs) AS BIGINT) FROM t""")
 def _(spark, sf):
     lines = view(spark, sf, "cdx_lines").filter(F.col("line").contains("{"))
     tail = F.substr("line", F.instr("line", "{").cast("int"))

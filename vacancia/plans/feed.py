@@ -114,7 +114,7 @@ def _(spark, sf):
 
 
 @feed.add("s1_landing_payloads", ctes("payloads") + """
-SELECT ats_type, count(*) AS n, sum(length(body)) AS chars,
+SELECT ats_type, count(*) AS n, CAST(sum(length(body)) AS BIGINT) AS chars,
        count(*) FILTER (WHERE status_code = 200) AS ok FROM payloads GROUP BY ats_type""")
 def _(spark, sf):
     path = scratch(spark, "landing")
@@ -236,6 +236,14 @@ def _(spark, sf):
         ms("first_seen_at"), "is_new")
 
 
+@feed.add("u2_upsert_jobs_delta", feed.oracles["u2_upsert_jobs"])
+def _(spark, sf):
+    old, new = _snapshots(spark, sf)
+    return upsert.upsert_jobs_delta(old, new).select(
+        "company_id", "external_id", "title", "url", "location", "department", ms("updated_at"),
+        ms("first_seen_at"), "is_new")
+
+
 @feed.add("u9_repost_separation", ctes("jobs") + """
 SELECT company_id, title, count(DISTINCT external_id) AS postings FROM jobs
 GROUP BY company_id, title HAVING count(DISTINCT external_id) > 1""")
@@ -336,7 +344,7 @@ def _(spark, sf):
 
 
 @feed.add("u3_append_poll_log", ctes("polls") + """
-SELECT status, 2 * count(*) AS n, 2 * sum(latency_ms) AS latency FROM polls GROUP BY status""")
+SELECT status, 2 * count(*) AS n, CAST(2 * sum(latency_ms) AS BIGINT) AS latency FROM polls GROUP BY status""")
 def _(spark, sf):
     path, polls = scratch(spark, "polls"), view(spark, sf, "polls")
     for _ in range(2):

@@ -80,7 +80,7 @@ _ISLANDS = """, n AS (SELECT *, sum(CASE WHEN status = 'success' THEN 1 ELSE 0 E
 
 
 @health.add("w1_failure_streaks", ctes("polls") + _ISLANDS + """
-SELECT company_id, streak_no, epoch_ms(started_at) AS started_at_ms, epoch_ms(ended_at) AS
+SELECT company_id, CAST(streak_no AS BIGINT) AS streak_no, epoch_ms(started_at) AS started_at_ms, epoch_ms(ended_at) AS
  ended_at_ms, failures, epoch_ms(disabled_at) AS disabled_at_ms FROM islands""")
 def _(spark, sf):
     return ops.failure_streaks(view(spark, sf, "polls")).select(
@@ -325,7 +325,7 @@ def _(spark, sf):
 
 @health.add("a15_poll_report", ctes("companies", "polls") + """
 SELECT ats_type, count(*) FILTER (WHERE status = 'success') AS ok,
-  count(*) FILTER (WHERE status <> 'success') AS fail, coalesce(sum(jobs_found), 0) AS jobs
+  count(*) FILTER (WHERE status <> 'success') AS fail, CAST(coalesce(sum(jobs_found), 0) AS BIGINT) AS jobs
 FROM polls JOIN companies USING (company_id) GROUP BY ats_type""")
 def _(spark, sf):
     return mon.poll_report(view(spark, sf, "polls"), view(spark, sf, "companies"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from vacancia.operators import ratecontrol
 from vacancia.plans.domain import ctes, view
 from vacancia.plans.feed import _CONFORM, _normal_sql, VENDOR_SQL
-from vacancia.plans.matching import PROFILE
+from vacancia.plans.health import health
+from vacancia.plans.matching import _REL, _RERANK, PROFILE
 from vacancia.plans.registry import Registry, ms, scratch
 from vacancia.streaming import ingest, matching, rates, state
 from vacancia.streaming.tables import read_last
@@ -106,7 +107,9 @@ def _(spark, sf):
         spark.conf.set(key, before)
 
 
-@streams.add("st4_aimd")
+@streams.add("st4_aimd", f"""SELECT ats_type, current_concurrent, ceiling_concurrent, current_interval_ms,
+  ceiling_interval_ms, clean_window, current_concurrent AS batch_concurrent,
+  current_interval_ms AS batch_interval_ms FROM ({health.oracles['w6_aimd_replay']})""")
 def _(spark, sf):
     """Controller state a stream leaves, next to the batch replay's (must agree)."""
     base = scratch(spark, "aimd")
@@ -129,7 +132,17 @@ def _scorer(frame: pd.DataFrame) -> pd.DataFrame:
                          "latency_ms": 1000.0, "error": None})
 
 
-@streams.add("st5_matching_loop")
+_LOOP = _RERANK.replace("LIMIT 50)", "LIMIT 30)")
+
+
+@streams.add("st5_matching_loop", ctes("postings") + _LOOP + f"""
+, gate AS (SELECT b.*, company_slug, url, {_REL} AS relevant FROM best b JOIN (SELECT doc_id, company_slug,
+   url FROM postings) USING (doc_id)),
+ nb AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) % 20 AS i FROM gate WHERE relevant)
+SELECT company_slug, title, url, CAST(50 + i AS DOUBLE) AS score, CASE WHEN 50 + i >= 65 THEN 'push'
+  ELSE 'digest' END AS band, 'fixed answer' AS reasoning FROM nb UNION ALL
+SELECT company_slug, title, url, 0.0, 'skip', concat('Title "', title, '" not SWE-relevant')
+FROM gate WHERE NOT relevant""")
 def _(spark, sf):
     """One matching tick per trigger over the postings; reads the stored run."""
     base = scratch(spark, "matching")
