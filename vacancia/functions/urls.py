@@ -1,10 +1,13 @@
 """Column expressions over URLs: vendor detection, request building, extraction."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vacancia import rules
+from vacancia.functions.core import let
 
 
 def board_api_url(ats: Column, slug: Column) -> Column:
@@ -20,12 +23,24 @@ def board_api_url(ats: Column, slug: Column) -> Column:
 def parse_board_url(url: Column) -> Column:
     """``struct(ats_type, slug, ats_url)`` of the first matching pattern, else null.
 
-    Each pattern is evaluated once; the array is at most one entry per pattern.
+    A pattern runs only on text that contains its literal, so the many URLs that
+    are no board cost a few substring searches.
     """
+    return let(F.lower(url), _first_board)
+
+
+def mentions_board(text: Column) -> Column:
+    """Cheap pre-filter: some vendor host occurs in the text."""
+    lowered = F.lower(text)
+    return reduce(lambda a, b: a | b, [lowered.contains(h) for h in rules.BOARD_HOSTS])
+
+
+def _first_board(lowered: Column) -> Column:
     hits = F.array(*[
         F.struct(F.lit(ats).alias("ats_type"),
-                 F.lower(F.regexp_extract(url, pattern, 1)).alias("slug"))
-        for ats, pattern in rules.BOARD_URL_PATTERNS
+                 F.when(lowered.contains(literal), F.regexp_extract(lowered, pattern, 1))
+                 .otherwise("").alias("slug"))
+        for ats, literal, pattern in rules.BOARD_URL_PATTERNS
     ])
     named = F.transform(
         F.filter(hits, lambda h: h["slug"] != ""),

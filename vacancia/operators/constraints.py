@@ -126,7 +126,10 @@ def primary_languages(clean: Column, known: tuple[str, ...]) -> Column:
 
 
 def security_operations(clean: Column, title_lower: Column) -> Column:
-    return clean.rlike(rules.ascii_words(rules.SECURITY_OPERATIONS)) & ~title_lower.contains("software")
+    possible = reduce(lambda a, b: a | b,
+                      [clean.contains(w) for w in rules.SECURITY_OPERATIONS_WORDS])
+    return (~title_lower.contains("software") & possible
+            & clean.rlike(rules.ascii_words(rules.SECURITY_OPERATIONS)))
 
 
 def security_title(title: Column, title_lower: Column) -> Column:

@@ -18,6 +18,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 
+# Derived tables whose rows are long texts to be parsed.
+TEXT_HEAVY = ("links", "payloads")
+
+
 def _case(selector: str, values: list[str | None]) -> str:
     arms = " ".join(f"WHEN {i} THEN {'NULL' if v is None else repr_sql(v)}"
                     for i, v in enumerate(values))
@@ -351,6 +355,8 @@ def view(spark: SparkSession, sf_dir: str, name: str,
         return table(spark, sf_dir, name)
     sql = DOMAIN[name]
     deps = {n: view(spark, sf_dir, n, given) for n in _names(sql)}
+    if name in TEXT_HEAVY and not given:
+        deps = {n: spread(d) if n in TABLES else d for n, d in deps.items()}
     return spark.sql(_escape(sql, deps), **deps)
 
 

@@ -11,13 +11,16 @@ VENDORS = ("greenhouse", "lever", "ashby", "workable")
 
 # Board URL patterns in the order they are tried; group 1 is the company slug.
 # The sub-domain form is anchored so that "apply" and "www" are never slugs.
+# Patterns apply to lower-cased text; the literal is what each one must contain.
 BOARD_URL_PATTERNS = (
-    ("greenhouse", r"(?i)boards\.greenhouse\.io/([a-z0-9_-]+)"),
-    ("lever", r"(?i)jobs\.lever\.co/([a-z0-9_-]+)"),
-    ("ashby", r"(?i)jobs\.ashbyhq\.com/([a-z0-9_-]+)"),
-    ("workable", r"(?i)apply\.workable\.com/([a-z0-9_-]+)"),
-    ("workable", r"(?i)(?:^|[^a-z0-9_-])(?!(?:apply|www)\.)([a-z0-9_-]+)\.workable\.com"),
+    ("greenhouse", "boards.greenhouse.io/", r"boards\.greenhouse\.io/([a-z0-9_-]+)"),
+    ("lever", "jobs.lever.co/", r"jobs\.lever\.co/([a-z0-9_-]+)"),
+    ("ashby", "jobs.ashbyhq.com/", r"jobs\.ashbyhq\.com/([a-z0-9_-]+)"),
+    ("workable", "apply.workable.com/", r"apply\.workable\.com/([a-z0-9_-]+)"),
+    ("workable", ".workable.com",
+     r"(?:^|[^a-z0-9_-])(?!(?:apply|www)\.)([a-z0-9_-]+)\.workable\.com"),
 )
+BOARD_HOSTS = ("greenhouse.io", "lever.co", "ashbyhq.com", "workable.com")
 
 GREENHOUSE_API = "https://boards-api.greenhouse.io/v1/boards/"
 LEVER_API = "https://api.lever.co/v0/postings/"
@@ -138,6 +141,9 @@ SECURITY_OPERATIONS = (
     r"|penetration.?test|red.?team|blue.?team|security.?admin|it.?security"
     r"|information.?security.?(?:officer|analyst)|grc\b)"
 )
+# Every alternative above contains one of these.
+SECURITY_OPERATIONS_WORDS = ("vulnerability", "security", "soc", "compliance", "sast",
+                             "devsecops", "penetration", "team", "grc")
 SECURITY_TITLE = (
     r"(?i)\b(?:application\s+security|product\s+security|infrastructure\s+security"
     r"|cloud\s+security|cybersecurity)\s+(?:engineer|analyst|specialist|architect)\b"

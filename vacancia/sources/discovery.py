@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from vacancia import rules
 from vacancia.functions.core import explode_present, let, with_present
 from vacancia.functions.text import slugify, strip_tags
-from vacancia.functions.urls import (board_api_url, crawl_pattern, extract_urls, parse_board_url,
-                                     surt_prefix, surt_vendor)
+from vacancia.functions.urls import (board_api_url, crawl_pattern, extract_urls, mentions_board,
+                                     parse_board_url, surt_prefix, surt_vendor)
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def from_markdown(lines: DataFrame) -> DataFrame:
     """Table rows of a markdown list: the first board URL of each line."""
     cell = F.regexp_extract("line", r"\|\s*\[([^\]]+)\]", 1)
     found = (
-        with_present(lines.filter(F.col("line").contains("|") & F.col("line").contains("http")),
+        with_present(lines.filter(F.col("line").contains("|") & mentions_board(F.col("line"))),
                      "__hit", F.get(_parsed_urls(F.col("line"), "markdown"), F.lit(0)))
         .withColumn("pos", F.lit(0).cast("bigint")).withColumn("board", F.col("__hit.board"))
     )
@@ -66,14 +66,14 @@ def from_readme(lines: DataFrame) -> DataFrame:
     """Every board URL of a README, named after the first table cell of its line."""
     cell = F.trim(F.regexp_extract(
         "line", r"\|\s*(?:\*\*)?(?:<img[^>]*>)?\s*\[?([^\]|*<\n]+)", 1))
-    found = _exploded(lines.filter(F.col("line").contains("http")), F.col("line"), "text")
+    found = _exploded(lines.filter(mentions_board(F.col("line"))), F.col("line"), "text")
     return _output(found, F.coalesce(F.nullif(cell, F.lit("")), F.col("board.slug")),
                    "oss_list", F.col("doc"))
 
 
 def from_url_list(lines: DataFrame) -> DataFrame:
     """URLs anywhere in plain text."""
-    found = _exploded(lines.filter(F.col("line").contains("http")), F.col("line"), "list")
+    found = _exploded(lines.filter(mentions_board(F.col("line"))), F.col("line"), "list")
     return _output(found, F.col("board.slug"), "oss_list", F.col("doc"))
 
 
@@ -186,7 +186,7 @@ def from_threads(threads: DataFrame, comments: DataFrame, now: Column,
     lines = kept.select(F.col("thread_id").cast("string").alias("doc"),
                         F.col("comment_no").cast("bigint").alias("line_no"),
                         strip_tags(F.col("comment_html")).alias("line"))
-    found = _exploded(lines.filter(F.col("line").contains("http")), F.col("line"), "thread")
+    found = _exploded(lines.filter(mentions_board(F.col("line"))), F.col("line"), "thread")
     return _output(found, F.col("board.slug"), "hn",
                    F.concat(F.lit("whos-hiring:"), F.col("doc")))
 
@@ -197,7 +197,7 @@ def from_directory(directory: DataFrame) -> DataFrame:
                               for c in ("website", "long_description", "one_liner")])
     rows = directory.select("name", "batch", F.lit("directory").alias("doc"),
                             F.col("record_no").cast("bigint").alias("line_no"), text.alias("line"))
-    found = _exploded(rows.filter(F.col("line").contains("http")), F.col("line"), "text")
+    found = _exploded(rows.filter(mentions_board(F.col("line"))), F.col("line"), "text")
     batch = F.coalesce(F.nullif("batch", F.lit("")), F.lit("unknown"))
     return _output(found, F.col("name"), "yc", F.concat(F.lit("yc:"), batch))
 
@@ -237,7 +237,7 @@ def from_fragments(fragments: DataFrame) -> DataFrame:
     lines = fragments.select(F.split("query", " ")[0].alias("doc"),
                              F.col("fragment_no").cast("bigint").alias("line_no"),
                              F.col("text").alias("line"))
-    found = _exploded(lines.filter(F.col("line").contains("http")), F.col("line"), "text")
+    found = _exploded(lines.filter(mentions_board(F.col("line"))), F.col("line"), "text")
     return _output(found, F.col("board.slug"), "github",
                    F.concat(F.lit("code-search:"), F.col("doc")))
 
