@@ -84,6 +84,15 @@ def test_upsert_is_idempotent_and_ignores_partitioning(spark):
     assert sets[0] == sets[1] == sets[2]
 
 
+def test_delta_upsert_equals_the_full_one(spark):
+    old = spark.createDataFrame([(i, "a", f"o{i}", ts(1), ts(3)) for i in range(20)], JOB)
+    new = spark.createDataFrame([(i, "a", f"n{i}", ts(4), ts(2 + i % 4)) for i in range(15, 25)], JOB)
+    cols = ["company_id", "external_id", "title", "first_seen_at", "updated_at", "is_new"]
+    rows = [sorted(map(tuple, f(old, new).select(*cols).collect()))
+            for f in (upsert.upsert_jobs, upsert.upsert_jobs_delta)]
+    assert rows[0] == rows[1]
+
+
 def test_reposts_stay_separate(spark):
     new = spark.createDataFrame([(1, "ORIG", "Same", ts(1), ts(1)), (1, "AGAIN", "Same", ts(2), ts(2))], JOB)
     assert upsert.upsert_jobs(None, new).count() == 2

@@ -144,6 +144,17 @@ def test_transitions_compose_from_any_state():
         assert (gc, gi, left) == (c, i, w)
 
 
+@pytest.mark.parametrize("k", [3, 250])
+def test_first_k_per_key(polls, k):
+    df, rows = polls
+    got = {}
+    for r in ordered.first_k_per_key(df, ["company_id"], [F.desc("latency_ms"), F.asc("poll_id")], k).collect():
+        got.setdefault(r.company_id, {})[r.rn] = r.poll_id
+    for company, items in by_company(rows).items():
+        want = [r[0] for r in sorted(items, key=lambda r: (-r[5], r[0]))][:k]
+        assert [got[company][i + 1] for i in range(len(want))] == want and len(got[company]) == len(want)
+
+
 def test_recovery_windows(spark):
     seconds = [0, 599, 600, 1199, 1200, 3600, 14400, 15001, 86400, 86999, 87000, 172800, 173400]
     df = spark.createDataFrame([(float(s),) for s in seconds], "s double")

@@ -175,17 +175,18 @@ def check_hard_constraints(jobs: DataFrame, profile: Profile, title: str = "titl
                            text: str = "raw_json", strict: bool = False) -> DataFrame:
     """Add ``passed`` and ``failures`` (distinct messages in rule order).
 
-    Constraint kinds without a rule (visa, graduation) never reject.
+    Constraint kinds without a rule (visa, graduation) never reject. Filters on
+    the added columns stay above the rules, which run once per row.
     """
     failures = _failures_of(profile, title, text, strict)
-    return jobs.withColumn("failures", failures).withColumn("passed", F.size("failures") == 0)
+    return with_present(jobs, "failures", failures).withColumn("passed", F.size("failures") == 0)
 
 
 def eligible(jobs: DataFrame, profile: Profile, title: str = "title", text: str = "raw_json",
              strict: bool = False) -> DataFrame:
-    """The rows that no hard constraint rejects, the rules being run once per row."""
-    clear = F.when(F.size(_failures_of(profile, title, text, strict)) == 0, True)
-    return with_present(jobs, "__clear", clear).drop("__clear")
+    """The rows that no hard constraint rejects."""
+    return check_hard_constraints(jobs, profile, title, text, strict).filter("passed") \
+        .drop("passed", "failures")
 
 
 def failure_counts(checked: DataFrame) -> DataFrame:

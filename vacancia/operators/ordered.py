@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vacancia.session import reliable
 
 CHUNK = "__chunk"
+_DIRECT_K, _CUT_GROUPS = 100, 64
 
 
 def ordered_chunks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -95,7 +96,17 @@ def first_k_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int,
     """The first ``k`` rows per key.
 
     The rank filter is pushed below the shuffle (window group limit), so each
-    task ships at most ``k`` rows per key however hot the key is.
+    task ships at most ``k`` rows per key however hot the key is. For a larger
+    ``k`` many tasks could still send a hot key more than one task should rank,
+    so the rows are first cut within groups of tasks.
     """
+    cut = df
+    if k > _DIRECT_K:
+        group = Window.partitionBy(*keys, "__group").orderBy(*order)
+        cut = (
+            df.withColumn("__group", F.pmod(F.spark_partition_id(), F.lit(_CUT_GROUPS)))
+            .withColumn("__first", F.row_number().over(group)).filter(F.col("__first") <= k)
+            .drop("__group", "__first")
+        )
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    return cut.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)

@@ -12,6 +12,8 @@ _RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Per-key limits up to this rank are applied before the shuffle.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
 
