@@ -3,8 +3,11 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 
+import vacancia
+
 # Runtime settings only: cluster sizing (executors, memory, shuffle partitions)
 # belongs to the job that owns the session.
 _RUNTIME = {
@@ -18,7 +21,12 @@ _RUNTIME = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Set the runtime options every operator assumes (UTC, AQE, skew joins)."""
+    """Set the runtime options every operator assumes (UTC, AQE, skew joins).
+
+    The package's few Python functions travel by value, so executors need no
+    installed copy of it.
+    """
+    register_pickle_by_value(vacancia)
     for key, value in _RUNTIME.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
