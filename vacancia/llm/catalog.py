@@ -44,6 +44,43 @@ FROM b
 """
 
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                  sha1(coalesce(html, '')) AS payload_digest FROM pages),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN last END AS refers_to
+FROM r
+"""
+
+OP2_SQL = None
+
+
+@llm.add("op1_warc_round_trip", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is read back from the archives that it was written to."""
+    from vacancia.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+@llm.add("op2_secret_scan", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: fixed patterns and random-looking runs."""
+    from vacancia.llm.secrets import secret_spans
+
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
+@llm.add("op5_pfair_mix")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's blocks and slots in the mix, with their windows."""
+    from vacancia.llm.mixing import schedule
+
+    return schedule(table(spark, sf_dir, "documents"))
+
+
 @llm.add("op6_quality_cascade", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's word statistics and the cascade's verdict."""
@@ -52,6 +89,25 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+@llm.add("op7_byte_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids and decoded bytes, as digests."""
+    import public_tokenizers
+
+    from vacancia.llm.bpe import encoding_digests
+
+    return encoding_digests(table(spark, sf_dir, "documents"),
+                            public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@llm.add("op8_simhash_components")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash and the smallest id it is linked to."""
+    from vacancia.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def _pipeline():
     return importlib.import_module("corpus_pipeline")
 
