@@ -12,11 +12,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from vacancia.llm.texts import whole
+from vacancia.llm.texts import map_texts, whole
 
 #: Texts longer than this are cut; a piece may be longer where no cut is safe.
 PIECE_CHARS = 50_000
@@ -81,7 +79,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     not shipped). Null and empty texts have no ids and decode to no bytes; null
     ids and repeated rows are carried along.
     """
-    return _per_document(docs, ranks_path, pattern, text, doc_id, "ids array<int>, decoded binary",
+    return _per_document(docs, ranks_path, pattern, text, doc_id, {"ids": "array<int>", "decoded": "binary"},
                          lambda ids, raw: (ids.astype(np.int32), raw))
 
 
@@ -89,25 +87,21 @@ def encoding_digests(docs: DataFrame, ranks_path: str, pattern: str, text: str =
                      doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of ``encode_documents``, without its arrays."""
     return _per_document(
-        docs, ranks_path, pattern, text, doc_id, "n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+        docs, ranks_path, pattern, text, doc_id,
+        {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
         lambda ids, raw: (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest()))
 
 
-def _per_document(docs: DataFrame, ranks_path: str, pattern: str, text: str, doc_id: str, fields: str,
+def _per_document(docs: DataFrame, ranks_path: str, pattern: str, text: str, doc_id: str, fields: dict[str, str],
                   shape) -> DataFrame:
-    names = [f.split()[0] for f in fields.split(", ")]
-    kind = dict(docs.select(docs[doc_id]).dtypes)[doc_id]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute():
         enc = encoding(ranks_path, pattern)
-        for batch in batches:
+
+        def each(texts: list[str]) -> list[tuple]:
             out = []
-            for t in batch["t"]:
+            for t in texts:
                 ids = encode(enc, t)
                 out.append(shape(np.array(ids, "<u4"), enc.decode_bytes(ids)))
-            found = pd.DataFrame(out, columns=names)
-            found.insert(0, "doc_id", batch["doc_id"])
-            yield found
-
-    rows = docs.select(docs[doc_id].alias("doc_id"), whole(docs[text]).alias("t"))
-    return rows.mapInPandas(run, f"doc_id {kind}, {fields}")
+            return out
+        return each
+    return map_texts(docs.select(docs[doc_id].alias("doc_id"), whole(docs[text]).alias("t")), "t", compute, fields)

@@ -73,6 +73,25 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+@llm.add("op3_packed_token_files")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and digest, from the packed files that it was written to."""
+    import public_tokenizers
+
+    from vacancia.llm.tokenfile import token_file_round_trip
+
+    return token_file_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
+                                 vocabulary=49_408, end_id=2)
+
+
+@llm.add("op4_scaled_sketches")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sketch, that of its edited text, and their likeness."""
+    from vacancia.llm.fingerprints import fingerprint_report
+
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 @llm.add("op5_pfair_mix")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's blocks and slots in the mix, with their windows."""
@@ -108,6 +127,22 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@llm.add("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language."""
+    from vacancia.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@llm.add("op10_paragraph_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs that repeat across documents, with the document whose copy stays."""
+    from vacancia.llm.paragraphs import repeated_paragraphs
+
+    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def _pipeline():
     return importlib.import_module("corpus_pipeline")
 

@@ -35,3 +35,28 @@ def own_columns(df: DataFrame, *names: str) -> list[str]:
         taken.add(free)
         out.append(free)
     return out
+
+
+def map_texts(rows: DataFrame, column: str, compute, fields: dict[str, str]) -> DataFrame:
+    """``rows`` with ``column`` replaced by ``fields`` (name to type).
+
+    ``compute`` is called once a task and gives a function from a list of texts
+    to a list of tuples. The other columns pass through as Arrow, so nulls and
+    large integers stay what they are.
+    """
+    kept = [c for c in rows.columns if c != column]
+    types = dict(rows.dtypes)
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(),
+                 "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+        each = compute()
+        for batch in batches:
+            made = each(batch.column(column).to_pylist())
+            columns = [batch.column(c) for c in kept]
+            columns += [pa.array([m[i] for m in made], kinds[t]) for i, t in enumerate(fields.values())]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, *fields])
+    schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + [f"{n} {t}" for n, t in fields.items()])
+    return rows.mapInArrow(run, schema)
