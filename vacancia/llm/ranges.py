@@ -20,7 +20,10 @@ def id_bounds(df: DataFrame, key: str, ranges: int) -> list[int]:
     ranges = max(1, min(ranges, MOST_RANGES))
     cuts = [k / ranges for k in range(1, ranges)] or [1.0]
     row = df.agg(F.percentile_approx(key, cuts, max(10_000, 20 * ranges)).alias("q"), F.max(key).alias("top")).first()
-    return sorted({*(row["q"] or []), row["top"]} - {None})
+    # Quantiles pass through doubles; the largest key of each stretch is exact.
+    near = sorted({*(row["q"] or []), row["top"]} - {None})
+    tops = df.filter(F.col(key).isNotNull()).groupBy(range_number(F.col(key), near).alias("n")).agg(F.max(key).alias("top"))
+    return sorted(r["top"] for r in tops.collect())
 
 
 def range_number(key: Column, bounds: list[int]) -> Column:
@@ -32,8 +35,8 @@ def range_number(key: Column, bounds: list[int]) -> Column:
         return F.lit(0)
     width = math.isqrt(len(bounds) - 1) + 1
     groups = [bounds[i: i + width] for i in range(0, len(bounds), width)]
-    tops = F.array(*[F.lit(g[-1]) for g in groups[:-1]]) if len(groups) > 1 else F.array().cast("array<bigint>")
-    nested = F.array(*[F.array(*[F.lit(b) for b in g]) for g in groups])
+    tops = F.array(*[F.lit(g[-1]).cast("long") for g in groups[:-1]]) if len(groups) > 1 else F.array().cast("array<bigint>")
+    nested = F.array(*[F.array(*[F.lit(b).cast("long") for b in g]) for g in groups])
 
     def below(values: Column) -> Column:
         return F.size(F.filter(values, lambda b: b < key))

@@ -84,6 +84,10 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)).otherwise(none)
 
 
+def _of_kind(found: Column, kind: int) -> Column:
+    return F.transform(found, lambda x: F.struct(x["start"], F.lit(kind).alias("kind"), x["end"]))
+
+
 def base_spans(text: Column) -> Column:
     """``array<struct<start, kind, end>>`` of the fixed kinds, by start, then kind as listed."""
     every = []
@@ -91,7 +95,7 @@ def base_spans(text: Column) -> Column:
         # A run of one character class is maximal, so asking for its least length gives the same runs.
         fast = pattern[:-1] + "{%d,}" % least if rank == 2 else pattern
         kept = F.filter(matches(text, fast, group), lambda x: F.length(x["part"]) >= least)
-        every.append(F.transform(kept, lambda x, r=rank: F.struct(x["start"], F.lit(r).alias("kind"), x["end"])))
+        every.append(_of_kind(kept, rank))
     return F.sort_array(F.concat(*every))
 
 
@@ -172,8 +176,7 @@ def all_spans(text: Column, threshold: int) -> Column:
     def added(base: Column) -> Column:
         new = F.filter(candidates(text), lambda x: (x["bits"] >= threshold) & x["random"] & ~F.exists(
             base, lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
-        return F.sort_array(F.concat(base, F.transform(new, lambda x: F.struct(
-            x["start"], F.lit(len(KINDS)).alias("kind"), x["end"]))))
+        return F.sort_array(F.concat(base, _of_kind(new, len(KINDS))))
     return let(base_spans(text), added)
 
 
