@@ -4,49 +4,59 @@ import pytest
 from vacancia.candidate import Profile
 from vacancia.operators.constraints import check_hard_constraints, enforcement
 
+LIMIT = 4
 PROFILE = Profile(
-    name="t", hard_constraints=(
-        ("visa", "any"), ("min_years", "3"),
-        ("exclude_pattern", "director|principal|staff engineer|vp of|head of|senior"),
-        ("location_us_only", "true")),
-    strong=("typescript", "react", "python", "node", "postgresql"), working=("java", "redis"))
-
-CASES = [
-    # years
-    ("Platform Engineer", "You have 8+ years of professional experience", False),
-    ("Platform Engineer", "3-5 years of relevant experience wanted", False),
-    ("Platform Engineer", "4-6 years of full-stack product engineering background", False),
-    ("Platform Engineer", "6 years of backend work building platforms", False),
-    ("Platform Engineer", "at least 4 years in teams", False),
-    ("Platform Engineer", "0-3 years experience is fine", True),
-    ("Platform Engineer", "1-2 years of professional experience", True),
-    ("Platform Engineer", "2+ years experience", True),
-    ("Platform Engineer", "A firm with 60 years of tradition. 1-2 years of experience.", True),
-    # titles
-    ("Director of Platforms", "Lead people", False),
-    ("VP of Data", "Executive", False),
-    ("Staff Engineer, Storage", "Own storage", False),
-    ("Head of Tools", "Own tools", False),
-    ("Senior Developer", "Write code", False),
-    ("Associate Developer", "Entry level", True),
-    # languages
-    ("Backend Developer", "Build services using Golang; be proficient in Go", False),
-    ("Backend Developer", "Strong Rust needed. We write it daily", False),
-    ("Backend Developer", "Build with React and Node.js; Python is a plus", True),
-    ("Backend Developer", "We like goats. You maintain services", True),
-    # security roles
-    ("Security Operations Analyst", "soc shifts", False),
-    ("Application Security Engineer", "Threat modelling", False),
-    ("Cloud Security Architect", "Design", False),
-    ("Software Engineer, Security", "Build features in TypeScript", True),
-    ("Software Engineer - Application Security Tools", "Internal tools", True),
-    # places
-    ("Developer", '{"location":{"name":"London, UK"}}', False),
-    ("Developer, EMEA", "Based in Paris", False),
-    ("Developer", '{"location":{"name":"Remote (US)"}}', True),
-    ("Developer", '{"location":{"name":"Boston, MA"}}', True),
-    ("Developer", '{"city":"Toronto"}', False),
-]
+    name="t", hard_constraints=(("visa", "any"), ("min_years", str(LIMIT)), ("exclude_pattern", "lead|manager|head of"),
+                                ("location_us_only", "true")),
+    strong=("python", "scala"), working=("kubernetes",))
+
+GAPS = ("", " ", " " * 8, " " * 9, " " * 30, "<b> </b>" * 6)
+ANCHORS = ("experience", "professional", "relevant", "engineering", "coding", "career")
+
+
+def years_cases():
+    """Each requirement form with numbers around the limit, each dash and gaps of any length."""
+    for n in (LIMIT - 1, LIMIT, LIMIT + 1):
+        fits = n < LIMIT
+        for anchor in ANCHORS:
+            yield f"{n} years {anchor}", fits
+            yield f"{n}+ yrs of mixed {anchor}", fits
+        for opening in ("minimum", "at least", "requires"):
+            yield f"{opening} {n} years", fits
+        yield f"{n}+ years", fits
+        yield f"{n} years, in a firm", True
+        for gap in GAPS:
+            for dash in "-–":
+                yield f"{n}{gap}{dash}{gap}{n + 3} years of coding", fits
+
+
+def language_cases():
+    for opening in ("develop {} daily, {} all day", "{} required. write {}"):
+        for name, known in (("rust", False), ("scala", True)):
+            yield opening.format(name, name), known
+    yield "the gopher is our mascot", True
+
+
+def place_cases():
+    for place in ("London", "Berlin", "Toronto", "Tokyo", "EMEA"):
+        yield f"office in {place}", False
+        yield f"office in {place} or remote in the United States", True
+    for place in ("Boston", "Seattle", "remote, US", "Oslo"):
+        yield f"office in {place}", True
+
+
+def title_cases():
+    for term in ("lead", "manager", "head of"):
+        yield f"{term.title()} things", False
+    for area in ("application", "product", "cloud"):
+        for role in ("engineer", "architect"):
+            yield f"{area} security {role}", False
+            yield f"software, {area} security {role}", True
+    yield "developer", True
+
+
+CASES = ([("developer", text, fits) for cases in (years_cases, language_cases, place_cases) for text, fits in cases()]
+         + [(title, "text", fits) for title, fits in title_cases()])
 
 
 @pytest.fixture(scope="module")
@@ -67,10 +77,10 @@ def test_enforcement(checked):
 
 def test_messages_are_distinct_and_ordered(spark):
     df = spark.createDataFrame(
-        [("Senior Dev", "5+ years of experience. 5+ years of experience. Write rust daily")],
+        [("Team Lead", "6+ years of coding. 6+ years of coding. Write rust and develop rust")],
         "title string, raw_json string")
     assert check_hard_constraints(df, PROFILE).first().failures == [
-        "Requires 5+ years experience (max 2)", 'Title contains excluded term: "senior"',
+        "Requires 6+ years experience (max 3)", 'Title contains excluded term: "lead"',
         "Primary language: rust (not in candidate skills)"]
 
 

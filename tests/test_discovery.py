@@ -66,3 +66,26 @@ def test_exposition_escapes_labels(spark):
     out = {r.line for r in monitoring.exposition(df, {"m": "Help."}).collect()}
     assert out == {"# HELP vacancia_m Help.", "# TYPE vacancia_m gauge", "vacancia_m 0.5",
                    'vacancia_m{k="a\\"b\\\\c"} 2'}
+
+
+def test_line_order_does_not_depend_on_the_splits(spark, tmp_path):
+    """One file read whole and in many splits gives the same first rows."""
+    from vacancia.operators.dedup import dedup_first
+    from vacancia.sources.landing import read_lines
+
+    (tmp_path / "list.txt").write_text("".join(f"{i % 97},{'x' * (i % 11)}\n" for i in range(4000)))
+    key, key_cost = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    before, found = (spark.conf.get(key), spark.conf.get(key_cost)), []
+    try:
+        for size in ("128m", "900b", "333b"):
+            spark.conf.set(key, size)
+            spark.conf.set(key_cost, "1b")
+            lines = read_lines(spark, f"{tmp_path}/list.txt")
+            assert lines.select("line_no").distinct().count() == 4000
+            keyed = lines.selectExpr("split(line, ',')[0] ats_type", "'s' slug", "doc", "line_no", "0 pos", "line")
+            found.append(sorted((r.ats_type, r.line) for r in dedup_first(keyed).collect()))
+    finally:
+        spark.conf.set(key, before[0])
+        spark.conf.set(key_cost, before[1])
+    assert found[0] == found[1] == found[2]
+    assert found[0] == sorted((str(i), f"{i},{'x' * (i % 11)}") for i in range(97))

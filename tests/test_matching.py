@@ -93,8 +93,8 @@ def test_batches_and_prompts(spark):
     assert sorted((r.batch_id, r.job_no) for r in b.collect()) == [(0, 1), (0, 2), (1, 1), (1, 2), (2, 1)]
     p = {r.batch_id: r for r in qualify.build_prompts(b, "PRE").collect()}
     assert p[0].n_jobs == 2 and p[2].n_jobs == 1
-    assert p[0].prompt.startswith("PRE\n\n## Job Postings (2 jobs to evaluate)\n\n### Job 1\nTitle: Engineer 0")
-    assert "Department: Not specified" in p[0].prompt
+    assert p[0].prompt.startswith("PRE\n\nPostings: 2\n\n<posting n=\"1\">\nEngineer 0 | ")
+    assert " | -\n" in p[0].prompt
 
 
 def test_decode_failure_modes(spark):

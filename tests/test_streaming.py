@@ -106,14 +106,33 @@ def test_ingest_stream_is_idempotent(spark, tmp_path):
     assert {r.status: r["count"] for r in log} == {"success": 2, "error": 2}
 
 
-def test_duplicates_within_watermark(spark, tmp_path):
-    spark.sql("""select 1L company_id, cast(id % 3 as string) external_id, 'x' raw_json,
-        timestamp_seconds(1700000000 + id) fetched_at from range(30)""").write.parquet(f"{tmp_path}/in")
-    src = spark.readStream.schema("company_id bigint, external_id string, raw_json string, fetched_at timestamp"
-                                  ).parquet(f"{tmp_path}/in")
-    rates.once_per_posting(src).writeStream.format("parquet").option("path", f"{tmp_path}/o").option(
-        "checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/o").count() == 3
+@pytest.mark.parametrize("batches", [1, 4])
+def test_unsorted_history_loses_nothing(spark, tmp_path, batches):
+    """Rows in falling time order over several micro-batches: every posting, window and lag is counted."""
+    rows = spark.sql("""select id % 40 company_id, cast(id % 7 as string) external_id, cast(id % 3 as string) raw_json,
+        timestamp_seconds(1700000000 - id * 977) fetched_at, timestamp_seconds(1700000000 - id * 977) first_seen_at,
+        timestamp_seconds(1699990000 - id * 990) ats_posted_at from range(2000)""")
+    for b in range(batches):
+        rows.filter(f"int((unix_seconds(fetched_at) - 1600000000) / 977) % {batches} = {b}").coalesce(1).write.parquet(
+            f"{tmp_path}/in/f{b}")
+    def source():
+        return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option(
+            "recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+    for _ in range(2):       # a second start finds nothing new
+        rates.once_per_posting_stream(source(), f"{tmp_path}/o", f"{tmp_path}/c", True).awaitTermination()
+        rates.counting_stream(source(), rates.lag_counts, f"{tmp_path}/n", f"{tmp_path}/cn", True).awaitTermination()
+    once = rates.once_per_posting(spark, f"{tmp_path}/o", schema)
+    keys = ["company_id", "external_id", "raw_json"]
+    assert once.count() == rows.select(*keys).distinct().count() == once.select(*keys).distinct().count()
+    counts = rates.folded(spark, f"{tmp_path}/n", "window_start timestamp, window_end timestamp, lag_ms bigint")
+    got = {r.window_start: (r.n, r.p50_ms, r.p95_ms) for r in rates.freshness(counts).collect()}
+    want = {}
+    for r in rows.selectExpr("date_trunc('day', first_seen_at) d",
+                             "unix_millis(first_seen_at) - unix_millis(ats_posted_at) lag").collect():
+        want.setdefault(r.d, []).append(r.lag)
+    rank = lambda xs, p: sorted(xs)[max(0, -(-len(xs) * p // 100) - 1)]
+    assert got == {d: (len(x), rank(x, 50), rank(x, 95)) for d, x in want.items()}
 
 
 def test_matching_tick_gate(spark):

@@ -53,7 +53,8 @@ def _range_bounds(clean: Column) -> Column:
 def _single_years(clean: Column) -> Column:
     """Years of the non-range requirement forms, in form order."""
     forms = (rules.YEARS_ANCHORED, rules.YEARS_MINIMUM, rules.YEARS_PLUS)
-    found = F.concat(*[F.regexp_extract_all(clean, F.lit(p), F.lit(1)) for p in forms])
+    tight = F.regexp_replace(clean, rules.RANGE_GAP, "$1-")
+    found = let(tight, lambda t: F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in forms]))
     return F.transform(found, _number)
 
 

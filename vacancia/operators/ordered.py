@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from vacancia.session import reliable
 
 CHUNK = "__chunk"
-_DIRECT_K, _CUT_GROUPS = 100, 64
 
 
 def ordered_chunks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -65,16 +64,16 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
 
 
 def order_statistics(df: DataFrame, keys: list[str], value: str,
-                     picks: dict[str, tuple[str, float]]) -> DataFrame:
+                     picks: dict[str, tuple[str, float]], weight: str | None = None) -> DataFrame:
     """Exact percentiles per key under a named index rule.
 
     ``picks`` maps an output name to ``(rule, p)``: rule ``floor`` takes the
     0-based index floor(n*p), rule ``nearest`` takes max(0, ceil(n*p) - 1).
     Equal values are counted map-side first, so what is ordered is the number
-    of distinct values, not of rows.
+    of distinct values, not of rows. ``weight`` names a column of row counts.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("__n"))
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("__n"))
     ranked = running_totals(counts, keys, [value], {"__cum": F.col("__n")})
     sizes = counts.groupBy(*keys).agg(F.sum("__n").alias("__size"))
     if keys:
@@ -95,18 +94,17 @@ def first_k_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int,
                     rank: str = "rn") -> DataFrame:
     """The first ``k`` rows per key.
 
-    The rank filter is pushed below the shuffle (window group limit), so each
-    task ships at most ``k`` rows per key however hot the key is. For a larger
-    ``k`` many tasks could still send a hot key more than one task should rank,
-    so the rows are first cut within groups of tasks.
+    The rows of a key are first cut within groups of tasks, as many as the
+    session has shuffle partitions, so a hot key is ranked by all of them and
+    the last step gets at most ``k`` rows of it from each. Where the session's
+    window group limit allows it, the filter is also pushed below the shuffle.
     """
-    cut = df
-    if k > _DIRECT_K:
-        group = Window.partitionBy(*keys, "__group").orderBy(*order)
-        cut = (
-            df.withColumn("__group", F.pmod(F.spark_partition_id(), F.lit(_CUT_GROUPS)))
-            .withColumn("__first", F.row_number().over(group)).filter(F.col("__first") <= k)
-            .drop("__group", "__first")
-        )
+    groups = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = Window.partitionBy(*keys, "__group").orderBy(*order)
+    cut = (
+        df.withColumn("__group", F.pmod(F.spark_partition_id(), F.lit(groups)))
+        .withColumn("__first", F.row_number().over(group)).filter(F.col("__first") <= k)
+        .drop("__group", "__first")
+    )
     w = Window.partitionBy(*keys).orderBy(*order)
     return cut.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)

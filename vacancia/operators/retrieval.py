@@ -217,9 +217,12 @@ def retrieve_and_rerank(jobs: DataFrame, profile: Profile, k: int = 200, n: int
     allowed = eligible(jobs, profile, text=text)
     words = search_text(F.col("title"), F.col("location"), F.col("department"), F.col(body))
     narrow = with_features(query_hits(allowed, terms, words), profile, body).select(
-        id_col, *keep, "doc_len", "hits", *FEATURES)
+        id_col, "doc_len", "hits", *FEATURES)
     if materialize:
         narrow = reliable(narrow)
     best = top_k(score_hits(narrow, terms), k, id_col)
-    return with_combined(best).drop("hits", "doc_len") \
-        .orderBy(F.desc("combined"), F.desc("bm25_score"), F.asc(id_col)).limit(n)
+    order = (F.desc("combined"), F.desc("bm25_score"), F.asc(id_col))
+    chosen = with_combined(best).drop("hits", "doc_len").orderBy(*order).limit(n)
+    # Only the winners fetch their texts; the corpus itself is never written out.
+    return (chosen.join(jobs.select(id_col, *keep), id_col)
+            .select(id_col, *keep, *FEATURES, "bm25_score", "combined").orderBy(*order))

@@ -9,8 +9,8 @@ from vacancia.operators.ordered import first_k_per_key, running_totals
 
 
 def hash_rank(seed: int, *keys: str) -> Column:
-    """Order-free random key: the same seed and row always give the same place."""
-    return F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
+    """Order-free random key that any engine can compute: the MD5 of seed and keys as text."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
 def uniform_sample(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:

@@ -39,20 +39,15 @@ ROLES = ["Software Engineer", "Backend Developer", "Data Analyst", "Sales Manage
          "Product Designer", "Frontend Engineer", "DevOps Engineer", "Software Engineer II"]
 PLACES = ["New York, NY", "Remote (US)", "London, UK", "Berlin, Germany", "San Francisco, CA",
           None, "Toronto, Canada", "United States", "Austin, TX"]
+_GAP = " " * 12
+# One phrase per form of the rules, with numbers around the limits and each separator.
 PHRASES = [
-    "We ask for 5+ years of experience in backend work.",
-    "Looking for 1-2 years of professional practice.",
-    "You bring 3-5 years of relevant experience; python and aws help.",
-    "At least 4 yrs, ideally in typescript and react.",
-    "Fresh graduates welcome, we teach docker and kubernetes.",
-    "Must be proficient and write Golang daily.",
-    "Strong Rust background required. Build services in rust!",
-    "Our firm has 50 years of tradition.",
-    "An active secret clearance is needed for this post.",
-    "Vulnerability management and soc duty, on call.",
-    "Use node and postgresql with 2 years of engineering experience.",
-    "Maintain services in C# and scala; minimum 2 years.",
-    "Develop java software, 7 years software building.",
+    "Bring 4+ years of platform engineering.", "Bring 3+ years of platform engineering.",
+    "Range: 1-4 years professional.", f"Range: 2{_GAP}–{_GAP}6 yrs of mixed software.", "Range: 5 - 9 years industry.",
+    "We require 4 years.", "We require 3 yrs, with aws and terraform.", "Founded 80 years ago, python shop.",
+    "Write golang every day, golang in all services.", "Proficient in rust; develop rust and scala.",
+    "Holds an active secret clearance.", "Daily soc triage and vulnerability management.",
+    "Kubernetes, docker and typescript with 6 years coding.",
 ]
 
 
@@ -117,7 +112,7 @@ SELECT c_custkey AS company_id, c_name AS name, {_COMPANY_SLUG} AS slug,
             + (c_custkey * 7919 % 1500000) * INTERVAL '1' SECOND END AS disabled_at
 FROM {{customer}}""",
     "jobs": f"""
-SELECT o_orderkey AS job_id, o_custkey AS company_id, CAST(o_orderkey AS STRING) AS external_id,
+SELECT o_orderkey AS job_id, CASE WHEN o_custkey % 11 = 5 THEN o_custkey - 1 ELSE o_custkey END AS company_id, CAST(o_orderkey AS STRING) AS external_id,
        {_title('o_orderkey', 'o_custkey')} AS title,
        concat('https://jobs.example.com/', CAST(o_orderkey AS STRING)) AS url,
        {_case('(o_orderkey + o_custkey) % 9', PLACES)} AS location,
@@ -149,9 +144,9 @@ FROM {{documents}}""",
     "labelled_jobs": f"""
 SELECT job_id, title, concat('{{"location":{{"name":"', coalesce(location, ''), '"}},"content":"',
          {_case('job_id % 13', PHRASES)}, '"}}') AS raw_json,
-       (job_id % 13 IN (1, 4, 7, 10) OR (job_id % 13 = 9 AND contains(title, 'Software')))
-       AND NOT contains(title, 'Senior') AND NOT contains(title, 'Principal')
-       AND NOT contains(title, 'Security')
+       (job_id % 13 IN (1, 2, 3, 6, 7) OR (job_id % 13 = 11 AND contains(title, 'Software')))
+       AND NOT contains(title, 'Lead') AND NOT contains(title, 'Principal') AND NOT contains(title, 'Associate')
+       AND NOT contains(title, 'Manager') AND NOT contains(title, 'Security')
        AND coalesce(location, '') NOT IN ('London, UK', 'Berlin, Germany', 'Toronto, Canada')
            AS should_pass
 FROM {{jobs}}""",
@@ -305,7 +300,7 @@ SELECT concat('run-', CAST(doc_id % 3 AS STRING)) AS run_id,
        CAST(doc_id * 37 % 101 AS DOUBLE) AS score, doc_id % 11 = 0 AS rejected,
        CAST(CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 100 + doc_id * 131 % 4000 END AS DOUBLE)
            AS latency_ms,
-       CASE WHEN doc_id % 13 = 0 THEN 'short' ELSE concat('Because ', substr(text, 1, 60)) END
+       CASE WHEN doc_id % 13 = 0 THEN 'short' ELSE concat('Because ', text) END
            AS reasoning,
        doc_id % 3 AS n_posting, doc_id % 2 AS n_profile
 FROM {documents}""",

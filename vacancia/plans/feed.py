@@ -305,7 +305,7 @@ def _sightings(spark, sf):
 
 _DISCOVERED = _SIGHTINGS + """, u AS (
  SELECT ats_type, slug, name, ats_url, discovered_at AS seen, -1 AS seq, 0 AS fresh,
-        consecutive_failures AS cf FROM companies WHERE active
+        consecutive_failures AS cf FROM companies
  UNION ALL SELECT ats_type, slug, name, ats_url, seen_at, seq, 1, 0 FROM found),
  a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ats_type, slug
        ORDER BY fresh, seen, seq) AS rn FROM u) WHERE rn = 1),
@@ -319,7 +319,7 @@ SELECT a.ats_type, a.slug, a.name, b.ats_url, epoch_ms(a.seen) AS discovered_at_
        a.cf AS consecutive_failures, a.fresh = 1 AS is_new
 FROM a JOIN b USING (ats_type, slug)""")
 def _(spark, sf):
-    existing = view(spark, sf, "companies").filter("active")
+    existing = view(spark, sf, "companies")
     return upsert.discover_companies(existing, _sightings(spark, sf)).select(
         "ats_type", "slug", "name", "ats_url", ms("discovered_at"), "consecutive_failures", "is_new")
 
@@ -338,7 +338,7 @@ def _(spark, sf):
 @feed.add("a29_universe_growth", ctes("jobs", "companies") + _DISCOVERED + """
 SELECT count(*) AS companies, count(*) FILTER (WHERE fresh = 1) AS added FROM a""")
 def _(spark, sf):
-    existing = view(spark, sf, "companies").filter("active")
+    existing = view(spark, sf, "companies")
     return upsert.discover_companies(existing, _sightings(spark, sf)).agg(
         F.count(F.lit(1)).alias("companies"), F.count_if("is_new").alias("added"))
 

@@ -365,23 +365,18 @@ def _(spark, sf):
         "poll_id", "slug", "status", "status_code")
 
 
-def _london(spark, sf):
-    """Postings of one place, so that some active companies have none."""
-    return view(spark, sf, "jobs").filter("location = 'London, UK'")
-
-
 @health.add("j5_unpolled_companies", ctes("companies", "jobs") + """
 SELECT company_id FROM companies WHERE active AND company_id NOT IN
- (SELECT company_id FROM jobs WHERE location = 'London, UK')""")
+ (SELECT company_id FROM jobs)""")
 def _(spark, sf):
-    return mon.unpolled_companies(view(spark, sf, "companies"), _london(spark, sf)).select("company_id")
+    return mon.unpolled_companies(view(spark, sf, "companies"), view(spark, sf, "jobs")).select("company_id")
 
 
 @health.add("j6_polled_companies", ctes("companies", "jobs") + """
 SELECT company_id FROM companies WHERE active AND company_id IN
- (SELECT company_id FROM jobs WHERE location = 'London, UK')""")
+ (SELECT company_id FROM jobs)""")
 def _(spark, sf):
-    return mon.polled_companies(view(spark, sf, "companies"), _london(spark, sf)).select("company_id")
+    return mon.polled_companies(view(spark, sf, "companies"), view(spark, sf, "jobs")).select("company_id")
 
 
 @health.add("j9_empty_boards", ctes("companies", "polls") + """
@@ -446,56 +441,55 @@ def _(spark, sf):
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-# --- sampling: the drawn rows are hash-ranked, the oracle checks what was drawn ---
+# --- sampling: rows are ranked by an MD5 of seed and key, so the oracle draws the same ones ---
+
+_BY_ID = "md5(concat_ws(':', 7, company_id)), company_id"
+_BY_RESULT = "md5(concat_ws(':', 7, company_slug, pos)), company_slug, pos"
+
 
-@health.add("t5_uniform_sample", "SELECT least(count(*), 200) AS n, least(count(*), 200) AS distinct_n "
-                                 "FROM customer")
+@health.add("t5_uniform_sample", ctes("companies") + f"SELECT company_id FROM companies ORDER BY {_BY_ID} LIMIT 200")
 def _(spark, sf):
-    s = sampling.uniform_sample(view(spark, sf, "companies"), 200, 7, "company_id")
-    return s.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("company_id").alias("distinct_n"))
+    return sampling.uniform_sample(view(spark, sf, "companies"), 200, 7, "company_id").select("company_id")
 
 
-@health.add("t6_stratified_sample", ctes("results") + """
+@health.add("t6_stratified_sample", ctes("results") + f"""
 , p AS (SELECT CASE WHEN score >= 70 THEN 'push' WHEN score >= 40 THEN 'digest' ELSE 'low' END
-  AS stratum FROM results WHERE latency_ms > 0 AND NOT rejected)
-SELECT stratum, least(count(*), CASE stratum WHEN 'low' THEN 62 - 2 * 20 ELSE 20 END) AS n
-FROM p GROUP BY stratum""")
+  AS stratum, company_slug, pos FROM results WHERE latency_ms > 0 AND NOT rejected)
+SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY {_BY_RESULT})
+  <= CASE stratum WHEN 'low' THEN 62 - 2 * 20 ELSE 20 END""")
 def _(spark, sf):
     s = sampling.stratified_sample(results(spark, sf), 62, 7, "company_slug", "pos")
-    return s.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    return s.select("stratum", "company_slug", "pos")
 
 
-@health.add("t7_proportional_sample", ctes("companies") + """
+@health.add("t7_proportional_sample", ctes("companies") + f"""
 , c AS (SELECT ats_type, count(*) AS size, CASE ats_type WHEN 'greenhouse' THEN 0 WHEN 'lever' THEN 1
   ELSE 2 END AS ord FROM companies WHERE ats_type <> 'workable' GROUP BY ats_type),
- w AS (SELECT *, least(size, greatest(5, round(size * 60.0 / sum(size) OVER ()))) AS want FROM c)
-SELECT ats_type, CAST(least(want, 60 - coalesce(sum(want) OVER (ORDER BY ord
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS BIGINT) AS n FROM w""")
+ w AS (SELECT *, least(size, greatest(5, round(size * 60.0 / sum(size) OVER ()))) AS want FROM c),
+ n AS (SELECT ats_type, least(want, 60 - coalesce(sum(want) OVER (ORDER BY ord
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS n FROM w),
+ r AS (SELECT ats_type, company_id, row_number() OVER (PARTITION BY ats_type ORDER BY {_BY_ID}) AS rn FROM companies)
+SELECT ats_type, company_id FROM r JOIN n USING (ats_type) WHERE rn <= n""")
 def _(spark, sf):
-    return sampling.proportional_sample(view(spark, sf, "companies"), 60, 7).groupBy("ats_type").agg(
-        F.count(F.lit(1)).alias("n"))
+    return sampling.proportional_sample(view(spark, sf, "companies"), 60, 7).select("ats_type", "company_id")
 
 
-@health.add("t8_poll_batch", ctes("companies", "jobs") + """
-, a AS (SELECT company_id IN (SELECT company_id FROM jobs WHERE location = 'London, UK') AS polled
-  FROM companies WHERE active),
- k AS (SELECT count(*) FILTER (WHERE NOT polled) AS un, count(*) FILTER (WHERE polled) AS po FROM a)
-SELECT least(un, 700) AS unpolled, least(po, 700 - least(un, 700)) AS polled FROM k""")
+@health.add("t8_poll_batch", ctes("companies", "jobs") + f"""
+SELECT company_id, (company_id IN (SELECT company_id FROM jobs))::INT AS polled
+FROM companies WHERE active ORDER BY polled, {_BY_ID} LIMIT 700""")
 def _(spark, sf):
-    b = sampling.select_poll_batch(view(spark, sf, "companies"), _london(spark, sf), 700, 7)
-    return b.agg(F.count_if(F.col("polled") == 0).alias("unpolled"),
-                 F.count_if(F.col("polled") == 1).alias("polled"))
+    batch = sampling.select_poll_batch(view(spark, sf, "companies"), view(spark, sf, "jobs"), 700, 7)
+    return batch.select("company_id", "polled")
 
 
-@health.add("t9_stability_sample", ctes("results") + """
-SELECT least(count(*), 25) AS n FROM results WHERE score >= 40 AND NOT rejected""")
+@health.add("t9_stability_sample", ctes("results") + f"""
+SELECT company_slug, pos FROM results WHERE score >= 40 AND NOT rejected ORDER BY {_BY_RESULT} LIMIT 25""")
 def _(spark, sf):
-    s = sampling.stability_sample(results(spark, sf), 25, 7, "company_slug", "pos")
-    return s.filter("score >= 40 and size(hard_failures) = 0").agg(F.count(F.lit(1)).alias("n"))
+    return sampling.stability_sample(results(spark, sf), 25, 7, "company_slug", "pos").select("company_slug", "pos")
 
 
-@health.add("w8_stratum_rank", ctes("companies") + """
-SELECT ats_type, row_number() OVER (PARTITION BY ats_type ORDER BY company_id) AS rn FROM companies""")
+@health.add("w8_stratum_rank", ctes("companies") + f"""
+SELECT ats_type, company_id, row_number() OVER (PARTITION BY ats_type ORDER BY {_BY_ID}) AS rn FROM companies""")
 def _(spark, sf):
     return sampling.stratum_rank(view(spark, sf, "companies"), "ats_type", 7, "company_id").select(
-        "ats_type", "rn")
+        "ats_type", "company_id", "rn")

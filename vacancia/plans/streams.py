@@ -69,10 +69,22 @@ def _(spark, sf):
 SELECT DISTINCT l_partkey AS company_id, CAST(l_suppkey AS VARCHAR) AS external_id,
   l_returnflag AS raw_json FROM lineitem""")
 def _(spark, sf):
+    base = scratch(spark, "once")
     rows = source(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("company_id"), F.col("l_suppkey").cast("string").alias("external_id"),
         F.col("l_returnflag").alias("raw_json"), F.col("l_shipdate").cast("timestamp").alias("fetched_at"))
-    return drain(rates.once_per_posting(rows)).select("company_id", "external_id", "raw_json")
+    rates.once_per_posting_stream(rows, f"{base}/out", f"{base}/checkpoint", True).awaitTermination()
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+    return rates.once_per_posting(spark, f"{base}/out", schema).select("company_id", "external_id", "raw_json")
+
+
+def counted(rows, partial, schema: str):
+    """Stream ``rows`` into partial counts and fold them."""
+    base = scratch(rows.sparkSession, "counts")
+    rates.counting_stream(rows, partial, f"{base}/out", f"{base}/checkpoint", True).awaitTermination()
+    return rates.folded(rows.sparkSession, f"{base}/out", f"window_start timestamp, window_end timestamp{schema}")
+
+
 
 
 _HEALTH = ctes("polls")
@@ -161,38 +173,52 @@ def _(spark, sf):
         "company_slug", "title", "url", "score", "band", "reasoning")
 
 
-_CLOSED = "(SELECT max(attempted_at) FROM polls) - INTERVAL 600 SECOND"
-
-
-@streams.add("st6_poll_rate", ctes("polls") + f"""
+@streams.add("st6_poll_rate", ctes("polls") + """
 , g AS (SELECT CASE WHEN status = 'success' THEN 'success' ELSE 'fail' END AS result,
    time_bucket(INTERVAL 15 SECOND, attempted_at, TIMESTAMP '1970-01-01') AS b FROM polls),
  w AS (SELECT b - to_seconds(15 * i) AS s, result FROM g, (SELECT unnest(range(20)) AS i))
 SELECT epoch_ms(s) AS window_start_ms, result, count(*) AS n, round(count(*) / 300, 6) AS rate FROM w
-WHERE s + INTERVAL 300 SECOND <= {_CLOSED} GROUP BY ALL""")
+GROUP BY ALL""")
 def _(spark, sf):
-    return drain(rates.poll_rates(streamed(spark, sf, "polls", "events"))).select(
-        ms("window_start"), "result", "n", F.round("rate", 6).alias("rate"))
+    counts = counted(streamed(spark, sf, "polls", "events"), rates.poll_counts, ", result string")
+    return rates.poll_rates(counts).select(ms("window_start"), "result", "n", F.round("rate", 6).alias("rate"))
 
 
-@streams.add("st7_ingested_over_time", ctes("jobs") + """
+
+_PER_DAY = """
 , w AS (SELECT time_bucket(INTERVAL 1 DAY, first_seen_at, TIMESTAMP '1970-01-01') AS s, department
-  FROM jobs)
-SELECT epoch_ms(s) AS window_start_ms, department, count(*) AS n FROM w WHERE s + INTERVAL 1 DAY <=
- (SELECT max(first_seen_at) FROM jobs) - INTERVAL 600 SECOND GROUP BY ALL""")
+  FROM jobs), c AS (SELECT s, department, count(*) AS n FROM w GROUP BY ALL)
+"""
+
+
+def _ingested(spark, sf):
+    return counted(streamed(spark, sf, "jobs", "orders"),
+                   lambda df: rates.tumbling_counts(df, "first_seen_at", "1 day", ("department",)),
+                   ", department string")
+
+
+@streams.add("st7_ingested_over_time", ctes("jobs") + _PER_DAY + """
+SELECT epoch_ms(s) AS window_start_ms, department, n FROM c""")
 def _(spark, sf):
-    jobs = streamed(spark, sf, "jobs", "orders")
-    return drain(rates.tumbling_counts(jobs, "first_seen_at", "1 day", ("department",))).select(
-        ms("window_start"), "department", "n")
+    return _ingested(spark, sf).select(ms("window_start"), "department", "n")
+
+
+@streams.add("st7_ingested_cumulative", ctes("jobs") + _PER_DAY + """
+SELECT epoch_ms(s) AS window_start_ms, department, CAST(sum(n) OVER (PARTITION BY department ORDER BY s) AS BIGINT)
+  AS total FROM c""")
+def _(spark, sf):
+    return rates.cumulative(_ingested(spark, sf), ("department",)).select(ms("window_start"), "department", "total")
+
 
 
 @streams.add("st8_labels_per_day", ctes("llm_log") + """
-, w AS (SELECT date_trunc('day', labeled_at) AS s FROM llm_log)
-SELECT epoch_ms(s) AS window_start_ms, count(*) AS n FROM w WHERE s + INTERVAL 1 DAY <=
- (SELECT max(labeled_at) FROM llm_log) - INTERVAL 600 SECOND GROUP BY ALL""")
+SELECT epoch_ms(date_trunc('day', labeled_at)::TIMESTAMP) AS window_start_ms, count(*) AS n FROM llm_log
+GROUP BY ALL""")
 def _(spark, sf):
     labels = streamed(spark, sf, "llm_log", "documents")
-    return drain(rates.labels_per_day(labels)).select(ms("window_start"), "n")
+    counts = counted(labels, lambda df: rates.tumbling_counts(df, "labeled_at", "1 day"), "")
+    return counts.select(ms("window_start"), "n")
+
 
 
 @streams.add("st10_log_tags", """
@@ -210,9 +236,7 @@ def _(spark, sf):
 , w AS (SELECT time_bucket(INTERVAL 1 DAY, first_seen_at, TIMESTAMP '1970-01-01') AS s,
    epoch_ms(first_seen_at) - epoch_ms(ats_posted_at) AS lag FROM jobs WHERE ats_posted_at IS NOT NULL)
 SELECT epoch_ms(s) AS window_start_ms, count(*) AS n, quantile_disc(lag, 0.5) AS p50_ms,
-  quantile_disc(lag, 0.95) AS p95_ms FROM w WHERE s + INTERVAL 1 DAY <=
- (SELECT max(first_seen_at) FROM jobs WHERE ats_posted_at IS NOT NULL) - INTERVAL 600 SECOND
-GROUP BY s""")
+  quantile_disc(lag, 0.95) AS p95_ms FROM w GROUP BY s""")
 def _(spark, sf):
-    return drain(rates.freshness(streamed(spark, sf, "jobs", "orders"))).select(
-        ms("window_start"), "n", "p50_ms", "p95_ms")
+    counts = counted(streamed(spark, sf, "jobs", "orders"), rates.lag_counts, ", lag_ms bigint")
+    return rates.freshness(counts).select(ms("window_start"), "n", "p50_ms", "p95_ms")

@@ -94,8 +94,9 @@ YEARS_ANCHOR = (
     "|industry|background|coding|programming|career|building)"
 )
 YEARS_TAIL = r"(?:\s+of\s+[^.;\n]{0,80}?" + YEARS_ANCHOR + r"|\s+" + YEARS_ANCHOR + ")"
-# The digit test comes first: the look-behind is costly and only matters there.
-NOT_AFTER_RANGE = r"(?=\d)(?<!\d\s{0,8}[-–]\s{0,8})"
+# For a text in which RANGE_GAP has been closed up, so that a dash of a range touches both numbers.
+RANGE_GAP = r"(\d)\s*[-–]\s*(?=\d)"
+NOT_AFTER_RANGE = r"(?=\d)(?<!\d-)"
 YEARS_RANGE = r"(\d+)\s*[-–]\s*(\d+)\s*(?:years?|yrs?)" + YEARS_TAIL
 YEARS_ANCHORED = NOT_AFTER_RANGE + r"(\d+)\+?\s*(?:years?|yrs?)" + YEARS_TAIL
 YEARS_MINIMUM = r"(?:minimum|at least|require[sd]?)\s+(\d+)\s*(?:years?|yrs?)"

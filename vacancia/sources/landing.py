@@ -25,12 +25,16 @@ def read_payload_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with a total order: file, split offset, row within the split."""
+    """Text lines with a total order: file, then ``line_no``.
+
+    ``line_no`` is the split's byte offset plus the row within the task. A line
+    has at least one byte, and a task that reads several splits reads the ends
+    of files only, so the numbers of a file rise over its splits and never meet.
+    """
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("doc"),
-        F.col("_metadata.file_block_start").alias("block"),
-        row.alias("line_no"), F.col("value").alias("line"))
+        (F.col("_metadata.file_block_start") + row).alias("line_no"), F.col("value").alias("line"))
 
 
 def append_history(df: DataFrame, path: str) -> None:

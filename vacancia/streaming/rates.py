@@ -1,54 +1,73 @@
-"""Windowed streaming metrics: rates, counts, latency targets, log tags."""
+"""Windowed metrics of streams: rates, counts, latency targets, log tags.
+
+Histories arrive in any order, so nothing here waits for a watermark and drops
+what comes after it. A stream writes small partial counts per micro-batch, each
+into the batch's own folder, and a reader folds them; a row counts whenever it
+arrives, and a retried batch replaces its counts.
+"""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from vacancia.operators.ordered import order_statistics, running_totals
+from vacancia.streaming.tables import read_all, write_batch
 
-WATERMARK = "10 minutes"
 
+def _windowed(rows: DataFrame, w, *keys: str) -> DataFrame:
+    return rows.groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n")
 
-def poll_rates(polls: DataFrame, window: str = "5 minutes", slide: str = "15 seconds",
-               seconds: int = 300, watermark: str = WATERMARK) -> DataFrame:
-    """Polls per second by result over a sliding window."""
+
+def poll_counts(polls: DataFrame, window: str = "5 minutes", slide: str = "15 seconds") -> DataFrame:
+    """Polls by result over a sliding window."""
     result = F.when(F.col("status") == "success", "success").otherwise("fail")
-    w = F.window("attempted_at", window, slide)
-    return (
-        polls.withColumn("result", result).withWatermark("attempted_at", watermark)
-        .groupBy(w.alias("w"), "result").agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                "result", "n", (F.col("n") / seconds).alias("rate"))
-    )
+    return _windowed(polls.withColumn("result", result), F.window("attempted_at", window, slide), "result")
+
 
+def poll_rates(counts: DataFrame, seconds: int = 300) -> DataFrame:
+    """Folded poll counts as polls per second."""
+    return counts.withColumn("rate", F.col("n") / seconds)
 
-def tumbling_counts(events: DataFrame, time: str, window: str = "1 hour",
-                    keys: tuple[str, ...] = (), watermark: str = WATERMARK) -> DataFrame:
+
+def tumbling_counts(events: DataFrame, time: str, window: str = "1 hour", keys: tuple[str, ...] = ()) -> DataFrame:
     """Rows per tumbling window and key (ingested jobs, matches found, labels)."""
-    return (
-        events.withWatermark(time, watermark)
-        .groupBy(F.window(time, window).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                *keys, "n")
-    )
+    return _windowed(events, F.window(time, window), *keys)
 
 
-def labels_per_day(labels: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Labels recorded per UTC day."""
-    return tumbling_counts(labels, "labeled_at", "1 day", (), watermark)
+def cumulative(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Folded counts with ``total``, the running count per key."""
+    return running_totals(counts, list(keys), ["window_start"], {"total": F.col("n")})
 
 
-def freshness(jobs: DataFrame, window: str = "1 day", watermark: str = WATERMARK,
-              accuracy: int = 10_000) -> DataFrame:
-    """Posting-to-surface lag per window: median and p95 of a bounded-size sketch."""
+def lag_counts(jobs: DataFrame, window: str = "1 day") -> DataFrame:
+    """Postings by window and posting-to-surface lag."""
     lag = F.unix_millis("first_seen_at") - F.unix_millis("ats_posted_at")
-    return (
-        jobs.filter("ats_posted_at is not null").withColumn("lag_ms", lag)
-        .withWatermark("first_seen_at", watermark)
-        .groupBy(F.window("first_seen_at", window).alias("w"))
-        .agg(F.count(F.lit(1)).alias("n"),
-             F.percentile_approx("lag_ms", [0.5, 0.95], accuracy).alias("p"))
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n",
-                F.col("p")[0].alias("p50_ms"), F.col("p")[1].alias("p95_ms"))
-    )
+    rows = jobs.filter("ats_posted_at is not null").withColumn("lag_ms", lag)
+    return _windowed(rows, F.window("first_seen_at", window), "lag_ms")
+
+
+def freshness(counts: DataFrame) -> DataFrame:
+    """Folded lag counts as exact median and p95 (nearest rank) per window."""
+    return order_statistics(counts, ["window_start", "window_end"], "lag_ms",
+                            {"p50_ms": ("nearest", 0.5), "p95_ms": ("nearest", 0.95)}, weight="n")
+
+
+def counting_stream(rows: DataFrame, partial: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
+                    available_now: bool = False, interval: str = "1 minute") -> StreamingQuery:
+    """Write ``partial`` (counts in column n) of every micro-batch under ``path``."""
+    trigger = {"availableNow": True} if available_now else {"processingTime": interval}
+    return (rows.writeStream.foreachBatch(lambda df, batch: write_batch(partial(df), path, batch))
+            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
+
+
+def folded(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The counts of all micro-batches, summed over equal keys."""
+    parts = read_all(spark, path, f"{schema}, n bigint").drop("batch_id")
+    return parts.groupBy(*[c for c in parts.columns if c != "n"]).agg(F.sum("n").alias("n"))
 
 
 def tag_log_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -62,11 +81,23 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.text(path)
 
 
-def once_per_posting(postings: DataFrame, time: str = "fetched_at",
-                     watermark: str = WATERMARK) -> DataFrame:
-    """Drop repeats of the same posting content within the watermark."""
-    return (
-        postings.withWatermark(time, watermark)
-        .withColumn("body_hash", F.xxhash64("raw_json"))
-        .dropDuplicatesWithinWatermark(["company_id", "external_id", "body_hash"])
-    )
+POSTING = ["company_id", "external_id", "body_hash"]
+
+
+def once_per_posting_stream(postings: DataFrame, path: str, checkpoint: str, available_now: bool = False,
+                            interval: str = "1 minute") -> StreamingQuery:
+    """Append the distinct posting contents of every micro-batch under ``path``."""
+    trigger = {"availableNow": True} if available_now else {"processingTime": interval}
+    hashed = postings.withColumn("body_hash", F.xxhash64("raw_json"))
+    return (hashed.writeStream.foreachBatch(lambda df, batch: write_batch(df.dropDuplicates(POSTING), path, batch))
+            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
+
+
+def once_per_posting(spark: SparkSession, path: str, schema: str, time: str = "fetched_at") -> DataFrame:
+    """One row per posting content over all micro-batches: the earliest.
+
+    However late or often a repeat arrives, nothing is lost and nothing is kept twice.
+    """
+    rows = read_all(spark, path, f"{schema}, body_hash bigint").drop("batch_id")
+    first = Window.partitionBy(*POSTING).orderBy(F.col(time).asc_nulls_last())
+    return rows.withColumn("__turn", F.row_number().over(first)).filter("__turn = 1").drop("__turn", "body_hash")
