@@ -6,13 +6,16 @@ statistics, scoring and both top-k steps run on the narrow rows.
 """
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacancia import rules
 from vacancia.candidate import Profile, expand_query
+from vacancia.functions.core import let
 from vacancia.functions.scoring import idf, saturated_tf
-from vacancia.functions.text import strip_tags, tokenize, tokenize_literal
+from vacancia.functions.text import description, strip_tags, tokenize, tokenize_literal
 from vacancia.operators.constraints import eligible
 from vacancia.operators.ordered import first_k_per_key
 from vacancia.session import reliable
@@ -30,17 +33,18 @@ def search_text(title: Column, location: Column, department: Column, body: Colum
 def query_hits(docs: DataFrame, terms: list[str], text: Column) -> DataFrame:
     """Add ``doc_len`` and ``hits array<struct(term, tf)>`` for the query terms.
 
-    Row-local: counting needs no explode and no shuffle. The driver-side term
-    list is a profile's vocabulary (tens of words).
+    Row-local: the found terms are sorted and counted by their runs, so counting
+    needs no explode and no shuffle.
     """
-    wanted = docs.withColumn("__tokens", tokenize(text)).withColumn(
-        "__found", F.filter("__tokens", lambda t: t.isin(*terms)))
-    hits = F.transform(
-        F.array_distinct("__found"),
-        lambda t: F.struct(t.alias("term"),
-                           F.size(F.filter("__found", lambda u: u == t)).alias("tf")))
-    return wanted.withColumn("doc_len", F.size("__tokens").cast("bigint")) \
-        .withColumn("hits", F.array_sort(hits)).drop("__tokens", "__found")
+    def runs(x: Column) -> Column:
+        at = F.filter(F.transform(x, lambda t, i: F.when((i == 0) | (t != F.get(x, i - 1)), i)), lambda i: i.isNotNull())
+        return let(at, lambda starts: F.transform(starts, lambda s, j: F.struct(
+            F.get(x, s).alias("term"), (F.coalesce(F.get(starts, j + 1), F.size(x)) - s).alias("tf"))))
+
+    tokens = docs.withColumn("__tokens", tokenize(text))
+    found = F.sort_array(F.filter("__tokens", lambda t: t.isin(*terms)))
+    return tokens.withColumn("doc_len", F.size("__tokens").cast("bigint")) \
+        .withColumn("hits", let(found, runs)).drop("__tokens")
 
 
 def corpus_stats(hit_rows: DataFrame, terms: list[str]) -> DataFrame:
@@ -109,29 +113,92 @@ def length_stats(docs: DataFrame, text: Column) -> DataFrame:
         F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_len"))
 
 
+#: (profile, term) pairs up to this number are shipped to the tasks; more are joined.
+MOST_PAIRS = 1_000_000
+#: Cells of the score table that a task holds at once.
+SCORE_CELLS = 4_000_000
+
+
+def _joined_scores(rows: DataFrame, pairs: DataFrame, stats: Column, id_col: str) -> DataFrame:
+    """``profile_id, id, bm25_score`` by an equi-join on term, for any number of profiles."""
+    hits = rows.select(id_col, "doc_len", F.explode("hits").alias("h")).select(id_col, "doc_len", "h.term", "h.tf")
+    weighed = hits.join(pairs, "term").withColumn("__n", stats).select(
+        "profile_id", id_col, (idf(F.col("__n.n_docs"), F.col("df")) * saturated_tf(
+            F.col("tf"), F.col("doc_len"), F.col("__n.avg_len"))).alias("w"))
+    return weighed.groupBy("profile_id", id_col).agg(F.round(F.sum("w"), SCORE_DIGITS).alias("bm25_score"))
+
+
+def _local_scores(rows: DataFrame, pairs: DataFrame, stats: Column, k: int, id_col: str) -> DataFrame:
+    """The best ``k`` documents per profile of every task: its documents against all profiles.
+
+    What leaves a task is ``k`` rows a profile, not a row per document and profile.
+    """
+    known = pairs.collect()
+    profiles = sorted({r["profile_id"] for r in known})
+    column = {p: i for i, p in enumerate(profiles)}
+    by_term: dict[str, tuple[int, list[int]]] = {}
+    for r in known:
+        by_term.setdefault(r["term"], (r["df"], []))[1].append(column[r["profile_id"]])
+    types = dict(rows.dtypes), dict(pairs.dtypes)
+    k1, b, digits = rules.BM25_K1, rules.BM25_B, SCORE_DIGITS
+
+    def score(batches):
+        best = pd.DataFrame({"p": [], "score": [], "id": []})
+        step = max(1, SCORE_CELLS // max(1, len(profiles)))
+        for batch in batches:
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at: at + step]
+                table = np.zeros((len(part), len(profiles)))
+                for row, (n, hits, n_docs, avg) in enumerate(zip(
+                        part["doc_len"], part["hits"], part["n_docs"], part["avg_len"], strict=True)):
+                    norm = k1 * (1 - b + b * n / avg)
+                    for h in hits:
+                        df, where = by_term.get(h["term"], (0, []))
+                        if where:
+                            weight = np.log((n_docs - df + 0.5) / (df + 0.5) + 1)
+                            table[row, where] += weight * (h["tf"] * (k1 + 1)) / (h["tf"] + norm)
+                i, p = np.nonzero(table)
+                found = pd.DataFrame({"p": p, "score": table[i, p].round(digits), "id": part[id_col].to_numpy()[i]})
+                best = pd.concat([best, found[found["score"] > 0]]).sort_values(
+                    ["p", "score", "id"], ascending=[True, False, True]).groupby("p").head(k)
+        yield pd.DataFrame({"profile_id": [profiles[int(p)] for p in best["p"]], id_col: best["id"].tolist(),
+                            "bm25_score": best["score"].tolist()})
+    scored = rows.withColumn("__n", stats).select(id_col, "doc_len", "hits", "__n.n_docs", "__n.avg_len")
+    return scored.mapInPandas(
+        score, f"profile_id {types[1]['profile_id']}, {id_col} {types[0][id_col]}, bm25_score double")
+
+
 def bm25_profiles(docs: DataFrame, queries: DataFrame, text: Column, k: int,
                   id_col: str = "doc_id") -> DataFrame:
     """Top ``k`` documents for every profile of ``queries(profile_id, term)``.
 
-    Profiles meet documents through an equi-join on term, so a pair exists only
-    where they share a word. Whether the query side is broadcast is decided
-    from its measured size; beyond the limit skewed terms are split at run time.
-    The partial sums combine map-side and the per-profile cut is applied before
-    its shuffle.
+    One pass over the texts leaves narrow rows (length and the hits of any
+    profile's terms), from which lengths, document frequencies and scores are
+    taken. Up to ``MOST_PAIRS`` (profile, term) pairs go to every task, which
+    keeps its own best ``k`` per profile; more pairs meet the hits in a join.
     """
-    terms = queries.select("profile_id", "term").distinct()
-    tf = reliable(term_frequencies(docs, text, id_col, terms))
-    n = length_stats(docs, text).select(F.struct("*").alias("s")).scalar()
-    weights = terms.join(document_frequencies(tf), "term").select("profile_id", "term", "df")
-    part = (
-        tf.join(weights, "term").withColumn("__n", n)
-        .select("profile_id", id_col, (idf(F.col("__n.n_docs"), F.col("df"))
-                                       * saturated_tf(F.col("tf"), F.col("doc_len"),
-                                                      F.col("__n.avg_len"))).alias("w"))
-    )
-    scored = part.groupBy("profile_id", id_col).agg(
-        F.round(F.sum("w"), SCORE_DIGITS).alias("bm25_score")).filter("bm25_score > 0")
-    return first_k_per_key(scored, ["profile_id"], [F.desc("bm25_score"), F.asc(id_col)], k)
+    terms = reliable(queries.select("profile_id", "term").distinct())
+    few = terms.count() <= MOST_PAIRS
+    tokens = docs.select(id_col, text.alias("__text"))
+    if few:
+        wanted = [r["term"] for r in terms.select("term").distinct().collect()]
+        rows = query_hits(tokens, wanted, F.col("__text")).select(id_col, "doc_len", "hits")
+    else:
+        tf = term_frequencies(tokens, F.col("__text"), id_col)
+        rows = tf.join(terms.select("term").distinct(), "term", "left_semi").groupBy(id_col).agg(
+            F.first("doc_len").alias("doc_len"), F.collect_list(F.struct("term", "tf")).alias("hits"))
+    rows = reliable(rows)
+    df = rows.select(F.explode("hits.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    lengths = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len")) if few \
+        else length_stats(docs, text)
+    stats, pairs = lengths.select(F.struct("*").alias("s")).scalar(), terms.join(df, "term")
+    scored = _local_scores(rows, pairs, stats, k, id_col) if few else _joined_scores(rows, pairs, stats, id_col)
+    return first_k_per_key(scored.filter("bm25_score > 0"), ["profile_id"], [F.desc("bm25_score"), F.asc(id_col)], k)
+
+
+def with_description(jobs: DataFrame, raw: str = "raw_json") -> DataFrame:
+    """Add ``description``, taken from the raw posting, which is parsed once."""
+    return jobs.withColumn("description", description(F.col(raw)))
 
 
 # --- features ---
