@@ -1,7 +1,7 @@
 """MERGE-style operators as one shuffle each: union, then fold per key."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacancia import rules
@@ -67,21 +67,21 @@ def upsert_jobs(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
     column but ``first_seen_at``, whose earliest value is kept; an older fetch
     arriving late never overwrites a newer row.
     """
-    cols = [c for c in incoming.columns if c not in JOB_KEY + ["first_seen_at", "seq"]]
+    columns = [c for c in incoming.columns if c != "seq"]
     seq = F.col("seq") if "seq" in incoming.columns else F.lit(0)
-    rows = incoming.select(*JOB_KEY, "first_seen_at", F.struct(*cols).alias("row"),
-                           seq.cast("bigint").alias("seq"), F.lit(False).alias("old"))
+    rows = incoming.select(*columns, seq.cast("bigint").alias("__seq"), F.lit(False).alias("__old"))
     if existing is not None:
         rows = rows.unionByName(existing.select(
-            *JOB_KEY, "first_seen_at", F.struct(*cols).alias("row"),
-            F.lit(-1).cast("bigint").alias("seq"), F.lit(True).alias("old")))
-    order = F.struct(F.col("row.updated_at"), ~F.col("old"), F.col("seq"))
-    merged = rows.groupBy(*JOB_KEY).agg(
-        F.max_by("row", order).alias("row"),
-        F.min_by("first_seen_at", F.struct(~F.col("old"), F.col("first_seen_at")))
-        .alias("first_seen_at"),
-        (~F.bool_or("old")).alias("is_new"))
-    return merged.select(*JOB_KEY, "row.*", "first_seen_at", "is_new")
+            *columns, F.lit(-1).cast("bigint").alias("__seq"), F.lit(True).alias("__old")))
+    # The versions of one posting are few; they are ranked where the one shuffle has put them.
+    key = Window.partitionBy(*JOB_KEY)
+    newest = key.orderBy(F.col("updated_at").desc(), F.col("__old").asc(), F.col("__seq").desc())
+    earliest = key.orderBy(F.col("__old").desc(), F.col("first_seen_at").asc())
+    merged = rows.select(
+        *[c for c in columns if c != "first_seen_at"], F.first("first_seen_at").over(earliest).alias("first_seen_at"),
+        (~F.max("__old").over(key)).alias("is_new"), F.row_number().over(newest).alias("__turn"))
+    return merged.filter("__turn = 1").select(
+        *JOB_KEY, *[c for c in columns if c not in (*JOB_KEY, "first_seen_at")], "first_seen_at", "is_new")
 
 
 def upsert_jobs_delta(existing: DataFrame, incoming: DataFrame) -> DataFrame:
