@@ -53,7 +53,9 @@ def test_file_round_trip_and_random_access(tmp_path, monkeypatch, bits):
 def test_words_are_encoded_as_in_the_whole_text(monkeypatch):
     model = Tokenizer.from_file(MODEL)
     texts = ["", " ", "Hello,  WORLD's\tnew\nday 1234", "naïve ÉCOLE ΣΑΣ ß", "áb ́c", "漢字 かな　x y z",
-             "<|endoftext|> x<|startoftext|>y", "a\x1cb\x85c", "👩‍👩‍👧 é", prose(3, 500), "x" * 3000, "!!?? ''s 're don't"]
+             "<|endoftext|> x<|startoftext|>y", "a\x1cb\x85c", "👩‍👩‍👧 é", prose(3, 500), "x" * 3000, "!!?? ''s 're don't",
+             "<|ENDOFTEXT|> A<|endoftext|>", "End... of;it?!yes a.b,C wow!'s x.'t\x1c9.Q", "abc" * 40,
+             "Ünder.Straße, ÉTÉ! İstanbul.Ça", "ÀÉ.e\u0301.E\u0301,", "don’t – “Quoted”… Œuvre.", "Ŀŀ.ŉ,ſ.ĳ:"]
     encoder = WordEncoder(MODEL)
     for _ in range(2):
         for t in texts:

@@ -15,8 +15,8 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,7 +32,7 @@ MAGIC = b"TOKBITS1"
 #: magic, bits, block length, documents, ids, blocks, offset of the document table
 TRAILER = "<8sIIQQQQ"
 #: Words remembered by a task, and the longest that is.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 #: Ids unpacked at once when documents are read.
 READ_IDS = 1 << 20
 
@@ -137,33 +137,58 @@ class TokenFile:
             at = stop
 
 
+class _Known(dict):
+    """Packed ids of the words seen, encoded when first asked for."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.model, self.plain = model, False
+        self.plain = all(self._merged(w) == self._encoded(w) for w in ("a", "the", "zebra", "qxjkvbzw", "internationally"))
+
+    def _encoded(self, word: str) -> bytes:
+        return array("I", self.model.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _merged(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.model.tokenize(word)]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        # A run of a-z is a word of its own that no normalisation changes; the merges alone give its ids.
+        simple = self.plain and word.isascii() and word.isalpha() and word.islower()
+        packed = self._merged(word) if simple else self._encoded(word)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if len(word) <= LONGEST:
+            self[word] = packed
+        return packed
+
+
 class WordEncoder:
     """Whole texts by a ``tokenizers`` model that never joins text across blanks.
 
     A text is cut at ASCII blanks, which such a model drops, and the ids of the
-    words seen are remembered. The ids are those of the whole text.
+    words seen are remembered. Where the model folds case and parts letters from
+    the punctuation behind them (both are tried out first), ASCII texts are
+    folded and cut there too, which makes words recur. The ids are those of the
+    whole text.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {"": []}
-        self.blanks = re.compile(r"[ \t-\r]+")
+        model = Tokenizer.from_file(path)
+        self.known = _Known(model)
+        self.blanks, self.ends = re.compile(r"[ \t-\r]+"), re.compile(r"(?<=[a-zß-öø-ÿ])(?=[.,;:!?])")
+        # Outside ASCII, composed Latin letters and general punctuation; the dotted capital I has a long lower case.
+        self.foreign = re.compile("[^\0-;=-\x7f\xa1-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e]")
+        probes = [("The", "the"), ("QUIck", "quick"), ("end.", "end ."), ("who?!", "who ?!"), ("a,b;c:", "a ,b ;c :"), ("É", "é"), ("Ÿ", "ÿ"), ("ü.", "ü .")]
+        self.folds = all(self.known._encoded(x) == self.known._encoded(y) for x, y in probes)
 
     def ids(self, text: str) -> np.ndarray:
+        # Special tokens are matched before folding, so texts that could hold one are left as they are.
+        if self.folds and not self.foreign.search(text):
+            text = self.ends.sub(" ", text.lower())
         words = self.blanks.split(text)
-        known = self.known
-        fresh = list({w for w in words if w not in known})
-        found = dict(zip(fresh, (e.ids for e in self.model.encode_batch_fast(fresh, add_special_tokens=False)),
-                         strict=True)) if fresh else {}
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = []
-            found = {w: found.get(w) or self.model.encode(w, add_special_tokens=False).ids for w in set(words)}
-        out = np.fromiter(chain.from_iterable(known[w] if w in known else found[w] for w in words), np.uint32)
-        known.update((w, v) for w, v in found.items() if len(w) <= LONGEST)
-        return out
+        return np.frombuffer(b"".join(map(self.known.__getitem__, filter(None, words))), np.uint32)
 
 
 def _file_system(path: str):
