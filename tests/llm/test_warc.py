@@ -3,6 +3,7 @@ import hashlib
 import pytest
 
 from tests.llm.conftest import prose
+from vacancia.llm import warc
 from vacancia.llm.warc import (CRLF, END, archive_ranges, archive_round_trip, candidate_links, reachable, read_records,
                                with_roles, write_archives)
 
@@ -36,7 +37,9 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def test_round_trip(pages, spark):
+@pytest.mark.parametrize("broadcast", [0, 100])
+def test_round_trip(pages, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "MOST_BROADCAST", broadcast)
     got = archive_round_trip(pages)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(pages.collect())
     assert archive_round_trip(pages.limit(0)).count() == 0

@@ -34,6 +34,8 @@ LEAST_REVISIT = 1000
 #: Bytes of a file that one task searches, and the longest header it accepts.
 RANGE = 8 << 20
 HEADER = 64 << 10
+#: Bodies that occur more than once are joined by broadcast up to this number (a digest and an id each).
+MOST_BROADCAST = 100_000
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 
 
@@ -48,7 +50,9 @@ def with_roles(pages: DataFrame, page_id: str = "page_id", payload: str = "html"
 
     Of the pages with equal bodies of at least ``least`` bytes, all but that
     with the largest id refer to it. The largest id per digest is an aggregate
-    that is folded map-side, and the join that brings it back may be split.
+    that is folded map-side. Only digests that occur more than once come back to
+    the pages: by broadcast if they are counted to be few, so that no body is
+    moved, and otherwise by a join that may be split.
     """
     body = whole(pages[payload])
     url = whole(F.col("url")) if "url" in pages.columns else F.lit("")
@@ -57,6 +61,9 @@ def with_roles(pages: DataFrame, page_id: str = "page_id", payload: str = "html"
     large = F.col("n_bytes") >= least
     last = (rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
             .filter("n > 1").select("digest", "last"))
+    last = reliable(last)
+    if last.count() <= MOST_BROADCAST:
+        last = F.broadcast(last)
     return (rows.join(last, "digest", "left")
             .withColumn("refers_to", F.when(large & (F.col("last") != F.col("page_id")), F.col("last")))
             .drop("last"))
