@@ -54,9 +54,6 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 FROM r
 """
 
-OP2_SQL = None
-
-
 @llm.add("op1_warc_round_trip", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as it is read back from the archives that it was written to."""
@@ -65,7 +62,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
-@llm.add("op2_secret_scan", OP2_SQL)
+@llm.add("op2_secret_scan")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets: fixed patterns and random-looking runs."""
     from vacancia.llm.secrets import secret_spans
