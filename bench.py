@@ -18,7 +18,7 @@ HEADLINE = [
     "u6_merge_sources", "s11_url_list", "a5_source_metrics", "u4_poll_health", "w1_failure_streaks",
     "w6_aimd_replay", "a8_latency_by_ats", "a6_freshness_by_ats", "r9_prompt_batches",
     "f12_decode_responses", "m1_ndcg", "m5_precision_by_tier", "w2_precision_trend",
-    "a24_metrics_long", "st6_poll_rate",
+    "a24_metrics_long", "st6_poll_rate", "st1_ingest", "r11_end_to_end",
 ]
 
 
