@@ -121,5 +121,5 @@ def test_payload_files(spark, tmp_path):
 
 def test_lines_keep_file_order(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ntwo\nthree\n")
-    lines = landing.read_lines(spark, str(tmp_path)).orderBy("doc", "block", "line_no").collect()
+    lines = landing.read_lines(spark, str(tmp_path)).orderBy("doc", "line_no").collect()
     assert [r.line for r in lines] == ["one", "two", "three"]
