@@ -44,12 +44,16 @@ def bits_for(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids as consecutive fields of ``bits`` bits, lowest bit first."""
+    if bits in (8, 16, 32):                            # the same bytes, without going through single bits
+        return ids.astype(f"<u{bits // 8}").tobytes()
     spread = np.unpackbits(np.ascontiguousarray(ids, "<u4").view(np.uint8), bitorder="little").reshape(-1, 32)
     return np.packbits(spread[:, :bits].reshape(-1), bitorder="little").tobytes()
 
 
 def unpack(data: bytes, count: int, bits: int) -> np.ndarray:
     """The first ``count`` ids of a packed block."""
+    if bits in (8, 16, 32):
+        return np.frombuffer(data, f"<u{bits // 8}", count).astype(np.uint32)
     fields = np.unpackbits(np.frombuffer(data, np.uint8), count=count * bits, bitorder="little").reshape(count, bits)
     wide = np.zeros((count, 32), np.uint8)
     wide[:, :bits] = fields
@@ -140,20 +144,26 @@ class TokenFile:
 class _Known(dict):
     """Packed ids of the words seen, encoded when first asked for."""
 
-    def __init__(self, model) -> None:
-        super().__init__()
-        self.model, self.plain = model, False
-        self.plain = all(self._merged(w) == self._encoded(w) for w in ("a", "the", "zebra", "qxjkvbzw", "internationally"))
+    def __init__(self, model, foreign: re.Pattern) -> None:
+        super().__init__({"": b""})
+        self.model, self.foreign = model, foreign
+        # Byte-level models write bytes as printable characters: most as themselves, the rest from 256 on.
+        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+        self.printed = {b: 256 + k for k, b in enumerate(odd)}
+        probes = ("a", "the", "zebra", "qxjkvbzw", "internationally", "é", "straße", "ñandú", "œuvre", "łódź")
+        self.plain = all(self._merged(w) == self._encoded(w) for w in probes)
 
     def _encoded(self, word: str) -> bytes:
         return array("I", self.model.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _merged(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode("utf-8").decode("latin-1").translate(self.printed)
         return array("I", [t.id for t in self.model.model.tokenize(word)]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        # A run of a-z is a word of its own that no normalisation changes; the merges alone give its ids.
-        simple = self.plain and word.isascii() and word.isalpha() and word.islower()
+        # A run of small Latin letters is a word of its own that no normalisation changes; the merges alone give its ids.
+        simple = self.plain and word.isalpha() and word.islower() and not self.foreign.search(word)
         packed = self._merged(word) if simple else self._encoded(word)
         if len(self) >= REMEMBERED:
             self.clear()
@@ -176,19 +186,18 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
-        self.known = _Known(model)
-        self.blanks, self.ends = re.compile(r"[ \t-\r]+"), re.compile(r"(?<=[a-zß-öø-ÿ])(?=[.,;:!?])")
+        self.blanks, self.ends = re.compile(r"[ \t-\r]+"), re.compile(r"[.,;:!?](?<=[a-zß-öø-ÿ].)")
         # Outside ASCII, composed Latin letters and general punctuation; the dotted capital I has a long lower case.
         self.foreign = re.compile("[^\0-;=-\x7f\xa1-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e]")
+        self.known = _Known(model, self.foreign)
         probes = [("The", "the"), ("QUIck", "quick"), ("end.", "end ."), ("who?!", "who ?!"), ("a,b;c:", "a ,b ;c :"), ("É", "é"), ("Ÿ", "ÿ"), ("ü.", "ü .")]
         self.folds = all(self.known._encoded(x) == self.known._encoded(y) for x, y in probes)
 
     def ids(self, text: str) -> np.ndarray:
         # Special tokens are matched before folding, so texts that could hold one are left as they are.
         if self.folds and not self.foreign.search(text):
-            text = self.ends.sub(" ", text.lower())
-        words = self.blanks.split(text)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, filter(None, words))), np.uint32)
+            text = self.ends.sub(r" \g<0>", text.lower())
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.blanks.split(text))), np.uint32)
 
 
 def _file_system(path: str):
