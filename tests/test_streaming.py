@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_ordered import aimd, machine
-from vacancia.plans.streams import ROCKSDB
+from vacancia.plans.streams import ROCKSDB, drain, source
 from vacancia.streaming import ingest, matching, rates, state
 from vacancia.streaming.tables import read_last
 from vacancia.candidate import Profile
@@ -151,3 +151,21 @@ def test_matching_tick_gate(spark):
     assert len(out) == 6 and sum(r.score == 70 for r in out) == 2
     runs = spark.createDataFrame([("co", f"Backend Engineer {i}") for i in range(4)], "company_slug string, title string")
     assert matching.matching_tick(jobs, runs, profile, scorer, min_new=5) is None
+
+
+@pytest.mark.parametrize("layout", ["file", "parts", "partitions"])
+def test_a_table_of_part_files_is_streamed_whole(spark, tmp_path, layout):
+    rows = spark.range(100).selectExpr("id", "cast(id % 3 as int) as k")
+    table = f"{tmp_path}/sf/events.parquet"
+    if layout == "file":
+        rows.coalesce(1).write.parquet(f"{tmp_path}/made")
+        part, = (f for f in (tmp_path / "made").iterdir() if f.name.endswith(".parquet"))
+        (tmp_path / "sf").mkdir()
+        (tmp_path / "sf" / "events.parquet").write_bytes(part.read_bytes())
+        rows.coalesce(1).write.parquet(f"{tmp_path}/sf/other.parquet")
+    elif layout == "parts":
+        rows.repartition(4).write.parquet(table)
+    else:
+        rows.repartition(2).write.partitionBy("k").parquet(table)
+    got = drain(source(spark, f"{tmp_path}/sf", "events")).select("id", "k").collect()
+    assert sorted(map(tuple, got)) == [(i, i % 3) for i in range(100)]

@@ -20,9 +20,15 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def source(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table as a file stream."""
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A driver table as a file stream; the table is one file or a folder of part files."""
+    file = f"{name}.parquet"
+    table = spark.read.parquet(f"{sf}/{file}")
+    stream = spark.readStream.schema(table.schema)
+    # A file cannot be the path of a stream, so it is picked by its name from the folder above.
+    single = [f.rstrip("/").split("/")[-2:].count(file) == 1 and f.endswith(f"/{file}") for f in table.inputFiles()]
+    if single == [True]:
+        return stream.option("pathGlobFilter", file).parquet(sf)
+    return stream.parquet(f"{sf}/{file}")
 
 
 def streamed(spark: SparkSession, sf: str, derived: str, *tables: str) -> DataFrame:
