@@ -75,3 +75,25 @@ def test_a_broken_chain_ends(spark, tmp_path):
 
 def test_roles_keep_all_pages(pages):
     assert with_roles(pages).count() == pages.count()
+
+
+def test_a_long_url_keeps_all_records(spark, tmp_path):
+    rows = [(k, "data:," + prose(k, 40_000).replace(" ", "%20") if k == 5 else f"http://a/{k}", prose(k, 50)) for k in range(11)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    assert len(rows[5][1]) > 200_000
+    assert {r["page_id"] for r in archive_round_trip(pages).collect()} == set(range(11))
+    path = f"file://{tmp_path}/archives"
+    write_archives(pages, path)
+    for size in (1000, 1 << 20):
+        records = read_records(spark, path, size)
+        assert records.count() == 11 and warc.unfinished(records, path).count() == 0
+
+
+def test_files_that_break_off_are_named(spark, tmp_path):
+    folder = tmp_path / "w"
+    folder.mkdir()
+    (folder / "a").write_bytes((fake("one", 1) + "garbage" + fake("two", 2)).encode())
+    (folder / "b").write_bytes(("x" + fake("one", 1)).encode())
+    (folder / "c").write_bytes(fake("one", 1).encode())
+    found = warc.unfinished(read_records(spark, f"file://{folder}"), f"file://{folder}").collect()
+    assert sorted((r["path"][-1], r["end"]) for r in found) == [("a", len(fake("one", 1))), ("b", None)]

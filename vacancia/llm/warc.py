@@ -31,12 +31,14 @@ VERSION = "WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"
 #: Payloads of fewer bytes are always written in full.
 LEAST_REVISIT = 1000
-#: Bytes of a file that one task searches, and the longest header it accepts.
+#: Bytes of a file that one task searches, and those of a header that are read at once.
 RANGE = 8 << 20
 HEADER = 64 << 10
 #: Bodies that occur more than once are joined by broadcast up to this number (a digest and an id each).
 MOST_BROADCAST = 100_000
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
+#: A line that is no header field and does not continue one.
+STRAY = re.compile(rb"\r\n(?![ \t])[^:\r]*\r\n")
 
 
 def _header(fields: list[tuple[str, Column]]) -> Column:
@@ -115,11 +117,19 @@ def _fields(header: bytes) -> dict[str, str]:
 
 
 def _record(source, at: int, length: int) -> tuple[dict[str, str], int, int] | None:
-    """Header fields, body offset and successor of the candidate at ``at``, if its form holds."""
+    """Header fields, body offset and successor of the candidate at ``at``, if its form holds.
+
+    A header may have any length: reading goes on while its lines look like fields.
+    """
     head = source.read_at(min(HEADER, length - at), at)
-    end = head.find(b"\r\n\r\n")
-    if end < 0 or not MAGIC.match(head):
+    if not MAGIC.match(head):
         return None
+    seen = 0
+    while (end := head.find(b"\r\n\r\n", seen)) < 0:
+        if at + len(head) >= length or STRAY.search(head, max(head.rfind(b"\r\n", 0, seen), 0)):
+            return None
+        seen = len(head) - 3
+        head += source.read_at(min(len(head), length - at - len(head)), at + len(head))
     fields = _fields(head[:end])
     declared = fields.get("content-length", "")
     if not (declared.isascii() and declared.isdigit() and len(declared) < 19):
@@ -179,12 +189,12 @@ def reachable(links: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
-    """One row per verified record: place, header values, and the size and digest of its body.
+    """One row per verified record: place, header values, the size and digest of its body, and where it ends.
 
-    A task gets the entry into a range and walks the chain to the range's end.
+    A chain that breaks gives the records before the break; ``unfinished`` names such files. A task gets the entry into a range and walks the chain to the range's end.
     """
     entries = reachable(candidate_links(archive_ranges(spark, path, size), size))
-    names = ["path", "offset", "type", "page", "refers", "declared_digest", "n_bytes", "digest"]
+    names = ["path", "offset", "type", "page", "refers", "declared_digest", "n_bytes", "digest", "end"]
 
     def walk(name: str, at: int) -> Iterator[tuple]:
         with _opened(name) as source:
@@ -197,7 +207,7 @@ def read_records(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame
                     digest.update(part)
                     left -= len(part)
                 yield (name, at, fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-refers-to"),
-                       fields.get("warc-payload-digest"), after - 4 - body, digest.hexdigest())
+                       fields.get("warc-payload-digest"), after - 4 - body, digest.hexdigest(), after)
                 at = after
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,7 +217,14 @@ def read_records(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame
     spread = entries.repartition(spark.sparkContext.defaultParallelism * 4, "path", "offset")
     return spread.mapInPandas(
         read, "path string, offset bigint, type string, page string, refers string, declared_digest string, "
-              "n_bytes bigint, digest string")
+              "n_bytes bigint, digest string, end bigint")
+
+
+def unfinished(records: DataFrame, path: str) -> DataFrame:
+    """``path, length, end`` of the archives under ``path`` whose records do not end at the file's length."""
+    files = records.sparkSession.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
+    ends = records.groupBy("path").agg(F.max("end").alias("end"))
+    return files.join(ends, "path", "left").filter(~F.col("end").eqNullSafe(F.col("length")))
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
@@ -231,8 +248,14 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame, page_id: str = "page_id", payload: str = "html") -> DataFrame:
-    """Write ``pages`` as archives in the shared folder and return what is read back."""
+    """Write ``pages`` as archives in the shared folder and return what is read back.
+
+    Raises if an archive cannot be read to its end.
+    """
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, page_id, payload)
-    return resolve_revisits(reliable(read_records(spark, path)))
+    records = reliable(read_records(spark, path))
+    if broken := unfinished(records, path).take(5):
+        raise ValueError(f"archives that break off: {[tuple(r) for r in broken]}")
+    return resolve_revisits(records)
