@@ -4,6 +4,7 @@ from fractions import Fraction
 import pytest
 
 from tests.llm.conftest import prose, rows_of
+from vacancia.llm import mixing
 from vacancia.llm.mixing import mix_documents, period_slots, schedule, shares
 
 
@@ -76,3 +77,27 @@ def test_awkward_rows(awkward, nothing):
 def test_missing_weight(spark):
     with pytest.raises(ValueError):
         schedule(documents(spark), {"hot": 1.0})
+
+
+@pytest.mark.parametrize("weights", [{"hot": .3333, "rare": .0001, "other": .6666},
+                                     {"hot": 2500., **{f"s{k}": 1. for k in range(5000)}}])
+def test_target_weights_hold_for_long_mixes_and_many_sources(weights):
+    exact, placed = {s: Fraction(w) for s, w in weights.items()}, Counter()
+    total, length = sum(exact.values()), 30_000
+    for slot, (source, i, _, release, deadline) in enumerate(period_slots(shares(weights), length)):
+        assert release <= slot < deadline
+        placed[source] = i
+        assert abs(i - (slot + 1) * exact[source] / total) < 1
+    assert all(abs(placed[s] - length * w / total) < 1 for s, w in exact.items())
+
+
+@pytest.mark.parametrize("broadcast", [0, 4_000_000])
+def test_a_light_source_has_its_target_weight(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", broadcast)
+    rows = [(k, "x" * 20, "hot") for k in range(500)] + [(1000, "y" * 20, "rare"), (1001, "y" * 20, "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = schedule(docs, {"hot": .9999, "rare": .0001}, block_chars=20).collect()
+    slots = sorted(r["slot"] for r in out)
+    assert slots == list(range(len(slots))) and 19_990 <= len(slots) <= 20_010
+    assert sum(r["source"] == "rare" for r in out) == 2
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in out)

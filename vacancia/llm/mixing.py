@@ -7,10 +7,13 @@ before slot ``floor((i - 1) / w)`` and must be placed before slot
 goes next. With weights that sum to one this meets all deadlines, so after any
 number of slots each source has had its share to within less than one block.
 
-Weights are rounded to whole shares of a period of ``PERIOD`` slots, and the
-schedule then repeats exactly. Only one period is worked out, whatever the size
-of the data; a block's slot follows from its number by division, so documents
-are placed where they lie.
+Weights are held as whole shares of a period of ``PERIOD`` slots, far more than
+any mix has, so their rounding moves a source by less than a thousandth of a
+block over 2**42 slots. The slots of the mix are worked out one after another by
+a single task, as each depends on those before; it reads no documents, takes
+one step per block, and hands on chunks of ``CHUNK`` slots of a source. A
+shorter ``period`` makes the schedule repeat: a block's slot then follows from
+its number by division.
 
 The mix reads each source from its start as often as its weight asks for, until
 every source has been read in full: no document is left out, and sources that
@@ -19,15 +22,24 @@ are short for their weight are repeated (``epoch`` counts the readings).
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from array import array
+from collections import defaultdict
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vacancia.llm.texts import own_columns, whole
+from vacancia.session import reliable
 
 #: Slots in a period: the resolution of the weights.
-PERIOD = 4096
+PERIOD = 1 << 52
+#: Slots of one source that stand in one row of the plan.
+CHUNK = 256
+#: A plan of up to this many slots is broadcast (24 bytes each).
+MOST_BROADCAST = 4_000_000
 BLOCK_CHARS = 8192
 #: More sources than this are refused: their weights are held by the driver.
 MAX_SOURCES = 100_000
@@ -42,9 +54,10 @@ def shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]
     if any(not w > 0 for w in weights.values()):
         raise ValueError("weights must be positive")
     period = max(period, len(weights))
-    total = sum(weights.values())
     free = period - len(weights)
-    exact = {s: free * w / total for s, w in weights.items()}
+    each = {s: Fraction(w) for s, w in weights.items()}
+    scale = free / sum(each.values(), Fraction(0)) if each else 0
+    exact = {s: w * scale for s, w in each.items()}
     out = {s: 1 + int(x) for s, x in exact.items()}
     rest = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))
     for s in rest[: period - sum(out.values())]:
@@ -52,22 +65,55 @@ def shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]
     return out
 
 
-def period_slots(units: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """``(source, i, slot, release, deadline)`` of one period by earliest deadline first."""
+def period_slots(units: Mapping[str, int], length: int | None = None) -> Iterator[tuple[str, int, int, int, int]]:
+    """``(source, i, slot, release, deadline)`` of the first ``length`` slots of a period by earliest deadline first."""
     period = sum(units.values())
     waiting = [(0, -(-period // u), s, 1) for s, u in units.items()]       # release, deadline, source, i
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int, int]] = []
-    out = []
-    for slot in range(period):
+    for slot in range(period if length is None else min(period, length)):
         while waiting and waiting[0][0] <= slot:
             release, deadline, s, i = heapq.heappop(waiting)
             heapq.heappush(ready, (deadline, s, i, release))
         deadline, s, i, release = heapq.heappop(ready)
-        out.append((s, i, slot, release, deadline))
+        yield s, i, slot, release, deadline
         if i < units[s]:
             heapq.heappush(waiting, (i * period // units[s], -(-(i + 1) * period // units[s]), s, i + 1))
-    return out
+
+
+def _plan(spark: SparkSession, units: Mapping[str, int], length: int, names: list[str]) -> DataFrame:
+    """The slots by source and chunk: ``names`` are those of the source, the chunk, and the arrays of slot, release and deadline."""
+    kinds = [pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 3]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held: dict[str, tuple[array, array, array]] = defaultdict(lambda: (array("q"), array("q"), array("q")))
+            begun: dict[str, int] = {}
+            out: list[tuple] = []
+
+            def batch_of() -> pa.RecordBatch:
+                made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
+                out.clear()
+                return made
+            for s, i, *values in period_slots(units, length):
+                arrays = held[s]
+                begun[s] = (i - 1) // CHUNK
+                for column, value in zip(arrays, values, strict=True):
+                    column.append(value)
+                if i % CHUNK == 0:
+                    out.append((s, begun[s], *held.pop(s)))
+                    if len(out) >= 1000:
+                        yield batch_of()
+            for s, arrays in held.items():
+                out.append((s, begun[s], *arrays))
+                if len(out) >= 1000:
+                    yield batch_of()
+            yield batch_of()
+    key, chunk, *arrays = names
+    return reliable(spark.range(1, numPartitions=1).mapInArrow(
+        run, f"{key} string, {chunk} bigint, " + ", ".join(f"{n} array<bigint>" for n in arrays)))
 
 
 def _source_key(source: Column) -> Column:
@@ -79,7 +125,8 @@ def _placed(docs: DataFrame, weights: Mapping[str | None, float] | None, source:
             block_chars: int, period: int, temperature: float, seed: int) -> tuple[DataFrame, dict[str, str]]:
     """Every row of ``docs`` once per reading, with the columns that the second value names."""
     plain = ("key", "size", "mark", "part", "total", "base", "parts", "blocks", "units", "reads",
-             "offset", "first", "epoch", "block", "i", "at", "slot", "release", "deadline")
+             "offset", "first", "epoch", "block", "i", "chunk", "slot", "release", "deadline",
+             "slots", "releases", "deadlines")
     c = dict(zip(plain, own_columns(docs, *plain), strict=True))
     spark = docs.sparkSession
     sized = docs.withColumns({c["key"]: _source_key(docs[source]), c["size"]: F.length(whole(docs[text])),
@@ -91,7 +138,8 @@ def _placed(docs: DataFrame, weights: Mapping[str | None, float] | None, source:
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     if weights is None:
-        wanted = {s: max(chars, 1) ** temperature for s, (_, chars) in found.items()}
+        # No source is less than its one block: a lighter one would ask for the others to be read again and again.
+        wanted = {s: max(chars, block_chars) ** temperature for s, (_, chars) in found.items()}
     else:
         named = {("-" if s is None else f"+{s}"): w for s, w in weights.items()}
         if missing := set(found) - set(named):
@@ -105,8 +153,9 @@ def _placed(docs: DataFrame, weights: Mapping[str | None, float] | None, source:
             for s in sorted(found)]
     facts = spark.createDataFrame(rows, f"{c['key']} string, {c['parts']} long, {c['blocks']} long, "
                                         f"{c['units']} long, {c['reads']} long")
-    plan = spark.createDataFrame(period_slots(units), f"{c['key']} string, {c['i']} long, {c['at']} long, "
-                                                      f"{c['release']} long, {c['deadline']} long")
+    plan = _plan(spark, units, length, [c[n] for n in ("key", "chunk", "slots", "releases", "deadlines")])
+    if min(slots, length) <= MOST_BROADCAST:
+        plan = F.broadcast(plan)
 
     # A source's rows in the order of their hash, cut into as many ranges as its size asks for.
     range_of = F.shiftright(F.shiftrightunsigned(c["mark"], 32) * F.col(c["parts"]), 32)
@@ -124,10 +173,11 @@ def _placed(docs: DataFrame, weights: Mapping[str | None, float] | None, source:
         dealt.join(bases, [c["key"], c["part"]]).withColumn(c["offset"], offset)
         .withColumn(c["first"], F.least(F.expr(f"{c['offset']} div {block_chars}"), F.col(c["blocks"]) - 1))
         .withColumn(c["epoch"], read).withColumn(c["block"], block)
-        .withColumn(c["i"], F.col(c["block"]) % F.col(c["units"]) + 1)
-        .join(F.broadcast(plan), [c["key"], c["i"]])                                   # a row a slot of one period
-        .withColumns({c[n]: F.col(c[v]) + turn * slots
-                      for n, v in (("slot", "at"), ("release", "release"), ("deadline", "deadline"))})
+        .withColumn(c["i"], (F.col(c["block"]) % F.col(c["units"])))
+        .withColumn(c["chunk"], F.expr(f"{c['i']} div {CHUNK}"))
+        .join(plan, [c["key"], c["chunk"]])                                            # a row a source and chunk
+        .withColumns({c[n]: F.get(c[f"{n}s"], (F.col(c["i"]) % CHUNK).cast("int")) + turn * slots
+                      for n in ("slot", "release", "deadline")})
         .filter(F.col(c["slot"]) < length)
     )
     return placed, c
