@@ -99,3 +99,41 @@ def test_awkward_rows(spark, awkward, nothing):
     loop = spark.createDataFrame([(1, "for " * 3000), (2, "for " * 500), (None, "for " * 500)], "doc_id long, text string")
     found = repeated_paragraphs(loop)
     assert found.filter("not removed").count() == found.select("cluster").distinct().count() > 0
+
+
+@pytest.mark.parametrize("size,change", [(51, False), (60, True)])
+def test_short_passages_are_extended_to_the_match(spark, size, change):
+    rng, rows, missed = np.random.default_rng(size), [], 0
+    trials = 300
+    for k in range(trials):
+        passage = [f"w{x}" for x in rng.integers(0, 1 << 30, size)]
+        for side in (0, 1):
+            held = list(passage)
+            if change and side:
+                held[size // 2] = "changed"
+            before, behind = ([f"w{x}" for x in rng.integers(0, 1 << 30, 40)] for _ in range(2))
+            rows.append((2 * k + side, " ".join(before + held + behind)))
+    texts = dict(rows)
+    found = repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    held = {}
+    for r in found:
+        assert r["kept_doc_id"] // 2 == r["doc_id"] // 2 and r["removed"] == r["doc_id"] % 2
+        assert len(texts[r["doc_id"]][r["start"]:r["end"]].split()) == r["n_words"]
+        held.setdefault(r["doc_id"], []).append((r["start"], r["end"], r["n_words"]))
+    for spans in held.values():
+        spans.sort()
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    missed = [k for k in range(trials) if 2 * k + 1 not in held]
+    print(size, change, "missed", len(missed))
+    # what is left has no whole paragraph in common
+    def names(d):
+        return {*Cut(texts[d]).names().tolist()}
+    assert all(not names(2 * k) & names(2 * k + 1) for k in missed)
+
+
+def test_matches_run_over_small_gaps():
+    x = list(range(30))
+    assert pg.matched(x, x) == (30, 30) and pg.matched(x, []) == (0, 0)
+    assert pg.matched(x, x[:10] + [99] + x[11:]) == (30, 29)
+    assert pg.matched(x, x[:10] + [98, 99] + x[10:]) == (30, 30)
+    assert pg.matched(x, x[:10] + [97, 98, 99] + x[10:]) == (10, 10)

@@ -11,7 +11,10 @@ paragraphs always collide. Colliding paragraphs are compared by the exact
 Jaccard similarity of their shingle sets and linked in spanning forests; the
 components of the links are the clusters. Stretches of adjacent clustered
 paragraphs of at least ``LEAST_WORDS`` words that also occur in another document
-are reported, and all but the first occurrence is marked for removal.
+are reported, and all but the first occurrence is marked for removal. A shorter
+stretch may be what whole paragraphs show of a longer match, so its paragraphs
+are extended word by word against the occurrence that stays, over gaps of up to
+``GAP`` words, and are reported if the match has that many words.
 
 A bucket is streamed in sorted order with at most ``TILE`` paragraphs in memory.
 Larger buckets are dealt out in tiles, and every pair of their tiles is
@@ -35,6 +38,12 @@ WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.95
 REACH = 6
 LEAST_WORDS = 20
 TILE = 1024
+#: Words on either side that a match may skip if ``WIDTH`` equal words follow.
+GAP = 2
+#: Paragraphs on both sides of one that its window holds, besides ``LEAST_WORDS`` words.
+AROUND = 3
+#: Windows of kept occurrences are joined by broadcast up to this number.
+MOST_BROADCAST = 20_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.array([c in b" \t\n\v\f\r" for c in range(256)])
 
@@ -301,12 +310,107 @@ def occurrences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return rows.mapInArrow(run, f"doc_id {kind}, tag bigint, seq bigint, name bigint, start bigint, end bigint, n_words bigint")
 
 
+def matched(x: list[int], y: list[int]) -> tuple[int, int]:
+    """``(reach, equal)``: how far a match runs in ``x`` from its begin, and how many words of it are equal."""
+    steps = sorted(((i, j) for i in range(GAP + 1) for j in range(GAP + 1) if i or j), key=lambda s: (max(s), sum(s)))
+    i = j = equal = 0
+    while True:
+        while i < len(x) and j < len(y) and x[i] == y[j]:
+            i, j, equal = i + 1, j + 1, equal + 1
+        for a, b in steps:
+            ahead = x[i + a: i + a + WIDTH]
+            if len(ahead) == WIDTH and ahead == y[j + b: j + b + WIDTH]:
+                i, j = i + a, j + b
+                break
+        else:
+            return i, equal
+
+
+def _windows(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The words around the paragraphs ``doc_id, tag, start, cluster, kept`` of ``wanted``, outwards from their bounds."""
+    t = whole(docs[text])
+    rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(t).alias("tag"), t.alias("t"))
+    need = (wanted.groupBy(F.col("doc_id").alias("id"), F.col("tag").alias("of"))
+            .agg(F.collect_set(F.struct("start", "cluster", "kept")).alias("need")))
+    met = rows.join(need, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("of"))).select(
+        "doc_id", "tag", "t", "need")
+    kind = dict(rows.dtypes)["doc_id"]
+    lists = ["left", "left_starts", "right", "right_ends"]
+
+    def around(cut: Cut, start: int) -> list[list[int]]:
+        b = cut.bounds
+        k = int(np.searchsorted(cut.starts[b[:-1]], start))
+        at, stop = int(b[k]), int(b[k + 1])
+        low = min(int(b[max(k - AROUND, 0)]), max(at - LEAST_WORDS, 0))
+        high = max(int(b[min(k + 1 + AROUND, len(b) - 1)]), min(stop + LEAST_WORDS, len(cut.words)))
+        words = cut.hashes.view(np.int64)
+        return [words[low:at][::-1].tolist(), cut.starts[low:at][::-1].tolist(),
+                words[stop:high].tolist(), cut.ends[stop:high].tolist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                which, made = [], []
+                for i in range(part.num_rows):
+                    cut = Cut(part.column("t")[i].as_py())
+                    for n in part.column("need")[i].as_py():
+                        which.append(i)
+                        made.append([n["start"], n["cluster"], n["kept"], *around(cut, n["start"])])
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.list_(pa.int64())] * 4]
+                columns = [part.column(c).take(pa.array(which, pa.int64())) for c in ("doc_id", "tag")]
+                columns += [pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "start", "cluster", "kept", *lists])
+    return met.mapInArrow(run, f"doc_id {kind}, tag bigint, start bigint, cluster bigint, kept boolean, "
+                               + ", ".join(f"{n} array<bigint>" for n in lists))
+
+
+def _extended(docs: DataFrame, short: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``doc_id, tag, start, cluster, more, left_starts, right_ends`` of the removed paragraphs of ``short``.
+
+    ``more`` counts the equal words beside the paragraph, and the lists have the
+    places of all words that the match reaches.
+    """
+    removed = short.filter("removed")
+    wanted = removed.select("doc_id", "tag", "start", "cluster", F.lit(False).alias("kept")).unionByName(
+        removed.select("cluster", "first.*").select("doc_id", "tag", "start", "cluster", F.lit(True).alias("kept")))
+    windows = reliable(_windows(docs, wanted, text, doc_id))
+    # The checkpoint parts the join from the aggregate on its key, so a cluster of any size may be split.
+    kept = reliable(windows.filter("kept").select("cluster", F.col("left").alias("their_left"), F.col("right").alias("their_right"))
+                    .dropDuplicates(["cluster"]))
+    if kept.count() <= MOST_BROADCAST:
+        kept = F.broadcast(kept)
+    pairs = windows.filter("not kept").join(kept, "cluster")
+    names = ["doc_id", "tag", "start", "cluster", "more", "left_starts", "right_ends"]
+    kind = dict(windows.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            more, starts, ends = [], [], []
+            for i in range(batch.num_rows):
+                left, left_starts, right, right_ends, their_left, their_right = (
+                    batch.column(c)[i].as_py() for c in
+                    ("left", "left_starts", "right", "right_ends", "their_left", "their_right"))
+                (a, m), (b, n) = matched(left, their_left), matched(right, their_right)
+                more.append(m + n)
+                starts.append(left_starts[:a])
+                ends.append(right_ends[:b])
+            places = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in names[:4]], pa.array(more, pa.int64()), pa.array(starts, places),
+                 pa.array(ends, places)], names)
+    return pairs.mapInArrow(run, f"doc_id {kind}, tag bigint, start bigint, cluster bigint, more bigint, "
+                                 "left_starts array<bigint>, right_ends array<bigint>")
+
+
 def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                         least_words: int = LEAST_WORDS) -> DataFrame:
     """The repeated paragraphs: ``doc_id, start, end, n_words, cluster, kept_doc_id, removed``.
 
     One row per paragraph that has an equal or similar one in another document
-    and stands in a stretch of such paragraphs of at least ``least_words`` words.
+    and stands in a stretch of such paragraphs of at least ``least_words`` words,
+    or in a match of so many words with the occurrence that stays; rows of the
+    latter kind also hold the words of the match up to the next row.
     ``kept_doc_id`` has the occurrence that stays (the smallest id, nulls last,
     then text hash and place). Texts without words have no paragraphs; null ids
     count as documents of their own text; repeated rows repeat all they hold; an
@@ -321,9 +425,33 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     near = seen.join(across, "cluster")
     by_document = Window.partitionBy("doc_id", "tag").orderBy("seq")
     stretch = Window.partitionBy("doc_id", "tag", "stretch")
-    return (
+    rows = reliable(
         near.withColumn("stretch", F.col("seq") - F.dense_rank().over(by_document))
-        .withColumn("words", F.sum("n_words").over(stretch)).filter(F.col("words") >= least_words)
-        .select("doc_id", "start", "end", "n_words", "cluster", F.col("first.doc_id").alias("kept_doc_id"),
-                (~place.eqNullSafe(F.col("first"))).alias("removed"))
+        .withColumn("words", F.sum("n_words").over(stretch))
+        .select("doc_id", "tag", "start", "end", "n_words", "cluster", "first", "words",
+                (~place.eqNullSafe(F.col("first"))).alias("removed")))
+    short = rows.filter(F.col("words") < least_words)
+    none = F.array().cast("array<bigint>")
+    # Equal rows give equal extensions: one is enough for all of them.
+    found = _extended(docs, short, text, doc_id).dropDuplicates(["doc_id", "tag", "start"]).select(
+        F.col("doc_id").alias("id"), F.col("tag").alias("of"), F.col("start").alias("at"), "more", "left_starts", "right_ends")
+    hits = reliable(
+        short.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("of")) & (F.col("start") == F.col("at")))
+        .filter(F.col("n_words") + F.col("more") >= least_words).select(*rows.columns, "left_starts", "right_ends"))
+    stays = short.filter("not removed").join(hits.select("cluster").distinct(), "cluster", "left_semi")
+    every = (rows.filter(F.col("words") >= least_words).unionByName(stays)
+             .withColumns({"left_starts": none, "right_ends": none}).unionByName(hits))
+    # Rows of one match reach over each other: the earlier takes the words between them.
+    here = Window.partitionBy("doc_id", "tag").orderBy("start")
+    after = F.min("start").over(here.rangeBetween(1, Window.unboundedFollowing))
+    before = F.max("new_end").over(here.rangeBetween(Window.unboundedPreceding, -1))
+    return (
+        every.withColumn("after", after)
+        .withColumn("right_ends", F.expr("filter(right_ends, x -> after is null or x <= after)"))
+        .withColumn("new_end", F.coalesce(F.array_max("right_ends"), F.col("end")))
+        .withColumn("before", before)
+        .withColumn("left_starts", F.expr("filter(left_starts, x -> before is null or x >= before)"))
+        .select("doc_id", F.coalesce(F.array_min("left_starts"), F.col("start")).alias("start"), F.col("new_end").alias("end"),
+                (F.col("n_words") + F.size("left_starts") + F.size("right_ends")).alias("n_words"), "cluster",
+                F.col("first.doc_id").alias("kept_doc_id"), "removed")
     )
