@@ -169,3 +169,21 @@ def test_a_table_of_part_files_is_streamed_whole(spark, tmp_path, layout):
         rows.repartition(2).write.partitionBy("k").parquet(table)
     got = drain(source(spark, f"{tmp_path}/sf", "events")).select("id", "k").collect()
     assert sorted(map(tuple, got)) == [(i, i % 3) for i in range(100)]
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_recovery_points_count_late_polls(spark, tmp_path, batches):
+    """Polls in falling time order: company 7 is disabled until a success, 8 to the last poll, 9 never."""
+    hour, day, t0 = 3600, 86400, 1_700_000_000
+    rows = [(i, 7, t0 + i * 10, "error") for i in range(7)] + [(10, 7, t0 + 40 + 2 * day, "success")]
+    rows += [(20 + i, 8, t0 + day + i, "error") for i in range(5)]
+    rows += [(30 + i, 9, t0 + i, "success" if i == 2 else "error") for i in range(6)] + [(40, 9, t0 + 3 * day, "success")]
+    rows.sort(key=lambda r: -r[2])
+    size = -(-len(rows) // batches)
+    for b in range(batches):
+        spark.createDataFrame(rows[b * size:(b + 1) * size], "poll_id bigint, company_id bigint, t bigint, status string").withColumn(
+            "attempted_at", F.timestamp_seconds("t")).coalesce(1).write.parquet(f"{tmp_path}/in/f{b}")
+    state.recovery_stream(stream(spark, f"{tmp_path}/in"), f"{tmp_path}/s", f"{tmp_path}/c", True).awaitTermination()
+    got = sorted((r.company_id, r.due_ms // 1000) for r in state.recovery_points(spark, f"{tmp_path}/s").collect())
+    assert got == [(7, t0 + 40 + x) for x in (600, hour, 4 * hour, day)] + [
+        (8, t0 + day + 4 + x) for x in (600, hour, 4 * hour, day)]

@@ -115,14 +115,11 @@ def _(spark, sf):
 
 @streams.add("st3_recovery_schedule")
 def _(spark, sf):
-    """Recovery attempts that event-time timers emit for disabled companies."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, ROCKSDB)
-    try:
-        return drain(state.recovery_schedule(streamed(spark, sf, "polls", "events")))
-    finally:
-        spark.conf.set(key, before)
+    """Recovery attempts of disabled companies, from all polls whatever their order."""
+    base = scratch(spark, "recovery")
+    polls = streamed(spark, sf, "polls", "events")
+    state.recovery_stream(polls, f"{base}/polls", f"{base}/checkpoint", True).awaitTermination()
+    return state.recovery_points(spark, f"{base}/polls")
 
 
 @streams.add("st4_aimd", f"""SELECT ats_type, current_concurrent, ceiling_concurrent, current_interval_ms,

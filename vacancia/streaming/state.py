@@ -4,20 +4,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from vacancia import rules
-from vacancia.operators.ordered import first_k_per_key
+from vacancia.operators.ordered import first_k_per_key, running_totals
 from vacancia.operators.ratecontrol import aimd_replay
-from vacancia.streaming.tables import read_before, write_batch
+from vacancia.streaming.tables import read_all, read_before, write_batch
 
 HEALTH = ("company_id bigint, consecutive_failures bigint, active boolean, "
           "disabled_at timestamp, next_poll_at timestamp")
 AIMD = ("ats_type string, current_concurrent bigint, ceiling_concurrent bigint, "
         "current_interval_ms bigint, ceiling_interval_ms bigint, clean_window bigint")
+POLLS = "company_id bigint, attempted_at timestamp, poll_id bigint, status string"
 
 
 def advance_health(state: DataFrame | None, polls: DataFrame,
@@ -150,10 +151,47 @@ class RecoverySchedule(StatefulProcessor):
 
 
 def recovery_schedule(polls: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Streaming ``(company_id, due_ms)`` of recovery attempts; needs the RocksDB state store."""
+    """Streaming ``(company_id, due_ms)`` of recovery attempts; needs the RocksDB state store.
+
+    For live polls in about time order: those behind the watermark are not seen.
+    ``recovery_stream`` and ``recovery_points`` count every poll, whenever it comes.
+    """
     return (
         polls.withWatermark("attempted_at", watermark).groupBy("company_id")
         .transformWithStateInPandas(
             statefulProcessor=RecoverySchedule(), outputStructType="company_id bigint, due_ms bigint",
             outputMode="Append", timeMode="EventTime")
     )
+
+
+def recovery_stream(polls: DataFrame, target: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Append the polls that ``recovery_points`` folds; each batch writes its own folder."""
+    def step(df: DataFrame, batch_id: int) -> None:
+        write_batch(df.select("company_id", "attempted_at", "poll_id", "status"), target, batch_id)
+    return _stateful(polls, checkpoint, step, available_now)
+
+
+def recovery_points(spark: SparkSession, target: str, max_failures: int = rules.MAX_FAILURES,
+                    points: tuple[int, ...] = rules.RECOVERY_POINTS_S,
+                    repeat_s: int = rules.RECOVERY_REPEAT_S) -> DataFrame:
+    """``company_id, due_ms``: the retries of every disabled company up to its next success, or the last poll of all."""
+    polls = read_all(spark, target, POLLS).drop("batch_id")
+    ok = F.col("status").eqNullSafe("success")
+    counted = running_totals(polls, ["company_id"], ["attempted_at", "poll_id"], {"episode": F.when(ok, 1).otherwise(0)})
+    disabled = first_k_per_key(counted.filter(~ok), ["company_id", "episode"], [F.col("attempted_at"), F.col("poll_id")],
+                               max_failures).filter(F.col("rn") == max_failures)
+    ends = counted.filter(ok).select("company_id", (F.col("episode") - 1).alias("episode"),
+                                     F.unix_millis("attempted_at").alias("until"))
+    last = polls.agg(F.max(F.unix_millis("attempted_at"))).scalar()
+    since, day = F.col("since"), repeat_s * 1000
+    until = F.coalesce(F.col("until") - 1, F.col("last"))
+    return (
+        disabled.select("company_id", "episode", F.unix_millis("attempted_at").alias("since"))
+        .join(ends, ["company_id", "episode"], "left").withColumn("last", last)
+        .withColumn("days", F.floor((until - since) / day))
+        .withColumn("after", F.explode(F.concat(
+            F.array(*[F.lit(p * 1000).cast("bigint") for p in points]),
+            F.when(F.col("days") > 0, F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("days")), lambda n: n * day))
+            .otherwise(F.array().cast("array<bigint>")))))
+        .filter(since + F.col("after") <= until)
+        .select("company_id", (since + F.col("after")).alias("due_ms")))
