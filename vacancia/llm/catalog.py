@@ -54,6 +54,50 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 FROM r
 """
 
+# Every order is walked over the counts of the 32 failure sets; Shapley sums by adding up the steps.
+OP12_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, part, text,
+             list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             min(doc_id) OVER (PARTITION BY text) AS first
+      FROM t),
+f AS (SELECT doc_id, part,
+             list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x
+                 WHEN 'A' THEN len(w) < 200
+                 WHEN 'B' THEN 100 * len(list_distinct(w)) < 50 * len(w)
+                 WHEN 'C' THEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text)
+                 WHEN 'D' THEN regexp_matches(text, '[#$%&*|]')
+                 ELSE coalesce(first < doc_id, false) END) AS failed
+      FROM w),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+      FROM labels GROUP BY doc_id),
+c AS (SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+      FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY part, failed),
+o AS (SELECT '' AS filter_order
+      UNION ALL
+      SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x)
+      WHERE NOT contains(filter_order, x)),
+s AS (SELECT filter_order, step, filter_order[step] AS letter, filter_order[1:step - 1] AS earlier
+      FROM o, (SELECT unnest(range(1, 6))::INT AS step) WHERE length(filter_order) = 5),
+r AS (SELECT part, filter_order, step, letter,
+             list_contains(failed, letter) AS hit,
+             len(list_filter(failed, lambda x: contains(earlier, x))) > 0 AS gone,
+             failed = [letter] AS alone, n, good, toxic
+      FROM c, s),
+a AS (SELECT part, filter_order, step, letter,
+             sum(CASE WHEN NOT hit AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept,
+             sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+             sum(CASE WHEN hit AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+             sum(CASE WHEN alone THEN n ELSE 0 END)::BIGINT AS unique_fails,
+             sum(CASE WHEN hit AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost,
+             sum(CASE WHEN hit AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+      FROM r GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM a
+"""
+
+
 @llm.add("op1_warc_round_trip", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as it is read back from the archives that it was written to."""
@@ -140,6 +184,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_paragraphs(table(spark, sf_dir, "documents"))
 
 
+@llm.add("op12_filter_interaction", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of every order, and its Shapley sum."""
+    from vacancia.llm.interaction import interaction_report
+
+    return interaction_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _pipeline():
     return importlib.import_module("corpus_pipeline")
 
