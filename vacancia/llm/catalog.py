@@ -54,6 +54,54 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 FROM r
 """
 
+# Levels as lists per source; crc32 bit by bit over the bytes of the decimal id.
+OP11_SQL = r"""
+WITH RECURSIVE v AS (
+    SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-')
+              || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+              || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head,
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+           xor(list_reduce(
+               list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+                   lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+               lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295) % 5 = 0 AS tampered
+    FROM documents),
+d AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+             sha256(head || CASE WHEN coalesce(tampered, false) THEN coalesce(strlen(low) || ':' || low, '-')
+                                 ELSE coalesce(strlen(text) || ':' || text, '-') END) AS given
+      FROM v),
+n AS (SELECT *, row_number() OVER () AS id,
+             row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+lv AS (SELECT source, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM n GROUP BY source
+       UNION ALL
+       SELECT source, level + 1, list_transform(range(0, (len(nodes) + 15) // 16),
+              lambda i: sha256(array_to_string(nodes[16 * i + 1:16 * i + 16], ''))) FROM lv WHERE len(nodes) > 1),
+so AS (SELECT source, nodes[1] AS subroot, level AS height,
+              row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM lv WHERE len(nodes) = 1),
+up AS (SELECT 0 AS level, list(subroot ORDER BY pos) AS nodes FROM so
+       UNION ALL
+       SELECT level + 1, list_transform(range(0, (len(nodes) + 15) // 16),
+              lambda i: sha256(array_to_string(nodes[16 * i + 1:16 * i + 16], ''))) FROM up WHERE len(nodes) > 1),
+st AS (SELECT n.id, lv.level AS k, n.pos // (16 ** lv.level)::BIGINT AS at, lv.nodes
+       FROM n JOIN lv ON n.source IS NOT DISTINCT FROM lv.source WHERE len(lv.nodes) > 1
+       UNION ALL
+       SELECT n.id, so.height + up.level, so.pos // (16 ** up.level)::BIGINT, up.nodes
+       FROM n JOIN so ON n.source IS NOT DISTINCT FROM so.source CROSS JOIN up WHERE len(up.nodes) > 1),
+pr AS (SELECT id, list(array_to_string(nodes[at // 16 * 16 + 1:at], '') ORDER BY k) AS l,
+              list(array_to_string(nodes[at + 2:at // 16 * 16 + 16], '') ORDER BY k) AS r
+       FROM st GROUP BY id),
+fo AS (SELECT n.id, 0 AS k, n.given AS digest, coalesce(l, []) AS l, coalesce(r, []) AS r
+       FROM n LEFT JOIN pr ON n.id = pr.id
+       UNION ALL
+       SELECT id, k + 1, sha256(l[k + 1] || digest || r[k + 1]), l, r FROM fo WHERE k < len(l))
+SELECT n.doc_id, n.leaf, so.subroot, up.nodes[1] AS root,
+       sha256(array_to_string(list_transform(range(1, len(fo.l) + 1), lambda i: fo.l[i] || fo.r[i]), '')) AS proof_sha256,
+       fo.digest AS folded_root, fo.digest = up.nodes[1] AS verified
+FROM n JOIN fo ON n.id = fo.id AND fo.k = len(fo.l) JOIN so ON n.source IS NOT DISTINCT FROM so.source
+     JOIN up ON len(up.nodes) = 1
+"""
+
+
 # Every order is walked over the counts of the 32 failure sets; Shapley sums by adding up the steps.
 OP12_SQL = r"""
 WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
@@ -184,6 +232,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_paragraphs(table(spark, sf_dir, "documents"))
 
 
+@llm.add("op11_merkle_manifest", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof in the manifest, and the check of a partly tampered table."""
+    from vacancia.llm.merkle import manifest_report
+
+    return manifest_report(table(spark, sf_dir, "documents"))
+
+
 @llm.add("op12_filter_interaction", OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of five filters removes at each step of every order, and its Shapley sum."""
