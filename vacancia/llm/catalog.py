@@ -82,13 +82,13 @@ up AS (SELECT 0 AS level, list(subroot ORDER BY pos) AS nodes FROM so
        UNION ALL
        SELECT level + 1, list_transform(range(0, (len(nodes) + 15) // 16),
               lambda i: sha256(array_to_string(nodes[16 * i + 1:16 * i + 16], ''))) FROM up WHERE len(nodes) > 1),
-st AS (SELECT n.id, lv.level AS k, n.pos // (16 ** lv.level)::BIGINT AS at, lv.nodes
+st AS (SELECT n.id, lv.level AS k, n.pos // (16 ** lv.level)::BIGINT AS ix, lv.nodes
        FROM n JOIN lv ON n.source IS NOT DISTINCT FROM lv.source WHERE len(lv.nodes) > 1
        UNION ALL
        SELECT n.id, so.height + up.level, so.pos // (16 ** up.level)::BIGINT, up.nodes
        FROM n JOIN so ON n.source IS NOT DISTINCT FROM so.source CROSS JOIN up WHERE len(up.nodes) > 1),
-pr AS (SELECT id, list(array_to_string(nodes[at // 16 * 16 + 1:at], '') ORDER BY k) AS l,
-              list(array_to_string(nodes[at + 2:at // 16 * 16 + 16], '') ORDER BY k) AS r
+pr AS (SELECT id, list(array_to_string(nodes[ix // 16 * 16 + 1:ix], '') ORDER BY k) AS l,
+              list(array_to_string(nodes[ix + 2:ix // 16 * 16 + 16], '') ORDER BY k) AS r
        FROM st GROUP BY id),
 fo AS (SELECT n.id, 0 AS k, n.given AS digest, coalesce(l, []) AS l, coalesce(r, []) AS r
        FROM n LEFT JOIN pr ON n.id = pr.id
@@ -146,6 +146,25 @@ FROM a
 """
 
 
+# Square in the vectors, as a join of all pairs: for the small tables of a test.
+OP13_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CASE WHEN len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                             AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+                        THEN list_transform(embedding, lambda x: x::DOUBLE) END AS e
+    FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+      ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id, vec_id AS to_id FROM v
+      UNION
+      SELECT r.vec_id, l.b FROM r JOIN l ON r.to_id = l.a),
+c AS (SELECT vec_id, min(to_id) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT c.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, c.vec_id = component_id AS kept
+FROM c LEFT JOIN n ON c.vec_id = n.a
+"""
+
+
 @llm.add("op1_warc_round_trip", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as it is read back from the archives that it was written to."""
@@ -248,6 +267,14 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@llm.add("op13_cover_tree_links", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and the smallest id that it is linked to."""
+    from vacancia.llm.cover import embedding_links
+
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def _pipeline():
     return importlib.import_module("corpus_pipeline")
 
