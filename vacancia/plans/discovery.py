@@ -7,8 +7,9 @@ from vacancia.functions import urls
 from vacancia.functions.core import with_present
 from vacancia.operators import dedup, monitoring
 from vacancia.plans.domain import ctes, view
-from vacancia.plans.registry import Registry
+from vacancia.plans.registry import Registry, scratch
 from vacancia.sources import discovery as src
+from vacancia.sources.blocks import index_lines, write_blocks
 
 discovery = Registry()
 
@@ -208,6 +209,23 @@ def _(spark, sf):
         "doc", "surt_prefix", "surt", "shard", "offset", "length")
 
 
+_PREFIXES = "('io,greenhouse,boards)'), ('com,ashbyhq,jobs)'), ('com,workable,apply)'), ('co,lever,jobs)')"
+_INDEXED = f"""SELECT *, slug AS name, url AS ats_url, 'common_crawl' AS source_type, 'cc-direct-cdx' AS source_detail,
+ '' AS doc, row_number() OVER (ORDER BY surt, line) AS line_no, 0 AS pos
+FROM (SELECT surt, line, url, {ats_sql('url')} AS ats_type, {slug_sql('url')} AS slug
+ FROM (SELECT surt, line, CAST(substr(line, strpos(line, '{{')) AS JSON)->>'$.url' AS url FROM crawl_lines
+  WHERE EXISTS (SELECT 1 FROM (VALUES {_PREFIXES}) AS t(prefix) WHERE starts_with(surt, prefix))))
+WHERE ats_type IS NOT NULL"""
+
+
+@discovery.add("s14_indexed_blocks", ctes("crawl_lines") + first_sql(_INDEXED, ORDER, COLS))
+def _(spark, sf):
+    """Shards and an index written from the crawl lines; only the blocks that hold a vendor's keys are read."""
+    folder = scratch(spark, "shards")
+    index = write_blocks(view(spark, sf, "crawl_lines").select("surt", "line"), folder, lines_per_block=25)
+    return _first(src.from_index(spark, index_lines(index), folder))
+
+
 _NOW = "TIMESTAMP '2024-06-01 00:00:00'"
 _THREAD = (f"SELECT ats_type, slug, slug AS name, {_API} AS ats_url, 'hn' AS source_type, "
            f"concat('whos-hiring:', thread_id) AS source_detail, CAST(thread_id AS VARCHAR) AS doc, "

@@ -255,6 +255,24 @@ SELECT doc, n AS line_no, concat(CASE n % 7 WHEN 0 THEN 'io,greenhouse,boards)/'
     concat(chr(9), CAST(n * 1000 AS STRING), chr(9), CAST(500 + n % 77 AS STRING), chr(9), '1') END)
     AS line
 FROM {links}""",
+    # A crawl index over the pages: every ninth page belongs to each of the four vendors.
+    "crawl_lines": """
+SELECT surt, concat(surt, ' 20240102030405 {"url": "', link, '", "status": "200"}') AS line
+FROM (SELECT CASE page_id % 9
+        WHEN 0 THEN concat('io,greenhouse,boards)/', co, '/jobs/', id)
+        WHEN 2 THEN concat('com,ashbyhq,jobs)/', co, '/', id)
+        WHEN 4 THEN concat('com,workable,apply)/', co, '/j/', id)
+        WHEN 6 THEN concat('co,lever,jobs)/', co, '/', id)
+        WHEN 8 THEN concat('io,greenhouse,boardsmore)/', co)
+        ELSE concat('net,site', CAST(page_id % 23 AS STRING), ')/', id) END AS surt,
+    CASE page_id % 9
+        WHEN 0 THEN concat('https://boards.greenhouse.io/', co, '/jobs/', id)
+        WHEN 2 THEN concat('https://jobs.ashbyhq.com/', co, '/', id)
+        WHEN 4 THEN concat('https://apply.workable.com/', co, '/j/', id)
+        WHEN 6 THEN concat('https://jobs.lever.co/', co, '/', id)
+        ELSE url END AS link
+  FROM (SELECT page_id, url, concat('co', CAST(page_id * 31 % 211 AS STRING)) AS co,
+               CAST(page_id AS STRING) AS id FROM {pages}) AS p) AS q""",
     "threads": """
 SELECT c_custkey AS thread_id, CASE c_custkey % 4 WHEN 0 THEN 'Ask: Who is HIRING? (May)'
     WHEN 1 THEN 'Ask: Who wants to be hired?' WHEN 2 THEN 'Who is hiring vs who wants work'

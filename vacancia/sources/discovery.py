@@ -6,7 +6,7 @@ needs; nothing here shuffles.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacancia import rules
@@ -14,6 +14,7 @@ from vacancia.functions.core import explode_present, let, with_present
 from vacancia.functions.text import slugify, strip_tags
 from vacancia.functions.urls import (board_api_url, crawl_pattern, extract_urls, mentions_board,
                                      parse_board_url, surt_prefix, surt_vendor)
+from vacancia.sources.blocks import read_blocks
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -167,6 +168,18 @@ def cluster_blocks(lines: DataFrame, include_preceding: bool = False) -> DataFra
     return direct.unionByName(before)
 
 
+def from_index(spark: SparkSession, index: DataFrame, shards: str, on_error: str = "raise") -> DataFrame:
+    """Boards from a crawl index: blocks are picked by their keys, and only those are read.
+
+    ``index`` has the lines of the cluster index, ``shards`` is the folder of the gzip files.
+    The block before a vendor's first may run into the vendor's keys and is read as
+    well; lines of other keys are left out before they are parsed.
+    """
+    blocks = cluster_blocks(index, include_preceding=True)
+    lines = read_blocks(spark, blocks, shards, on_error)
+    return from_cdx(lines.filter(surt_prefix(F.col("line")).isNotNull()))
+
+
 def hiring_threads(threads: DataFrame, now: Column, months: int = 12) -> DataFrame:
     """Threads that ask who is hiring, created within ``months`` of 30 days."""
     title = F.lower("title")
