@@ -44,3 +44,46 @@ def resolved(spark: SparkSession, path: str) -> str:
         full = full.getParent()
     found = store.resolvePath(full).toString().rstrip("/")
     return "/".join([found, *reversed(below)])
+
+
+class Folder:
+    """Small files and folders of a store, handled on the driver through Spark's own file systems."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self._jvm = spark.sparkContext._jvm
+        self.path = path.rstrip("/")
+        self._store = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self, name: str = "") -> list[str]:
+        """The names in a folder, sorted; none if it does not exist."""
+        at = self._at(name)
+        if not self._store.exists(at):
+            return []
+        return sorted(s.getPath().getName() for s in self._store.listStatus(at))
+
+    def exists(self, name: str) -> bool:
+        return self._store.exists(self._at(name))
+
+    def read(self, name: str) -> str:
+        source = self._store.open(self._at(name))
+        try:
+            return bytes(source.readAllBytes()).decode("utf-8")
+        finally:
+            source.close()
+
+    def write_new(self, name: str, text: str, attempt: str) -> bool:
+        """Write a whole file under its name in one step; False if the name is taken."""
+        part = self._at(f"{name}.{attempt}")
+        sink = self._store.create(part, True)
+        sink.write(bytearray(text.encode("utf-8")))
+        sink.close()
+        done = not self.exists(name) and self._store.rename(part, self._at(name))
+        if not done:
+            self._store.delete(part, False)
+        return done
+
+    def remove(self, name: str) -> None:
+        self._store.delete(self._at(name), True)

@@ -16,6 +16,10 @@ OUTCOME = ("company_id bigint, ats_type string, attempted_at timestamp, status s
            "status_code int, latency_ms bigint, jobs_found bigint, error_message string")
 
 
+def _newest(rows: DataFrame) -> DataFrame:
+    return upsert_jobs(None, rows).drop("is_new")
+
+
 def ingest_batch(payloads: DataFrame, target: str, batch_id: int) -> None:
     """One micro-batch: successful responses to the posting log, all to the poll log.
 
@@ -26,7 +30,7 @@ def ingest_batch(payloads: DataFrame, target: str, batch_id: int) -> None:
         "company_id", "external_id", "title", "url", "location", "department",
         F.col("posted_at").alias("ats_posted_at"), F.col("fetched_at").alias("first_seen_at"),
         F.col("fetched_at").alias("updated_at"), "raw_json")
-    write_batch(upsert_jobs(None, jobs).drop("is_new"), f"{target}/jobs", batch_id)
+    write_batch(_newest(jobs), f"{target}/jobs", batch_id, _newest)
     write_batch(poll_outcomes(payloads), f"{target}/polls", batch_id)
 
 
@@ -41,7 +45,7 @@ def ingest_stream(payloads: DataFrame, target: str, checkpoint: str,
 
 def current_jobs(spark: SparkSession, target: str) -> DataFrame:
     """One row per posting: newest content, earliest sighting."""
-    return upsert_jobs(None, read_all(spark, f"{target}/jobs", LOG).drop("batch_id")).drop("is_new")
+    return _newest(read_all(spark, f"{target}/jobs", LOG))
 
 
 def poll_log(spark: SparkSession, target: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Windowed metrics of streams: rates, counts, latency targets, log tags.
 
 Histories arrive in any order, so nothing here waits for a watermark and drops
-what comes after it. A stream writes small partial counts per micro-batch, each
-into the batch's own folder, and a reader folds them; a row counts whenever it
+what comes after it. A stream appends small partial counts per micro-batch to a
+log that merges and folds old batches, and a reader folds what is left; a row counts whenever it
 arrives, and a retried batch replaces its counts.
 """
 from __future__ import annotations
@@ -60,16 +60,19 @@ def counting_stream(rows: DataFrame, partial: Callable[[DataFrame], DataFrame],
                     available_now: bool = False, interval: str = "1 minute") -> StreamingQuery:
     """Write ``partial`` (counts in column n) of every micro-batch under ``path``."""
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
-    return (rows.writeStream.foreachBatch(lambda df, batch: write_batch(partial(df), path, batch))
+    return (rows.writeStream.foreachBatch(lambda df, batch: write_batch(partial(df), path, batch, _summed))
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
-def folded(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The counts of all micro-batches, summed over equal keys."""
-    parts = read_all(spark, path, f"{schema}, n bigint").drop("batch_id")
+def _summed(parts: DataFrame) -> DataFrame:
     return parts.groupBy(*[c for c in parts.columns if c != "n"]).agg(F.sum("n").alias("n"))
 
 
+def folded(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The counts of all micro-batches, summed over equal keys; old ones are summed already."""
+    return _summed(read_all(spark, path, f"{schema}, n bigint"))
+
+
 def tag_log_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Add the ``subsystem`` a log line names first, null when none."""
     tag = F.regexp_extract(column, r"(matching-loop|scheduler)", 1)
@@ -84,12 +87,18 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 POSTING = ["company_id", "external_id", "body_hash"]
 
 
+def _earliest(rows: DataFrame, time: str) -> DataFrame:
+    first = Window.partitionBy(*POSTING).orderBy(F.col(time).asc_nulls_last())
+    return rows.withColumn("__turn", F.row_number().over(first)).filter("__turn = 1").drop("__turn")
+
+
 def once_per_posting_stream(postings: DataFrame, path: str, checkpoint: str, available_now: bool = False,
-                            interval: str = "1 minute") -> StreamingQuery:
-    """Append the distinct posting contents of every micro-batch under ``path``."""
+                            interval: str = "1 minute", time: str = "fetched_at") -> StreamingQuery:
+    """Append the earliest row of every posting content of a micro-batch under ``path``."""
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     hashed = postings.withColumn("body_hash", F.xxhash64("raw_json"))
-    return (hashed.writeStream.foreachBatch(lambda df, batch: write_batch(df.dropDuplicates(POSTING), path, batch))
+    return (hashed.writeStream.foreachBatch(
+        lambda df, batch: write_batch(_earliest(df, time), path, batch, lambda rows: _earliest(rows, time)))
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
@@ -98,6 +107,4 @@ def once_per_posting(spark: SparkSession, path: str, schema: str, time: str = "f
 
     However late or often a repeat arrives, nothing is lost and nothing is kept twice.
     """
-    rows = read_all(spark, path, f"{schema}, body_hash bigint").drop("batch_id")
-    first = Window.partitionBy(*POSTING).orderBy(F.col(time).asc_nulls_last())
-    return rows.withColumn("__turn", F.row_number().over(first)).filter("__turn = 1").drop("__turn", "body_hash")
+    return _earliest(read_all(spark, path, f"{schema}, body_hash bigint"), time).drop("body_hash")

@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from vacancia import rules
 from vacancia.operators.ordered import first_k_per_key, running_totals
 from vacancia.operators.ratecontrol import aimd_replay
-from vacancia.streaming.tables import read_all, read_before, write_batch
+from vacancia.streaming.tables import read_all, read_before, write_batch, write_state
 
 HEALTH = ("company_id bigint, consecutive_failures bigint, active boolean, "
           "disabled_at timestamp, next_poll_at timestamp")
@@ -73,7 +73,7 @@ def health_stream(polls: DataFrame, target: str, checkpoint: str,
     """Maintain the company state table; each batch writes one new version."""
     def step(df: DataFrame, batch_id: int) -> None:
         before = read_before(df.sparkSession, target, HEALTH, batch_id)
-        write_batch(advance_health(before, df), target, batch_id)
+        write_state(advance_health(before, df), target, batch_id)
     return _stateful(polls, checkpoint, step, available_now)
 
 
@@ -85,7 +85,7 @@ def aimd_stream(polls: DataFrame, target: str, checkpoint: str,
         before = read_before(df.sparkSession, target, AIMD, batch_id)
         carried = None if before is None else before.select(
             "ats_type", "current_concurrent", "current_interval_ms", "clean_window")
-        write_batch(aimd_replay(df, ceilings, carried), target, batch_id)
+        write_state(aimd_replay(df, ceilings, carried), target, batch_id)
     return _stateful(polls, checkpoint, step, available_now)
 
 
@@ -175,7 +175,7 @@ def recovery_points(spark: SparkSession, target: str, max_failures: int = rules.
                     points: tuple[int, ...] = rules.RECOVERY_POINTS_S,
                     repeat_s: int = rules.RECOVERY_REPEAT_S) -> DataFrame:
     """``company_id, due_ms``: the retries of every disabled company up to its next success, or the last poll of all."""
-    polls = read_all(spark, target, POLLS).drop("batch_id")
+    polls = read_all(spark, target, POLLS)
     ok = F.col("status").eqNullSafe("success")
     counted = running_totals(polls, ["company_id"], ["attempted_at", "poll_id"], {"episode": F.when(ok, 1).otherwise(0)})
     disabled = first_k_per_key(counted.filter(~ok), ["company_id", "episode"], [F.col("attempted_at"), F.col("poll_id")],
