@@ -93,6 +93,7 @@ def sides(x, points, weights):
 @pytest.mark.parametrize("few", [1, 64, 1024])
 def test_a_meeting_is_exact_and_prunes(monkeypatch, few):
     monkeypatch.setattr(cover, "FEW_PAIRS", few)
+    monkeypatch.setattr(cover, "FEW_POINTS", min(few, 64))
     x = crowd(5, 60, [3, 30, 90, 200, 150])
     rng = np.random.default_rng(1)
     x = x[rng.permutation(len(x))]

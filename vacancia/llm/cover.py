@@ -38,8 +38,8 @@ PARTNERS = 8
 SLACK = 1e-6
 #: Cosines this close to the threshold are worked out again, component by component.
 CLOSE = 1e-9
-#: Subtrees of so few pairs are compared point by point.
-FEW_PAIRS = 1024
+#: Subtrees of so few pairs are compared point by point, and so few points of a subtree with single points.
+FEW_PAIRS, FEW_POINTS = 1024, 64
 #: Narrow rows that are broadcast at most, a few MB.
 MOST_BROADCAST = 50_000
 #: A split that leaves this share of a node together is followed by splits by hash.
@@ -231,7 +231,11 @@ class Meeting:
 
     def _traverse(self) -> None:
         a, b, stack = self.a, self.b, [(0, 0)]
-        while stack:
+        queries: list[tuple[int, np.ndarray, bool]] = []
+        while stack or queries:
+            if queries:
+                self._query(*queries.pop(), queries)
+                continue
             i, j = stack.pop()
             within = self.same and i == j
             if within and a.end[i] - a.start[i] == 1:
@@ -245,26 +249,51 @@ class Meeting:
             one_a = int((a.end[left] - a.start[left] == 1).sum())       # single points come first
             one_b = int((b.end[right] - b.start[right] == 1).sum())
             rows, cols = a.start[left[:one_a]], b.start[right[:one_b]]
-            if within:                                                   # each pair shows twice, on both sides
-                self._pairs(rows, cols, cosines[:one_a, :one_b], False)
-            else:
-                self._pairs(rows, cols, cosines[:one_a, :one_b], True)
-            self._meet(left, right, cosines, slice(one_a, None), slice(None), within, stack)
+            # Inside one node, each pair of single points shows twice, on both sides.
+            self._pairs(rows, cols, cosines[:one_a, :one_b], not within)
+            self._near(a, left[one_a:], cols, cosines[one_a:, :one_b], True, queries)
             if not within:
-                self._meet(left, right, cosines, slice(0, one_a), slice(one_b, None), False, stack)
+                self._near(b, right[one_b:], rows, cosines[:one_a, one_b:].T, False, queries)
+            self._meet(left[one_a:], right[one_b:], cosines[one_a:, one_b:], within, stack)
 
-    def _meet(self, left, right, cosines, rows: slice, cols: slice, within: bool, stack: list) -> None:
-        """Nodes of more than one point with others: drop, link as a whole, or go on below."""
-        left, right, cosines = left[rows], right[cols], cosines[rows, cols]
+    def _near(self, side: Side, nodes: np.ndarray, points: np.ndarray, cosines: np.ndarray, left: bool, queries: list) -> None:
+        """Nodes of more than one point with single points of the other side: all of those in reach go on together."""
+        if not cosines.size:
+            return
+        self.compared += cosines.size
+        near = np.sqrt(np.maximum(2 - 2 * cosines, 0)) <= side.radius[nodes][:, None] + self.chord + SLACK
+        for k in np.flatnonzero(near.any(axis=1)).tolist():
+            queries.append((int(nodes[k]), points[near[k]], left))
+
+    def _query(self, k: int, points: np.ndarray, left: bool, queries: list) -> None:
+        """One node of the left (or right) side with some points of the other."""
+        side, other = (self.a, self.b) if left else (self.b, self.a)
+
+        def pairs(own: np.ndarray, cosines: np.ndarray) -> None:
+            if left:
+                self._pairs(own, points, cosines, True)
+            else:
+                self._pairs(points, own, cosines.T, True)
+        if side.end[k] - side.start[k] <= FEW_POINTS or not side.children[k]:
+            own = np.arange(side.start[k], side.end[k])
+            pairs(own, side.x[own] @ other.x[points].T)
+            return
+        kids = side.kids(k)
+        cosines = side.x[side.centre[kids]] @ other.x[points].T
+        ones = int((side.end[kids] - side.start[kids] == 1).sum())
+        pairs(side.start[kids[:ones]], cosines[:ones])
+        self._near(side, kids[ones:], points, cosines[ones:], left, queries)
+
+    def _meet(self, left: np.ndarray, right: np.ndarray, cosines: np.ndarray, within: bool, stack: list) -> None:
+        """Nodes of more than one point with each other: drop, link as a whole, or go on below."""
         if not cosines.size:
             return
         self.compared += cosines.size
         apart = np.sqrt(np.maximum(2 - 2 * cosines, 0))
         reach = self.a.radius[left][:, None] + self.b.radius[right][None, :]
         near = apart <= reach + self.chord + SLACK
-        if within:                    # of two nodes of more points, one order; single points come first in number
-            many = self.b.end[right] - self.b.start[right] > 1
-            near &= (left[:, None] <= right[None, :]) | ~many[None, :]
+        if within:
+            near &= left[:, None] <= right[None, :]
         whole = near & (apart + reach <= self.chord - SLACK)
         for i, j in zip(*np.nonzero(whole), strict=True):
             self._whole(int(left[i]), int(right[j]))
@@ -321,7 +350,7 @@ def _assigned(rest: DataFrame, number: int, kind: str) -> tuple[DataFrame, DataF
     (the child), centre. A node's pivots are the points with the smallest number in each of its
     hash buckets, at most ``FAN``. A node's points are dealt to as many tasks as its size asks for.
     """
-    fan = F.least(F.lit(FAN), F.ceil(F.col("size") * 4 / CELL)).cast("int")
+    fan = F.least(F.lit(FAN), F.ceil(F.col("size") * 2 / CELL)).cast("int")
     rest = rest.withColumn("bucket", F.pmod(F.xxhash64("p", F.lit(number)), fan).cast("int"))
     chosen = rest.groupBy("cell", "bucket").agg(F.min("p").alias("p"))
     pivots = reliable(rest.select("p", "vec", "size", "hashed").join(chosen, "p"))
