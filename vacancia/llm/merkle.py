@@ -368,10 +368,10 @@ def document_leaves(docs: DataFrame, text: str = "text") -> DataFrame:
     lower = F.translate(body, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     before = [ids, source, docs["lang"], docs["n_chars"]]
     tampered = F.coalesce(F.crc32(ids.cast("string")) % 5 == 0, F.lit(False))
-    hashed = docs.select(
+    hashed = reliable(docs.select(         # texts are hashed once, not again to sample the ranges
         F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("")).alias("tree"),   # null sorts first
         ids.alias("doc_id"), leaf_digest([*before, body]).alias("digest"),
-        F.when(tampered, leaf_digest([*before, lower])).alias("changed"))
+        F.when(tampered, leaf_digest([*before, lower])).alias("changed")))
     return _ranked(hashed, "tree", ["doc_id", "digest"]).withColumn(
         "given", F.coalesce("changed", "digest")).drop("changed")
 
