@@ -60,15 +60,16 @@ def failure_masks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     """``doc_id, part, mask`` per row of ``docs``: the filters that it fails, E included.
 
     Equal texts are found by their sha256. The smallest id of each digest is an
-    aggregate that is folded map-side; the join that brings it to the rows can be
-    split by the optimiser, so the copies of a popular text are not gathered in a task.
+    aggregate that is folded map-side. Rows are then matched with the first of their
+    text on digest and id: what has no match is a copy, and the copies of a popular
+    text are dealt out by their ids instead of being gathered in a task.
     """
     narrow = docs.select(docs[doc_id].alias("id"), F.coalesce(docs[part].cast("string"), F.lit("")).alias("part"),
                          docs[text].cast("string").alias("text"))
     keyed = reliable(map_texts(narrow, "text", _read, {"digest": "binary", "own": "bigint"}))
-    first = keyed.groupBy("digest").agg(F.min("id").alias("first"))
-    again = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
-    return keyed.join(first, "digest").select(
+    first = keyed.groupBy("digest").agg(F.min("id").alias("id")).withColumn("first", F.lit(True))
+    again = F.col("id").isNotNull() & F.col("first").isNull()
+    return keyed.join(first, ["digest", "id"], "left").select(
         F.col("id").alias("doc_id"), "part",
         (F.col("own") + F.when(again, REPEATED).otherwise(0)).cast("int").alias("mask"))
 
