@@ -58,12 +58,13 @@ def corpus_stats(hit_rows: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def score_hits(hit_rows: DataFrame, terms: list[str], k1: float = rules.BM25_K1,
-               b: float = rules.BM25_B) -> DataFrame:
+               b: float = rules.BM25_B, stats: DataFrame | None = None) -> DataFrame:
     """Add ``bm25_score`` and keep positive scores.
 
-    The statistics are one row, read through a scalar subquery.
+    The statistics are one row (``n_docs, avg_len, df``), read through a scalar
+    subquery; they are taken from the rows unless ``stats`` has them.
     """
-    stats = corpus_stats(hit_rows, terms).select(F.struct("*").alias("s")).scalar()
+    stats = (corpus_stats(hit_rows, terms) if stats is None else stats).select(F.struct("*").alias("s")).scalar()
     c = F.col("__corpus")
     score = F.aggregate("hits", F.lit(0.0), lambda acc, h: acc + idf(
         c["n_docs"], F.element_at(c["df"], h["term"])) * saturated_tf(
@@ -271,6 +272,17 @@ def with_combined(rows: DataFrame) -> DataFrame:
     return named.withColumn("combined", F.round(total, SCORE_DIGITS)).drop("bm25_norm")
 
 
+def best_first(id_col: str) -> tuple[Column, ...]:
+    """The order of re-ranked postings."""
+    return F.desc("combined"), F.desc("bm25_score"), F.asc(id_col)
+
+
+def rerank(scored: DataFrame, k: int, n: int, id_col: str = "job_id") -> DataFrame:
+    """The best ``n`` by combined features among the best ``k`` by score, on narrow rows."""
+    best = top_k(scored, k, id_col)
+    return with_combined(best).drop("hits", "doc_len").orderBy(*best_first(id_col)).limit(n)
+
+
 def retrieve_and_rerank(jobs: DataFrame, profile: Profile, k: int = 200, n: int = 50,
                         id_col: str = "job_id", text: str = "raw_json",
                         body: str = "description", keep: tuple[str, ...] = ("title", "location"),
@@ -287,9 +299,8 @@ def retrieve_and_rerank(jobs: DataFrame, profile: Profile, k: int = 200, n: int
         id_col, "doc_len", "hits", *FEATURES)
     if materialize:
         narrow = reliable(narrow)
-    best = top_k(score_hits(narrow, terms), k, id_col)
-    order = (F.desc("combined"), F.desc("bm25_score"), F.asc(id_col))
-    chosen = with_combined(best).drop("hits", "doc_len").orderBy(*order).limit(n)
+    chosen = rerank(score_hits(narrow, terms), k, n, id_col)
+    order = best_first(id_col)
     # Only the winners fetch their texts; the corpus itself is never written out.
     return (chosen.join(jobs.select(id_col, *keep), id_col)
             .select(id_col, *keep, *FEATURES, "bm25_score", "combined").orderBy(*order))

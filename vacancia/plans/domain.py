@@ -123,6 +123,9 @@ SELECT o_orderkey AS job_id, CASE WHEN o_custkey % 11 = 5 THEN o_custkey - 1 ELS
        concat('<p>', {_case('o_orderkey % 13', PHRASES)}, '</p> ',
               {_case('(o_orderkey + o_custkey) % 13', PHRASES)}) AS description
 FROM {{orders}}""",
+    # Runs of earlier ticks: the postings of one department were scored.
+    "stored_runs": """
+SELECT company_slug, title, url FROM {postings} WHERE department = 'fr'""",
     "raw_jobs": """
 SELECT *, CASE job_id % 5
        WHEN 0 THEN concat('{"id":', external_id, ',"content":"', description, '"}')

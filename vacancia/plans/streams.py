@@ -13,6 +13,7 @@ from vacancia.plans.matching import _REL, _RERANK, PROFILE
 from vacancia.plans.registry import Registry, ms, scratch
 from vacancia.streaming import ingest, matching, rates, state
 from vacancia.streaming.tables import read_last
+from vacancia.streaming.termindex import TermIndex
 
 streams = Registry()
 
@@ -147,10 +148,12 @@ def _scorer(frame: pd.DataFrame) -> pd.DataFrame:
                          "latency_ms": 1000.0, "error": None})
 
 
-_LOOP = _RERANK.replace("LIMIT 50)", "LIMIT 30)")
+_LOOP = """, fresh AS (SELECT * FROM postings p WHERE NOT EXISTS (SELECT 1 FROM stored_runs r
+  WHERE r.company_slug = p.company_slug AND r.title = p.title))
+""" + _RERANK.replace("FROM postings", "FROM fresh").replace("LIMIT 50)", "LIMIT 30)")
 
 
-@streams.add("st5_matching_loop", ctes("postings") + _LOOP + f"""
+@streams.add("st5_matching_loop", ctes("postings", "stored_runs") + _LOOP + f"""
 , gate AS (SELECT b.*, company_slug, url, {_REL} AS relevant FROM best b JOIN (SELECT doc_id, company_slug,
    url FROM postings) USING (doc_id)),
  nb AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) % 20 AS i FROM gate WHERE relevant)
@@ -159,19 +162,19 @@ SELECT company_slug, title, url, CAST(50 + i AS DOUBLE) AS score, CASE WHEN 50 +
 SELECT company_slug, title, url, 0.0, 'skip', concat('Title "', title, '" not SWE-relevant')
 FROM gate WHERE NOT relevant""")
 def _(spark, sf):
-    """One matching tick per trigger over the postings; reads the stored run."""
+    """One matching tick per trigger over the index that the arriving postings maintain; reads the stored run."""
     base = scratch(spark, "matching")
-    arrivals = source(spark, sf, "documents")
 
     def jobs(s):
         return view(s, sf, "postings").withColumnRenamed("doc_id", "job_id")
 
     def save(df, batch_id):
         df.write.mode("overwrite").parquet(f"{base}/runs/run_id={batch_id}")
-
+    index = TermIndex(spark, f"{base}/index", PROFILE, text="description")
     matching.matching_stream(
-        arrivals, jobs, lambda s, b: None, save, PROFILE, _scorer, f"{base}/checkpoint",
-        available_now=True, k=200, n=30, text="description").awaitTermination()
+        streamed(spark, sf, "postings", "documents").withColumnRenamed("doc_id", "job_id"), index, jobs,
+        lambda s, b: view(s, sf, "stored_runs"), save, _scorer, f"{base}/checkpoint",
+        available_now=True, k=200, n=30).awaitTermination()
     return spark.read.parquet(f"{base}/runs").select(
         "company_slug", "title", "url", "score", "band", "reasoning")
 

@@ -98,8 +98,12 @@ class BatchLog:
         df.write.parquet(f"{self.path}/{name}")
         return name
 
-    def append(self, df: DataFrame, batch_id: int, query: str | None = None, restart: bool = False) -> bool:
-        """Add a micro-batch's rows; False if the batch is part of a merged folder already."""
+    def append(self, df: DataFrame, batch_id: int, query: str | None = None, restart: bool = False,
+               merge: bool = True) -> bool:
+        """Add a micro-batch's rows; False if the batch is part of a merged folder already.
+
+        Tables that have to be written together are appended without merging, and merged when all are written.
+        """
         query = query or query_of(self.spark)
         now = self.version()
         if restart and all(e["query"] != query for e in now.entries) and query not in now.merged:
@@ -113,10 +117,19 @@ class BatchLog:
             entries[place[0]] = entry
         else:
             entries.append(entry)
-        version = self._commit(Version(now.number, entries, now.merged))
+        self._commit(Version(now.number, entries, now.merged))
+        if merge:
+            self.merge()
+        return True
+
+    def has_merged(self, batch_id: int, query: str | None = None) -> bool:
+        return batch_id <= self.version().merged.get(query or query_of(self.spark), -1)
+
+    def merge(self) -> None:
+        """Merge levels until none is full."""
+        version = self.version()
         while (merged := self._merged(version)) is not None:
             version = merged
-        return True
 
     def _merged(self, now: Version) -> Version | None:
         """The version after merging the first level that is full; none if none is."""
