@@ -1,6 +1,8 @@
 """Streams fed in several micro-batches must leave what the batch operators compute."""
 import random
+from contextlib import contextmanager
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,33 +60,105 @@ def test_aimd_stream(spark, poll_files, tmp_path):
         assert got[ats] == aimd([r for r in rows if pick(r)], *ceilings[ats])
 
 
-def test_recovery_schedule(spark, tmp_path):
-    """Five failures disable at t=40; other traffic moves the clock, a success ends the retries."""
-    hour, day_s, t0 = 3600, 86400, 1_700_000_000
-    clock = [2 * hour, 3 * hour, 5 * hour, day_s + hour, day_s + 2 * hour, 2 * day_s + hour]
-    parts = [[(i, 7, t0 + i * 10, "error") for i in range(5)]]
-    parts += [[(10 + i, 8, t0 + at, "success")] for i, at in enumerate(clock)]
-    parts += [[(20, 7, t0 + 2 * day_s + 2 * hour, "success")]]
-    parts += [[(30 + i, 8, t0 + at, "success")] for i, at in enumerate((9 * day_s, 10 * day_s))]
-    for i, part in enumerate(parts):
-        spark.createDataFrame(part, "poll_id bigint, company_id bigint, t bigint, status string").withColumn(
-            "throttled", F.lit(False)).withColumn("ats_type", F.lit("x")).withColumn(
-            "attempted_at", F.timestamp_seconds("t")).coalesce(1).write.parquet(f"{tmp_path}/in/f{i}")
+POLLS = "poll_id bigint, company_id bigint, t bigint, status string"
+
+
+def poll_history(seed=4, companies=4, polls=160):
+    """Failing and recovering companies, with equal times."""
+    rng, t0 = random.Random(seed), 1_700_000_000
+    rows = []
+    for c in range(companies):
+        at = t0
+        for k in range(polls // companies):
+            at += rng.choice([0, 60, 900, 7200, 90_000])
+            rows.append((c * 1000 + k, c, at, "success" if rng.random() < 0.12 else "error"))
+    return rows
+
+
+@contextmanager
+def rocksdb(spark):
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, ROCKSDB)
     try:
-        query = (state.recovery_schedule(stream(spark, f"{tmp_path}/in")).writeStream.format("parquet")
-                 .option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c")
-                 .trigger(availableNow=True).start())
-        query.awaitTermination()
+        yield
     finally:
         spark.conf.set(key, before)
-    disabled = (1_700_000_000 + 40) * 1000
-    got = sorted(r.due_ms - disabled for r in spark.read.schema("company_id bigint, due_ms bigint").parquet(
-        f"{tmp_path}/out").collect())
-    day = 86_400_000
-    assert got[:4] == [600_000, 3_600_000, 14_400_000, day] and set(got[4:]) <= {2 * day}
+
+
+def polls_in(spark, folder, rows, batches):
+    size = -(-len(rows) // batches)
+    for b in range(batches):
+        spark.createDataFrame(rows[b * size:(b + 1) * size], POLLS).withColumn(
+            "attempted_at", F.timestamp_seconds("t")).coalesce(1).write.parquet(f"{folder}/f{b}")
+    schema = POLLS + ", attempted_at timestamp"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+
+
+def read_whole(query, rows, most=60):
+    """Processing-time timers keep a stream going; it is stopped when all rows are in."""
+    import time
+    try:
+        for _ in range(most * 4):
+            if query.exception() or sum(p["numInputRows"] for p in query.recentProgress) >= rows:
+                break
+            time.sleep(0.25)
+    finally:
+        query.stop()
+    assert not query.exception() and sum(p["numInputRows"] for p in query.recentProgress) == rows
+
+
+@pytest.mark.parametrize("batches, hold", [(1, None), (4, None), (4, 10 ** 12), (4, 0)])
+def test_stateful_and_folded_schedules_agree(spark, tmp_path, batches, hold):
+    """In falling time order every poll but the first batch's comes late; with hold 0 the polls rise and are settled at once."""
+    rows = sorted(poll_history(), key=lambda r: (r[2], r[0]), reverse=hold != 0)
+    if hold == 0:           # polls of one moment are not parted
+        rows = [r for k, r in enumerate(rows) if k == 0 or r[1:3] != rows[k - 1][1:3]]
+    last = max(r[2] for r in rows) * 1000
+    with rocksdb(spark):
+        query = (state.recovery_schedule(polls_in(spark, f"{tmp_path}/in", rows, batches), hold_ms=hold, clock_ms=last)
+                 .writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c")
+                 .trigger(processingTime="100 milliseconds").start())
+        read_whole(query, len(rows))
+    changes = spark.read.schema("company_id bigint, due_ms bigint, sign bigint").parquet(f"{tmp_path}/out")
+    got = sorted(map(tuple, state.recovery_schedule_now(changes).collect()))
+    state.recovery_stream(polls_in(spark, f"{tmp_path}/in2", rows, batches), f"{tmp_path}/s", f"{tmp_path}/c2", True).awaitTermination()
+    want = sorted(map(tuple, state.recovery_points(spark, f"{tmp_path}/s").collect()))
+    assert got == want and len(want) > 10
+    if batches == 4 and hold is None:
+        assert changes.filter("sign = -1").count() > 0
+
+
+def test_timers_fire_at_the_retry_points(spark, tmp_path):
+    """A company disabled an hour less ten seconds ago: two seconds short of a retry, the timer brings it."""
+    import time
+    now = int(time.time())
+    rows = [(k, 7, now - 3590 + k // 5, "error") for k in range(5)]
+    polls = polls_in(spark, f"{tmp_path}/in", rows, 1)
+    with rocksdb(spark):
+        query = (state.recovery_schedule(polls).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+                 .option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="200 milliseconds").start())
+        try:
+            for _ in range(60):
+                time.sleep(1)
+                got = [] if not (tmp_path / "out").exists() else [tuple(r) for r in spark.read.schema(
+                    "company_id bigint, due_ms bigint, sign bigint").parquet(f"{tmp_path}/out").collect()]
+                if len(got) == 2:
+                    break
+        finally:
+            query.stop()
+    assert sorted(got) == [(7, (now - 3590 + 600) * 1000, 1), (7, (now - 3590 + 3600) * 1000, 1)]
+
+
+@pytest.mark.parametrize("cut", range(0, 100, 9))
+def test_settling_changes_no_period(cut):
+    polls = np.array([(t * 1000, i, s == "success") for i, c, t, s in poll_history(9, 1, 100)], np.int64)
+    rng = np.random.default_rng(1)
+    polls = polls[rng.permutation(len(polls))]
+    until = int(np.sort(polls[:, 0])[cut])
+    left, settled = state.settle(polls, until)
+    whole = state.disabled_periods(polls)
+    assert state.disabled_periods(left, settled=settled) == [p for p in whole if p[1] is None or p[1] + 1 >= until]
 
 
 def test_ingest_stream_is_idempotent(spark, tmp_path):

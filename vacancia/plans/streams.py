@@ -114,7 +114,18 @@ def _(spark, sf):
         "company_id", "consecutive_failures", "active", ms("disabled_at"))
 
 
-@streams.add("st3_recovery_schedule")
+@streams.add("st3_recovery_schedule", _HEALTH + """
+, p AS (SELECT company_id, poll_id, epoch_ms(attempted_at) AS t, status = 'success' AS ok,
+   sum(CASE WHEN status = 'success' THEN 1 ELSE 0 END) OVER (PARTITION BY company_id ORDER BY attempted_at, poll_id)
+   AS episode FROM polls),
+ f AS (SELECT company_id, episode, t, row_number() OVER (PARTITION BY company_id, episode ORDER BY t, poll_id) AS rn
+   FROM p WHERE NOT ok),
+ e AS (SELECT company_id, episode - 1 AS episode, t - 1 AS until FROM p WHERE ok),
+ d AS (SELECT f.company_id, f.t AS since, coalesce(e.until, (SELECT max(t) FROM p)) AS until
+   FROM f LEFT JOIN e ON f.company_id = e.company_id AND f.episode = e.episode WHERE f.rn = 5),
+ r AS (SELECT company_id, until, since + unnest(list_concat([600000, 3600000, 14400000],
+   list_transform(range(1, greatest(0, (until - since) // 86400000) + 1), lambda k: k * 86400000))) AS due_ms FROM d)
+SELECT company_id, due_ms::BIGINT AS due_ms FROM r WHERE due_ms <= until""")
 def _(spark, sf):
     """Recovery attempts of disabled companies, from all polls whatever their order."""
     base = scratch(spark, "recovery")

@@ -3,11 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from vacancia import rules
 from vacancia.operators.ordered import first_k_per_key, running_totals
@@ -89,79 +89,160 @@ def aimd_stream(polls: DataFrame, target: str, checkpoint: str,
     return _stateful(polls, checkpoint, step, available_now)
 
 
+#: What is settled about a company: failures since the last success, when it was disabled (0: it is not), and up to when.
+NOTHING = (0, 0, -1 << 62)
+
+
+def disabled_periods(polls: np.ndarray, max_failures: int = rules.MAX_FAILURES,
+                     settled: tuple[int, int, int] = NOTHING) -> list[tuple[int, int | None]]:
+    """When a company was disabled: ``(since, until)`` in ms, until the moment before the next success or open.
+
+    ``polls`` has rows of time in ms, poll id and success (0 or 1), in any order; all are later than what is settled.
+    """
+    polls = polls[np.lexsort((polls[:, 1], polls[:, 0]))]
+    ok = np.flatnonzero(polls[:, 2])
+    starts, ends = np.concatenate(([0], ok + 1)), np.concatenate((ok, [len(polls)]))
+    out: list[tuple[int, int | None]] = []
+    failures, since, _ = settled
+    for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+        if not since and failures + end - start >= max_failures:
+            since = int(polls[start + max_failures - failures - 1, 0])
+        if since:
+            out.append((since, int(polls[end, 0]) - 1 if end < len(polls) else None))
+        failures = since = 0
+    return out
+
+
+def settle(polls: np.ndarray, until: int, max_failures: int = rules.MAX_FAILURES,
+           settled: tuple[int, int, int] = NOTHING) -> tuple[np.ndarray, tuple[int, int, int]]:
+    """Polls before ``until`` folded into the summary, and those that are left."""
+    old, left = polls[polls[:, 0] < until], polls[polls[:, 0] >= until]
+    if not len(old):
+        return left, (settled[0], settled[1], max(settled[2], until))
+    old = old[np.lexsort((old[:, 1], old[:, 0]))]
+    ok = np.flatnonzero(old[:, 2])
+    if len(ok):
+        failures = len(old) - int(ok[-1]) - 1
+    else:
+        failures = settled[0] + len(old)
+    last = disabled_periods(old, max_failures, settled)
+    since = last[-1][0] if last and last[-1][1] is None else 0
+    return left, (min(failures, max_failures), since, max(settled[2], until))
+
+
+def retries(since: int, until: int, points: tuple[int, ...] = rules.RECOVERY_POINTS_S,
+            repeat_s: int = rules.RECOVERY_REPEAT_S) -> list[int]:
+    """The retry moments in ms after ``since``, up to and with ``until``."""
+    first = [since + p * 1000 for p in points]
+    daily = range(since + repeat_s * 1000, until + 1, repeat_s * 1000)
+    return [d for d in first if d <= until] + list(daily)
+
+
 class RecoverySchedule(StatefulProcessor):
-    """Per company: emits the retry moments after it was disabled, until a success.
+    """Per company: the retry moments while it is disabled, as they come and whatever comes late.
+
+    A list state holds the polls until their order is settled, ``hold_ms`` after them; older ones are folded
+    into three numbers. A poll that comes late is put in its place: the schedule before and after it is compared, and
+    what differs is emitted with sign 1 (a retry that is due) or -1 (one that was emitted and is none).
+    Of the last, open period the next moment is a timer. The sum of signs per company and moment
+    is the schedule. Without ``hold_ms`` no poll is too late; with it, polls of before the settled
+    moment are left out. ``ttl_ms`` ends the state of companies that are polled no more; it has to exceed ``hold_ms``.
 
-    State is two numbers; event-time timers fire at the fixed retry points and
-    then once a day.
+    The clock is the processing time, or ``clock_ms`` to replay a history up to a moment. Rows are
+    taken frame by frame as they arrive; what is in memory is three numbers for each poll that is not settled.
     """
 
-    def __init__(self, max_failures: int = rules.MAX_FAILURES,
-                 points: tuple[int, ...] = rules.RECOVERY_POINTS_S,
-                 repeat_s: int = rules.RECOVERY_REPEAT_S) -> None:
+    def __init__(self, max_failures: int = rules.MAX_FAILURES, points: tuple[int, ...] = rules.RECOVERY_POINTS_S,
+                 repeat_s: int = rules.RECOVERY_REPEAT_S, hold_ms: int | None = None, ttl_ms: int | None = None,
+                 clock_ms: int | None = None) -> None:
         self.max_failures, self.points, self.repeat_s = max_failures, points, repeat_s
+        self.hold_ms, self.ttl_ms, self.clock_ms = hold_ms, ttl_ms, clock_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        fields = [StructField("failures", LongType()), StructField("disabled_ms", LongType())]
-        self.state = handle.getValueState("health", StructType(fields))
-
-    def _get(self) -> tuple[int, int]:
-        value = self.state.get() if self.state.exists() else None
-        return (int(value[0]), int(value[1])) if value is not None else (0, 0)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
-                        ) -> Iterator[pd.DataFrame]:
-        failures, disabled = self._get()
-        # A micro-batch is bounded by the source's rate limit; only order matters here.
-        polls = pd.concat(list(rows)).sort_values(["attempted_at", "poll_id"])
-        for at, status in zip(polls["attempted_at"], polls["status"]):
-            if status == "success":
-                failures, disabled = 0, 0
-            else:
-                failures += 1
-                if failures >= self.max_failures and not disabled:
-                    disabled = int(at.timestamp() * 1000)
+        self.polls = handle.getListState("polls", "at_ms long, poll_id long, ok long", self.ttl_ms)
+        self.summary = handle.getValueState("summary", "failures long, since long, settled long, told long", self.ttl_ms)
+
+    def _held(self) -> tuple[np.ndarray, tuple[int, int, int], int | None]:
+        rows = list(self.polls.get()) if self.polls.exists() else []
+        known = self.summary.get() if self.summary.exists() else None
+        settled = NOTHING if known is None else tuple(int(x) for x in known[:3])
+        return np.array(rows, np.int64).reshape(-1, 3), settled, None if known is None else int(known[3])
+
+    def _due(self, periods: list[tuple[int, int | None]], clock: int) -> set[int]:
+        out: set[int] = set()
+        for since, until in periods:
+            out.update(retries(since, clock if until is None else min(until, clock), self.points, self.repeat_s))
+        return out
+
+    def _clock(self, timerValues) -> int:
+        return self.clock_ms if self.clock_ms is not None else timerValues.getCurrentProcessingTimeInMs()
+
+    def _rows(self, company: int, signed: list[tuple[int, int]]) -> pd.DataFrame:
+        return pd.DataFrame({"company_id": [company] * len(signed), "due_ms": [d for d, _ in signed],
+                             "sign": [s for _, s in signed]}).astype("int64")
+
+    def _set_timer(self, periods: list[tuple[int, int | None]], clock: int) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if disabled:
-            now = timerValues.getCurrentWatermarkInMs()
-            self.handle.registerTimer(self._next(disabled, max(now, disabled)))
-        self.state.update((failures, disabled))
-        yield pd.DataFrame({"company_id": [], "due_ms": []})
-
-    def _next(self, disabled: int, after: int) -> int:
-        for p in self.points:
-            if disabled + p * 1000 > after:
-                return disabled + p * 1000
-        day = self.repeat_s * 1000
-        return disabled + ((after - disabled) // day + 1) * day
+        if self.clock_ms is None and periods and periods[-1][1] is None:
+            since, day = periods[-1][0], self.repeat_s * 1000
+            later = [since + p * 1000 for p in self.points] + [since + (max(clock - since, 0) // day + 1) * day]
+            self.handle.registerTimer(min(d for d in later if d > clock))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        clock = self._clock(timerValues)
+        held, settled, told = self._held()
+        parts = [held]
+        for frame in rows:
+            new = np.column_stack([frame["at_ms"].to_numpy(np.int64), frame["poll_id"].to_numpy(np.int64),
+                                   (frame["status"] == "success").to_numpy(np.int64)])
+            new = new[new[:, 0] >= settled[2]]
+            if len(new):
+                self.polls.appendList([tuple(r) for r in new.tolist()])
+                parts.append(new)
+        polls = np.concatenate(parts)
+        periods = disabled_periods(polls, self.max_failures, settled)
+        before = self._due(disabled_periods(held, self.max_failures, settled), told) if told is not None else set()
+        after = self._due(periods, clock)
+        if self.hold_ms is not None and len(polls):
+            left, settled = settle(polls, int(polls[:, 0].max()) - self.hold_ms, self.max_failures, settled)
+            if len(left) < len(polls):
+                self.polls.put([tuple(r) for r in left.tolist()])
+        self.summary.update((*settled, clock))
+        self._set_timer(periods, clock)
+        yield self._rows(key[0], [(d, 1) for d in sorted(after - before)] + [(d, -1) for d in sorted(before - after)])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, disabled = self._get()
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        if disabled:
-            self.handle.registerTimer(self._next(disabled, due))
-            yield pd.DataFrame({"company_id": [key[0]], "due_ms": [due]})
-        else:
-            yield pd.DataFrame({"company_id": [], "due_ms": []})
+        clock = self._clock(timerValues)
+        polls, settled, told = self._held()
+        periods = disabled_periods(polls, self.max_failures, settled)
+        fresh = sorted(self._due(periods, clock) - self._due(periods, told or 0))
+        self.summary.update((*settled, clock))
+        self._set_timer(periods, clock)
+        yield self._rows(key[0], [(d, 1) for d in fresh])
 
     def close(self) -> None:
         pass
 
 
-def recovery_schedule(polls: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Streaming ``(company_id, due_ms)`` of recovery attempts; needs the RocksDB state store.
+def recovery_schedule(polls: DataFrame, hold_ms: int | None = None, ttl_ms: int | None = None,
+                      clock_ms: int | None = None) -> DataFrame:
+    """Streaming ``(company_id, due_ms, sign)``: retries as they fall due, corrected by polls that come late.
 
-    For live polls in about time order: those behind the watermark are not seen.
-    ``recovery_stream`` and ``recovery_points`` count every poll, whenever it comes.
+    Needs the RocksDB state store provider, and a processing-time trigger: with timers of that kind a stream that
+    takes what is available never ends by itself. ``recovery_schedule_now`` sums the signs.
+    A company whose polls do not fit a task belongs to ``recovery_stream`` and ``recovery_points``.
     """
-    return (
-        polls.withWatermark("attempted_at", watermark).groupBy("company_id")
-        .transformWithStateInPandas(
-            statefulProcessor=RecoverySchedule(), outputStructType="company_id bigint, due_ms bigint",
-            outputMode="Append", timeMode="EventTime")
-    )
+    named = polls.select("company_id", F.unix_millis("attempted_at").alias("at_ms"), "poll_id", "status")
+    return named.groupBy("company_id").transformWithStateInPandas(
+        statefulProcessor=RecoverySchedule(hold_ms=hold_ms, ttl_ms=ttl_ms, clock_ms=clock_ms),
+        outputStructType="company_id bigint, due_ms bigint, sign bigint", outputMode="Append", timeMode="ProcessingTime")
+
+
+def recovery_schedule_now(changes: DataFrame) -> DataFrame:
+    """``company_id, due_ms`` of the retries that stand after all changes."""
+    return changes.groupBy("company_id", "due_ms").agg(F.sum("sign").alias("n")).filter("n > 0").select("company_id", "due_ms")
 
 
 def recovery_stream(polls: DataFrame, target: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
