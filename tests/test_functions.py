@@ -99,3 +99,42 @@ def test_expand_query_is_distinct():
     terms = expand_query(p)
     assert terms[:4] == ["backend", "ai", "ml", "node.js"] and len(terms) == len(set(terms))
     assert set(rules.QUERY_EXPANSION) <= set(terms)
+
+
+def _scans(text):
+    """Every bracket tried in turn: what the one-pass extraction must equal."""
+    import re
+    bare = re.sub(r"```(?:json)?\s*", "", text)
+    token = re.compile(r'"(?:\\.|[^"\\])*"|\[|\]', re.S)
+    for start in [i for i, c in enumerate(bare) if c == "["]:
+        depth = 0
+        for m in token.finditer(bare, start):
+            depth += {"[": 1, "]": -1}.get(m.group(), 0)
+            if depth == 0 and m.group() == "]":
+                if "{" in bare[start:m.end()]:
+                    return bare[start:m.end()]
+                break
+    return None
+
+
+def test_balanced_extraction_is_that_of_every_bracket_in_turn():
+    import random
+
+    from vacancia.functions.text import _outer_array
+    rng = random.Random(7)
+    for k in range(30_000):
+        chars = '[]"\\{}a' if k % 2 else '[[]]""{,` \n'
+        text = "".join(rng.choice(chars) for _ in range(rng.randint(0, 24)))
+        assert _outer_array(text) == _scans(text), text
+
+
+def test_balanced_extraction_is_linear():
+    import time
+
+    from vacancia.functions.text import _outer_array
+    started = time.perf_counter()
+    assert _outer_array("[" * 100_000) is None
+    assert _outer_array('["' * 50_000 + "{") is None
+    assert _outer_array("[" * 50_000 + "{" + "]" * 50_000)[0] == "["
+    assert _outer_array("[]" * 50_000 + "{") is None
+    assert time.perf_counter() - started < 2

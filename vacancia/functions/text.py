@@ -90,27 +90,47 @@ def greedy_array(text: Column) -> Column:
 
 
 def _outer_array(text: str | None) -> str | None:
-    """First balanced ``[...]`` holding an object, ignoring brackets in strings."""
+    """First balanced ``[...]`` holding an object, ignoring brackets in strings; linear in the text.
+
+    A scan from any bracket only moves forward over quotes and brackets, so what it meets first
+    unmatched is worked out once for each of them, from the end backwards.
+    """
     if text is None:
         return None
     import re
 
     bare = re.sub(r"```(?:json)?\s*", "", text)
-    token = re.compile(r'"(?:\\.|[^"\\])*"|\[|\]', re.S)
-    start = bare.find("[")
-    while start >= 0:
-        depth = 0
-        for m in token.finditer(bare, start):
-            if m.group() == "[":
-                depth += 1
-            elif m.group() == "]":
-                depth -= 1
-                if depth == 0:
-                    found = bare[start:m.end()]
-                    if "{" in found:
-                        return found
-                    break
-        start = bare.find("[", start + 1)
+    events = [(m.start(), m.group()) for m in re.finditer(r'["\[\]]', bare)]
+    n = len(events)
+    # The event behind the string that a quote would open: its closing quote has an even run of backslashes before it.
+    behind, closing = [0] * n, -1
+    for k in range(n - 1, -1, -1):
+        at, kind = events[k]
+        if kind == '"':
+            behind[k] = closing + 1 if closing >= 0 else k + 1
+            run = at
+            while run and bare[run - 1] == "\\":
+                run -= 1
+            if (at - run) % 2 == 0:
+                closing = k
+    unmatched, partner = [-1] * (n + 1), [-1] * n
+    for k in range(n - 1, -1, -1):
+        kind = events[k][1]
+        if kind == "]":
+            unmatched[k] = k
+        elif kind == '"':
+            unmatched[k] = unmatched[behind[k]]
+        else:
+            partner[k] = unmatched[k + 1]
+            unmatched[k] = unmatched[partner[k] + 1] if partner[k] >= 0 else -1
+    brace = -1
+    for k, (at, kind) in enumerate(events):
+        if kind == "[" and partner[k] >= 0:
+            brace = brace if brace >= at else bare.find("{", at)
+            if brace < 0:
+                return None
+            if brace < events[partner[k]][0]:
+                return bare[at:events[partner[k]][0] + 1]
     return None
 
 

@@ -1,7 +1,7 @@
 """Source health from the poll log: streaks, current state, due and recovery lists."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacancia import rules
@@ -12,34 +12,54 @@ def _stamp() -> Column:
     return F.struct("attempted_at", "poll_id")
 
 
-def poll_health(polls: DataFrame, max_failures: int = rules.MAX_FAILURES,
-                interval_ms: int = rules.POLL_INTERVAL_MS) -> DataFrame:
-    """Current state per company.
+def daily_summaries(polls: DataFrame, max_failures: int = rules.MAX_FAILURES) -> DataFrame:
+    """``company_id, day, last_ok, tail, head``: a company's day as a mergeable summary.
 
-    Only failures after the last success matter. The last success is one
-    mergeable aggregate; the disabling failure is the ``max_failures``-th row
-    of a group-limited rank, so no company's log is gathered in one task.
+    The last success, the failures after it, and the first ``max_failures`` of these
+    (with their rank in the day). Two summaries merge in the order of time: a later success replaces
+    all before it, else counts add up and the heads are joined and cut. One scan and one shuffle;
+    a group is a company's day, whatever the length of its log.
     """
-    last = polls.groupBy("company_id").agg(
-        F.max(F.when(F.col("status") == "success", _stamp())).alias("last_ok"))
-    since = (
-        polls.filter("status <> 'success'").join(last, "company_id")
-        .filter(F.col("last_ok").isNull() | (_stamp() > F.col("last_ok")))
-        .select("company_id", "attempted_at", "poll_id")
-    )
-    streak = since.groupBy("company_id").agg(F.count(F.lit(1)).alias("consecutive_failures"))
-    nth = first_k_per_key(since, ["company_id"], [F.col("attempted_at"), F.col("poll_id")],
-                          max_failures).filter(F.col("rn") == max_failures)
-    disabled = nth.select("company_id", F.col("attempted_at").alias("disabled_at"))
-    return (
-        last.join(streak, "company_id", "left").join(disabled, "company_id", "left")
-        .select(
-            "company_id",
-            F.coalesce("consecutive_failures", F.lit(0)).alias("consecutive_failures"),
-            F.col("disabled_at").isNull().alias("active"), "disabled_at",
-            (F.col("last_ok.attempted_at")
-             + F.make_dt_interval(secs=F.lit(interval_ms / 1000))).alias("next_poll_at"))
-    )
+    rows = polls.select("company_id", "attempted_at", "poll_id", F.unix_date(F.to_date("attempted_at")).alias("day"),
+                        (F.col("status") == "success").alias("ok"))
+    day = Window.partitionBy("company_id", "day")
+    marked = rows.withColumn("last_ok", F.max(F.when(F.col("ok"), _stamp())).over(day))
+    tail = ~F.col("ok") & (F.col("last_ok").isNull() | (_stamp() > F.col("last_ok")))
+    marked = marked.withColumn("in_tail", F.coalesce(tail, F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy("company_id", "day", "in_tail").orderBy("attempted_at", "poll_id"))
+    first = F.col("in_tail") & (F.col("rn") <= max_failures)
+    return marked.withColumn("rn", rank).groupBy("company_id", "day").agg(
+        F.max("last_ok").alias("last_ok"), F.count_if("in_tail").alias("tail"),
+        F.sort_array(F.collect_list(F.when(first, F.struct("rn", "attempted_at")))).alias("head"))
+
+
+def merged_summaries(days: DataFrame, max_failures: int = rules.MAX_FAILURES) -> DataFrame:
+    """``company_id, last_ok, failures, head``: the daily summaries of a company merged.
+
+    ``head`` has the times of the first ``max_failures`` failures after the last success.
+    """
+    company = Window.partitionBy("company_id")
+    since = F.max(F.when(F.col("last_ok").isNotNull(), F.col("day"))).over(company)
+    live = days.withColumn("since", since).filter(F.col("since").isNull() | (F.col("day") >= F.col("since")))
+    earlier = F.coalesce(F.sum("tail").over(company.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    live = live.withColumn("earlier", earlier)
+    # Days that start behind the first failures give none of them.
+    head = F.when(F.col("earlier") < max_failures, F.struct("day", "head"))
+    return live.groupBy("company_id").agg(
+        F.max("last_ok").alias("last_ok"), F.sum("tail").cast("bigint").alias("failures"),
+        F.slice(F.flatten(F.transform(F.sort_array(F.collect_list(head)), lambda d: d["head"]["attempted_at"])),
+                1, max_failures).alias("head"))
+
+
+def poll_health(polls: DataFrame, max_failures: int = rules.MAX_FAILURES,
+                interval_ms: int = rules.POLL_INTERVAL_MS) -> DataFrame:
+    """Current state per company, from one scan of the log: only failures after the last success matter."""
+    last = merged_summaries(daily_summaries(polls, max_failures), max_failures)
+    disabled = F.get("head", F.lit(max_failures - 1))
+    return last.select(
+        "company_id", F.col("failures").alias("consecutive_failures"), disabled.isNull().alias("active"),
+        disabled.alias("disabled_at"),
+        (F.col("last_ok.attempted_at") + F.make_dt_interval(secs=F.lit(interval_ms / 1000))).alias("next_poll_at"))
 
 
 def failure_streaks(polls: DataFrame, max_failures: int = rules.MAX_FAILURES) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from vacancia import rules
 from vacancia.operators.ordered import order_statistics
+from vacancia.session import reliable
 
 # One row per vendor and chunk. Until the chunk's first failure the window count
 # carried in matters, so the clean prefix is kept apart from the rest.
@@ -201,6 +202,35 @@ def rung_stats(probes: DataFrame, keys: list[str]) -> DataFrame:
     return counts.join(p95, keys)
 
 
+def baselines(probes: DataFrame) -> DataFrame:
+    """``ats_type, baseline_p95_ms, ramp_interval_ms`` from the probes of the sequential baseline phase."""
+    base = order_statistics(probes.filter("ramp = 'baseline'"), ["ats_type"], "latency_ms",
+                            {"baseline_p95_ms": ("nearest", 0.95)}).drop("n")
+    return base.withColumn("ramp_interval_ms", ramp_interval_ms(F.col("baseline_p95_ms")).cast("bigint"))
+
+
+def signalled_rungs(probes: DataFrame, base: DataFrame) -> DataFrame:
+    """Rung statistics with ``signal``, judged against the vendor's own baseline (0 if there is none)."""
+    rungs = rung_stats(probes, ["ats_type", "ramp", "rung_no", "level"]).join(base, "ats_type", "left")
+    return rungs.withColumn("signal", calibration_signal(
+        F.col("p95_ms"), F.coalesce("baseline_p95_ms", F.lit(0)), F.col("errors_429"), F.col("errors_5xx"),
+        F.col("errors_conn"), F.col("rate_limit_headers")))
+
+
+def calibrated(probes: DataFrame) -> DataFrame:
+    """Recommendation per (vendor, ramp), in two phases: ``ats_type, ramp, stopped, recommended, baseline_p95_ms``.
+
+    The concurrency ramp comes first; of the interval ramp only the rungs that
+    were probed at the concurrency it recommends count. ``probes`` has (ats_type, ramp, rung_no, level,
+    concurrent, latency_ms, status_code, throttled), baseline probes included.
+    """
+    base = reliable(baselines(probes))
+    first = reliable(recommend(signalled_rungs(probes.filter("ramp = 'concurrency'"), base)))
+    chosen = first.select("ats_type", F.col("recommended").alias("concurrent"))
+    second = recommend(signalled_rungs(probes.filter("ramp = 'interval'").join(chosen, ["ats_type", "concurrent"]), base))
+    return first.unionByName(second).join(base.select("ats_type", "baseline_p95_ms"), "ats_type", "left")
+
+
 def recommend(rungs: DataFrame) -> DataFrame:
     """Recommendation per (vendor, ramp): the rung before the first signal.
 

@@ -340,16 +340,21 @@ SELECT concat(source, '/Role ', CAST(doc_id * 17 % 60 AS STRING)) AS key,
        CASE WHEN doc_id % 4 = 0 THEN 'model-v0' ELSE 'model-v1' END AS labeler_id,
        TIMESTAMP '2024-03-02 00:00:00' + doc_id * INTERVAL '13' MINUTE AS labeled_at
 FROM {documents}""",
+    # A calibration: sequential probes, then a concurrency ramp, then an interval ramp at each concurrency.
     "probes": """
 SELECT CASE user_id % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' ELSE 'ashby' END AS ats_type,
-       CASE WHEN event_id % 2 = 0 THEN 'concurrency' ELSE 'interval' END AS ramp,
+       CASE event_id % 10 WHEN 9 THEN 'baseline' WHEN 1 THEN 'interval' WHEN 3 THEN 'interval'
+            WHEN 5 THEN 'interval' WHEN 7 THEN 'interval' ELSE 'concurrency' END AS ramp,
        1 + user_id % 5 AS rung_no,
        CASE WHEN event_id % 2 = 0 THEN 1 + user_id % 5
             ELSE CASE user_id % 5 WHEN 0 THEN 1000 WHEN 1 THEN 500 WHEN 2 THEN 250
                  WHEN 3 THEN 100 ELSE 50 END END AS level,
-       CASE WHEN user_id % 5 >= 3 AND event_id % 41 < 3 THEN 429
+       CASE WHEN event_id % 2 = 0 THEN 1 + user_id % 5 WHEN event_id % 10 = 9 THEN 1
+            ELSE 1 + event_id % 5 END AS concurrent,
+       CASE WHEN event_id % 10 <> 9 AND user_id % 5 >= 3 AND event_id % 41 < 3 THEN 429
             WHEN event_id % 4001 = 7 THEN 500 ELSE 200 END AS status_code,
-       CAST(floor(value) AS BIGINT) AS latency_ms, event_id % 9973 = 9000 AS throttled
+       CAST(floor(value) * CASE WHEN event_id % 10 = 9 THEN 1 + user_id % 3 ELSE 2 END AS BIGINT) AS latency_ms,
+       event_id % 9973 = 9000 AS throttled
 FROM {events}""",
 }
 

@@ -129,44 +129,54 @@ def _(spark, sf):
         .alias("signal"))
 
 
-_RUNGS = """, rungs AS (SELECT ats_type, ramp, rung_no, level, count(*) AS requests,
+_STATS = """count(*) AS requests,
   quantile_disc(latency_ms, 0.95) AS p95_ms, count(*) FILTER (WHERE status_code = 429) AS errors_429,
   count(*) FILTER (WHERE status_code >= 500) AS errors_5xx,
   count(*) FILTER (WHERE status_code IS NULL) AS errors_conn, bool_or(throttled)
-  AS rate_limit_headers FROM probes GROUP BY ALL),
- sig AS (SELECT *, errors_429 > 0 OR errors_5xx > 2 OR errors_conn > 0 OR rate_limit_headers
-   OR p95_ms > 2 * 400 AS signal FROM rungs)
+  AS rate_limit_headers"""
+_RUNGS = f""", rungs AS (SELECT ats_type, ramp, rung_no, level, {_STATS} FROM probes GROUP BY ALL)
 """
 _KEYS = ["ats_type", "ramp", "rung_no", "level"]
 
 
-def _signalled(spark, sf):
-    r = ratecontrol.rung_stats(view(spark, sf, "probes"), _KEYS)
-    return r.withColumn("signal", ratecontrol.calibration_signal(
-        F.col("p95_ms"), F.lit(400), F.col("errors_429"), F.col("errors_5xx"),
-        F.col("errors_conn"), F.col("rate_limit_headers")))
-
-
 @health.add("a30_rung_stats", ctes("probes") + _RUNGS + "SELECT * FROM rungs")
 def _(spark, sf):
     return ratecontrol.rung_stats(view(spark, sf, "probes"), _KEYS)
 
 
-_RECOMMEND = """, pick AS (SELECT ats_type, ramp, min(rung_no) FILTER (WHERE signal) AS stop,
-  min(rung_no) AS lo, max(rung_no) AS hi FROM sig GROUP BY ALL),
- rec AS (SELECT p.ats_type, p.ramp, stop IS NOT NULL AS stopped, level AS recommended FROM pick p
-  JOIN sig s ON s.ats_type = p.ats_type AND s.ramp = p.ramp
-  AND s.rung_no = CASE WHEN stop IS NULL THEN hi ELSE greatest(lo, stop - 1) END)
+def _ramp(name: str, source: str) -> str:
+    """Rungs, signals against the measured baseline, and the rung before the first signal."""
+    return f""", {name}_rungs AS (SELECT ats_type, rung_no, level, {_STATS} FROM {source} GROUP BY ats_type, rung_no, level),
+ {name}_sig AS (SELECT r.*, errors_429 > 0 OR errors_5xx > 2 OR errors_conn > 0 OR rate_limit_headers
+   OR p95_ms > 2 * coalesce(b.p95, 0) AS signal FROM {name}_rungs r LEFT JOIN base b ON r.ats_type = b.ats_type),
+ {name}_pick AS (SELECT ats_type, min(rung_no) FILTER (WHERE signal) AS stop, min(rung_no) AS lo, max(rung_no) AS hi
+   FROM {name}_sig GROUP BY ats_type),
+ {name}_rec AS (SELECT p.ats_type, '{name}' AS ramp, stop IS NOT NULL AS stopped, level AS recommended FROM {name}_pick p
+   JOIN {name}_sig s ON s.ats_type = p.ats_type AND s.rung_no = CASE WHEN stop IS NULL THEN hi ELSE greatest(lo, stop - 1) END)
 """
 
 
-@health.add("w5_calibration_ramp", ctes("probes") + _RUNGS.rstrip() + _RECOMMEND +
-            "SELECT * FROM rec")
+_RECOMMEND = (""", base AS (SELECT ats_type, quantile_disc(latency_ms, 0.95) AS p95 FROM probes WHERE ramp = 'baseline'
+   GROUP BY ats_type)
+""" + _ramp("concurrency", "(SELECT * FROM probes WHERE ramp = 'concurrency')").rstrip()
+    + _ramp("interval", """(SELECT p.* FROM probes p JOIN concurrency_rec c ON c.ats_type = p.ats_type
+    AND c.recommended = p.concurrent WHERE p.ramp = 'interval')""").rstrip()
+    + ", rec AS (SELECT * FROM concurrency_rec UNION ALL SELECT * FROM interval_rec)\n")
+
+
+@health.add("w5_calibration_ramp", ctes("probes") + _RECOMMEND + """
+SELECT r.ats_type, ramp, stopped, recommended, p95 AS baseline_p95_ms FROM rec r LEFT JOIN base b ON r.ats_type = b.ats_type""")
+def _(spark, sf):
+    return ratecontrol.calibrated(view(spark, sf, "probes"))
+
+
+@health.add("w5_ramp_interval", ctes("probes") + _RECOMMEND + """
+SELECT ats_type, p95 AS baseline_p95_ms, CAST(greatest(10, p95 // 4) AS BIGINT) AS ramp_interval_ms FROM base""")
 def _(spark, sf):
-    return ratecontrol.recommend(_signalled(spark, sf))
+    return ratecontrol.baselines(view(spark, sf, "probes"))
 
 
-@health.add("p24_calibration_gate", ctes("companies", "probes") + _RUNGS.rstrip() + _RECOMMEND + """
+@health.add("p24_calibration_gate", ctes("companies", "probes") + _RECOMMEND + """
 SELECT c.ats_type, companies, companies >= 5 AS calibrate, recommended AS recommended_concurrent,
   coalesce(recommended <= 1, false) AS warn_baseline_limited,
   coalesce(recommended >= 5, false) AS note_probe_limit
@@ -174,7 +184,7 @@ FROM (SELECT ats_type, count(*) AS companies FROM companies GROUP BY ats_type) c
 LEFT JOIN (SELECT * FROM rec WHERE ramp = 'concurrency') r USING (ats_type)""")
 def _(spark, sf):
     counts = mon.companies_by_ats(view(spark, sf, "companies")).select("ats_type", "companies")
-    rec = ratecontrol.recommend(_signalled(spark, sf)).filter("ramp = 'concurrency'").select(
+    rec = ratecontrol.calibrated(view(spark, sf, "probes")).filter("ramp = 'concurrency'").select(
         "ats_type", F.col("recommended").alias("recommended_concurrent"))
     return ratecontrol.calibration_gate(counts, rec, max_concurrent=5)
 

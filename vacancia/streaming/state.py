@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from vacancia import rules
+from vacancia.operators.health import daily_summaries, merged_summaries
 from vacancia.operators.ordered import first_k_per_key, running_totals
 from vacancia.operators.ratecontrol import aimd_replay
 from vacancia.streaming.tables import read_all, read_before, write_batch, write_state
@@ -26,24 +27,10 @@ def advance_health(state: DataFrame | None, polls: DataFrame,
                    interval_ms: int = rules.POLL_INTERVAL_MS) -> DataFrame:
     """Company state after a batch of polls, from the state before it.
 
-    The batch is reduced by mergeable aggregates and a group-limited rank, so a
-    company with a third of the batch is no larger than any other.
+    The batch is reduced to one mergeable summary a company, in one scan.
     """
-    stamp = F.struct("attempted_at", "poll_id")
-    last = polls.groupBy("company_id").agg(
-        F.max(F.when(F.col("status") == "success", stamp)).alias("last_ok"))
-    failed = (
-        polls.filter("status <> 'success'").join(last, "company_id")
-        .filter(F.col("last_ok").isNull() | (stamp > F.col("last_ok")))
-        .select("company_id", "attempted_at", "poll_id")
-    )
-    counted = failed.groupBy("company_id").agg(F.count(F.lit(1)).alias("fresh"))
-    early = first_k_per_key(failed, ["company_id"], [F.col("attempted_at"), F.col("poll_id")],
-                            max_failures)
-    # At most max_failures rows per company; which one disables depends on the carried count.
-    marks = early.groupBy("company_id").agg(F.map_from_entries(F.collect_list(
-        F.struct("rn", "attempted_at"))).alias("marks"))
-    batch = last.join(counted, "company_id", "left").join(marks, "company_id", "left")
+    batch = merged_summaries(daily_summaries(polls, max_failures), max_failures).select(
+        "company_id", "last_ok", F.col("failures").alias("fresh"), F.col("head").alias("marks"))
     old = state if state is not None else polls.sparkSession.createDataFrame([], HEALTH)
     old = old.select("company_id", F.col("consecutive_failures").alias("was_cf"),
                      F.col("disabled_at").alias("was_disabled"), F.col("next_poll_at").alias("was_next"))
