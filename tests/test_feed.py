@@ -123,3 +123,11 @@ def test_lines_keep_file_order(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ntwo\nthree\n")
     lines = landing.read_lines(spark, str(tmp_path)).orderBy("doc", "line_no").collect()
     assert [r.line for r in lines] == ["one", "two", "three"]
+
+
+def test_one_scan_of_the_bodies(spark, sf_dir):
+    """The dispatch by vendor reads the bodies once, for postings, verdicts and both together."""
+    import __spark_entry__ as entry
+    for name in ("s7_normalize_postings", "x1_adapter_registry", "p22_poll_status"):
+        plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("orders.parquet") <= 1 and plan.count("Relation [") == 1, name

@@ -194,10 +194,8 @@ SELECT ats_type, count(*) AS postings FROM ({' UNION ALL '.join(
     f"SELECT ats_type, unnest(xs) AS x FROM ({_checked_sql(a)}) WHERE conformant"
     for a in VENDOR_SQL)}) GROUP BY ats_type""")
 def _(spark, sf):
-    p = view(spark, sf, "payloads")
-    parts = [boards.normalize_vendor(p, a).groupBy("ats_type").agg(
-        F.count(F.lit(1)).alias("postings")) for a in boards.ADAPTERS]
-    return reduce(DataFrame.unionByName, parts)
+    return boards.normalize_postings(view(spark, sf, "payloads")).groupBy("ats_type").agg(
+        F.count(F.lit(1)).alias("postings"))
 
 
 # --- upserts ---

@@ -149,20 +149,52 @@ def _all_ok(ats: str, items: Column) -> Column:
     return F.coalesce(F.forall(items, lambda e: F.coalesce(ok(e["v"]), F.lit(False))), F.lit(False))
 
 
-def _verdict(ats: str) -> Column:
-    return let(_items(ats), lambda xs: F.struct(
-        xs.isNotNull().alias("readable"), _all_ok(ats, xs).alias("ok"), F.size(xs).alias("n")))
+#: Text fields of a canonical posting, as every vendor's row function names them.
+FIELDS = ("external_id", "title", "url", "location", "department", "posted_raw")
 
 
-def payload_conformance(payloads: DataFrame) -> DataFrame:
-    """Every payload with ``conformant``, ``reason`` and ``n_postings``."""
-    verdict = reduce(lambda acc, a: acc.when(F.col("ats_type") == a, _verdict(a)), ADAPTERS, F)
+def _parsed(ats: str) -> Column:
+    """Verdict and, if it is good, postings of a body, which is split and validated once."""
+    def posting(e: Column) -> Column:
+        named = ADAPTERS[ats][2](e["v"])
+        return F.struct(*[named[f].alias(f) for f in FIELDS], e["raw"].alias("raw_json"))
+    return let(_items(ats), lambda xs: let(_all_ok(ats, xs), lambda ok: F.struct(
+        xs.isNotNull().alias("readable"), ok.alias("ok"), F.size(xs).alias("n"),
+        F.when(ok, F.transform(xs, posting)).alias("postings"))))
+
+
+def parse_payloads(payloads: DataFrame) -> DataFrame:
+    """Every payload with ``conformant``, ``reason``, ``n_postings`` and ``postings``, without its body.
+
+    One scan whatever the vendors: each body goes to its vendor's arm and is parsed once, for the verdict and the postings.
+    """
+    parsed = reduce(lambda acc, a: acc.when(F.col("ats_type") == a, _parsed(a)), ADAPTERS, F)
+    keep = [c for c in payloads.columns if c != "body"]
+    # The outer explode keeps the optimiser from repeating the parse in every column taken from it.
     v = F.col("__v")
-    return payloads.withColumn("__v", verdict).select(
-        *payloads.columns, v["ok"].alias("conformant"),
+    return payloads.select(*keep, F.explode_outer(F.array(parsed)).alias("__v")).select(
+        *keep, v["ok"].alias("conformant"),
         F.when(~v["readable"], "unreadable body or missing list")
         .when(~v["ok"], "element fails validation").alias("reason"),
-        F.when(v["ok"], v["n"]).cast("bigint").alias("n_postings"))
+        F.when(v["ok"], v["n"]).cast("bigint").alias("n_postings"), v["postings"].alias("postings"))
+
+
+def payload_conformance(payloads: DataFrame) -> DataFrame:
+    """Every payload with ``conformant``, ``reason`` and ``n_postings``."""
+    return parse_payloads(payloads).drop("postings")
+
+
+def _canonical(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Postings (struct column __e) as canonical rows."""
+    out = rows.select(*keep, *[F.col(f"__e.{f}").alias(f) for f in (*FIELDS, "raw_json")])
+    return (out.withColumn("url", fix_placeholder_url(F.col("url"), F.col("slug")))
+            .withColumn("posted_at", parse_vendor_time(F.col("posted_raw"))))
+
+
+def parsed_postings(parsed: DataFrame) -> DataFrame:
+    """Canonical postings of parsed payloads; non-conformant responses yield none."""
+    keep = [c for c in parsed.columns if c not in ("conformant", "reason", "n_postings", "postings")]
+    return _canonical(explode_present(parsed, "__e", F.col("postings")), keep)
 
 
 def normalize_vendor(payloads: DataFrame, ats: str) -> DataFrame:
@@ -171,19 +203,13 @@ def normalize_vendor(payloads: DataFrame, ats: str) -> DataFrame:
     A body is split, validated and exploded in one evaluation.
     """
     keep = [c for c in payloads.columns if c != "body"]
-    valid = let(_items(ats), lambda xs: F.when(_all_ok(ats, xs), xs))
-    rows = explode_present(payloads.filter(F.col("ats_type") == ats), "__e", valid)
-    out = rows.select(*keep, *[c.alias(n) for n, c in ADAPTERS[ats][2](F.col("__e.v")).items()],
-                      F.col("__e.raw").alias("raw_json"))
-    return (
-        out.withColumn("url", fix_placeholder_url(F.col("url"), F.col("slug")))
-        .withColumn("posted_at", parse_vendor_time(F.col("posted_raw")))
-    )
+    of_vendor = payloads.filter(F.col("ats_type") == ats)
+    return _canonical(explode_present(of_vendor, "__e", let(_parsed(ats), lambda p: p["postings"])), keep)
 
 
 def normalize_postings(payloads: DataFrame) -> DataFrame:
-    """Dispatch by vendor to one canonical output."""
-    return reduce(DataFrame.unionByName, [normalize_vendor(payloads, a) for a in ADAPTERS])
+    """Dispatch by vendor to one canonical output, in one scan."""
+    return parsed_postings(parse_payloads(payloads))
 
 
 def board_request(companies: DataFrame) -> DataFrame:
@@ -195,21 +221,26 @@ def board_request(companies: DataFrame) -> DataFrame:
         board_fetch_body(ats, slug).alias("body"))
 
 
-def poll_outcomes(payloads: DataFrame) -> DataFrame:
-    """Poll-log rows of landed responses: timeout, error or success."""
+def parsed_outcomes(parsed: DataFrame) -> DataFrame:
+    """Poll-log rows of parsed payloads: timeout, error or success."""
     ok = F.col("status_code").between(200, 299) & F.col("conformant")
     status = F.when(F.col("aborted"), "timeout").when(ok, "success").otherwise("error")
     message = (F.when(F.col("aborted"), "aborted")
                .when(~F.coalesce(F.col("status_code").between(200, 299), F.lit(False)),
                      F.concat(F.lit("HTTP "), F.col("status_code").cast("string")))
                .when(~F.col("conformant"), F.col("reason")))
-    return payload_conformance(payloads).select(
+    return parsed.select(
         "company_id", "ats_type", F.col("fetched_at").alias("attempted_at"),
         status.alias("status"), F.when(~F.col("aborted"), F.col("status_code")).alias("status_code"),
         "latency_ms", F.when(status == "success", F.col("n_postings")).alias("jobs_found"),
         message.alias("error_message"))
 
 
+def poll_outcomes(payloads: DataFrame) -> DataFrame:
+    """Poll-log rows of landed responses."""
+    return parsed_outcomes(parse_payloads(payloads))
+
+
 def throttle_signal(headers: Column) -> Column:
     """True when response headers announce throttling (names in lower case)."""
     return (F.coalesce(F.map_contains_key(headers, "retry-after"), F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vacancia.operators.upsert import upsert_jobs
-from vacancia.sources.boards import normalize_postings, poll_outcomes
+from vacancia.sources.boards import parse_payloads, parsed_outcomes, parsed_postings
 from vacancia.streaming.tables import read_all, write_batch
 
 LOG = ("company_id bigint, external_id string, title string, url string, location string, "
@@ -23,15 +23,20 @@ def _newest(rows: DataFrame) -> DataFrame:
 def ingest_batch(payloads: DataFrame, target: str, batch_id: int) -> None:
     """One micro-batch: successful responses to the posting log, all to the poll log.
 
-    A batch writes only its own rows; the current table is the fold of the log.
+    Bodies are parsed once; both logs are written from what that gives. A batch writes only its own rows; the
+    current table is the fold of the log.
     """
-    good = payloads.filter("not aborted and status_code between 200 and 299")
-    jobs = normalize_postings(good).select(
-        "company_id", "external_id", "title", "url", "location", "department",
-        F.col("posted_at").alias("ats_posted_at"), F.col("fetched_at").alias("first_seen_at"),
-        F.col("fetched_at").alias("updated_at"), "raw_json")
-    write_batch(_newest(jobs), f"{target}/jobs", batch_id, _newest)
-    write_batch(poll_outcomes(payloads), f"{target}/polls", batch_id)
+    parsed = parse_payloads(payloads).persist()
+    try:
+        good = parsed.filter("not aborted and status_code between 200 and 299")
+        jobs = parsed_postings(good).select(
+            "company_id", "external_id", "title", "url", "location", "department",
+            F.col("posted_at").alias("ats_posted_at"), F.col("fetched_at").alias("first_seen_at"),
+            F.col("fetched_at").alias("updated_at"), "raw_json")
+        write_batch(_newest(jobs), f"{target}/jobs", batch_id, _newest)
+        write_batch(parsed_outcomes(parsed), f"{target}/polls", batch_id)
+    finally:
+        parsed.unpersist()
 
 
 def ingest_stream(payloads: DataFrame, target: str, checkpoint: str,
