@@ -335,16 +335,27 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
-@discovery.add("x2_extractor_registry", ctes("list_lines") + " UNION ALL ".join(
-    f"SELECT '{n}' AS extractor, count(*) AS n FROM ({q})"
-    for n, q in (("markdown", _MD), ("readme", _README), ("url_list", _LIST))))
+_PROBED = f"""SELECT ats_type, slug, name, {_API} AS ats_url, 'yc' AS source_type,
+ concat('yc-probe:', coalesce(nullif(batch, ''), 'unknown')) AS source_detail, 'probe' AS doc, record_no AS line_no, 0 AS pos
+FROM (SELECT c.*, CASE rk WHEN 1 THEN 'greenhouse' ELSE 'lever' END AS ats_type FROM cand c JOIN
+ (SELECT slug, min(CASE WHEN ats_type = 'greenhouse' THEN 1 ELSE 2 END) AS rk
+  FROM probe_answers WHERE status_code BETWEEN 200 AND 299 AND CASE ats_type WHEN 'greenhouse'
+   THEN json_type(TRY_CAST(body AS JSON), '$.jobs') IS NOT NULL
+   ELSE json_type(TRY_CAST(body AS JSON)) = 'ARRAY' END GROUP BY slug) USING (slug))"""
+_ROWS = {"markdown": _MD, "readme": _README, "url_list": _LIST, "company_json": _JSON, "crawl_jsonl": _CRAWL, "cdx": _CDX,
+         "directory": _DIR, "probes": _PROBED, "threads": _THREAD, "fragments": _FRAG}
+
+
+@discovery.add("x2_extractor_registry", ctes(
+    "list_lines", "json_docs", "crawl_jsonl", "cdx_lines", "directory", "companies", "probe_answers", "threads", "comments",
+    "fragments").rstrip() + _CAND + " UNION ALL ".join(
+    f"SELECT '{n}' AS extractor, {COLS}, doc, CAST(line_no AS BIGINT) AS line_no, CAST(pos AS BIGINT) AS pos FROM ({q})"
+    for n, q in _ROWS.items()))
 def _(spark, sf):
-    lines, out = view(spark, sf, "list_lines"), None
-    for name in ("markdown", "readme", "url_list"):
-        part = src.EXTRACTORS[name](lines).agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(name).alias("extractor"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The rows of every registered source over its own tables, in the registry's one schema."""
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    return src.discover_all(lambda n: view(spark, sf, n), {"threads": {"now": now}}).select(
+        "extractor", *COLS.split(", "), "doc", "line_no", "pos")
 
 
 @discovery.add("a16_crawl_report", ctes("cdx_lines") + f""", l AS (SELECT line, u,

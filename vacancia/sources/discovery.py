@@ -6,6 +6,10 @@ needs; nothing here shuffles.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -263,8 +267,43 @@ def crawl_lines(lines: DataFrame) -> DataFrame:
 
 
 # Registry with one output schema.
-EXTRACTORS = {
-    "markdown": from_markdown, "readme": from_readme, "url_list": from_url_list,
-    "company_json": from_company_json, "crawl_jsonl": from_crawl_jsonl, "cdx": from_cdx,
-    "directory": from_directory, "fragments": from_fragments,
+@dataclass(frozen=True)
+class DiscoverySource:
+    """A way to find companies: the tables that it reads, by name, and the extractor over them.
+
+    Every extractor returns the columns of ``schemas.DISCOVERY`` with the reading order.
+    """
+
+    inputs: tuple[str, ...]
+    extract: Callable[..., DataFrame]
+
+    def discover(self, tables: Callable[[str], DataFrame], **options) -> DataFrame:
+        """The discoveries in the tables that ``tables`` gives by name."""
+        return self.extract(*[tables(n) for n in self.inputs], **options)
+
+
+def _accepted(directory: DataFrame, known: DataFrame, answers: DataFrame) -> DataFrame:
+    return accept_probes(probe_candidates(directory, known), answers)
+
+
+#: All sources, by name; ``threads`` takes the time up to which it looks (``now``).
+SOURCES: dict[str, DiscoverySource] = {
+    "markdown": DiscoverySource(("list_lines",), from_markdown),
+    "readme": DiscoverySource(("list_lines",), from_readme),
+    "url_list": DiscoverySource(("list_lines",), from_url_list),
+    "company_json": DiscoverySource(("json_docs",), from_company_json),
+    "crawl_jsonl": DiscoverySource(("crawl_jsonl",), from_crawl_jsonl),
+    "cdx": DiscoverySource(("cdx_lines",), from_cdx),
+    "directory": DiscoverySource(("directory",), from_directory),
+    "probes": DiscoverySource(("directory", "companies", "probe_answers"), _accepted),
+    "threads": DiscoverySource(("threads", "comments"), from_threads),
+    "fragments": DiscoverySource(("fragments",), from_fragments),
 }
+
+
+def discover_all(tables: Callable[[str], DataFrame], options: dict[str, dict] | None = None,
+                 names: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of all sources (or those of ``names``), with ``extractor``, in one schema."""
+    parts = [SOURCES[n].discover(tables, **(options or {}).get(n, {})).withColumn("extractor", F.lit(n))
+             for n in (names or SOURCES)]
+    return reduce(DataFrame.unionByName, parts)
