@@ -1,6 +1,7 @@
 """Retrieval, re-ranking, prompts and decoding against plain Python."""
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from vacancia.candidate import Profile
@@ -52,6 +53,30 @@ def test_many_profiles_agree_with_one(spark):
     assert [r.doc_id for r in got if r.profile_id == 2] == [1]
 
 
+@pytest.mark.parametrize("profiles, cells, pairs", [(2, 60, 10 ** 6), (256, 10 ** 6, 10 ** 6), (256, 300, 20)])
+def test_blocks_and_bounds_change_nothing(spark, monkeypatch, profiles, cells, pairs):
+    """Small blocks that are skipped, several groups of profiles, several passes: the rows of a plain scoring."""
+    import random
+    monkeypatch.setattr(retrieval, "SCORE_PROFILES", profiles)
+    monkeypatch.setattr(retrieval, "SCORE_CELLS", cells)
+    monkeypatch.setattr(retrieval, "MOST_PAIRS", pairs)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    texts = {i: " ".join(rng.choices(words, weights=[1 / (j + 1) for j in range(30)], k=rng.randint(0, 40))) for i in range(200)}
+    texts.update({500 + i: texts[i] for i in range(20)})                  # ties
+    wanted = {p: rng.sample(words, rng.randint(1, 8)) for p in range(9)} | {9: ["absent"]}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(p, t) for p, ts in wanted.items() for t in ts], "profile_id int, term string")
+    got = {}
+    for r in retrieval.bm25_profiles(df, queries, F.col("text"), 7).collect():
+        got.setdefault(r.profile_id, {})[r.rn] = (r.doc_id, r.bm25_score)
+    for p, ts in wanted.items():
+        ids = list(texts)
+        scores = {ids[i]: v for i, v in brute_bm25(list(texts.values()), ts).items()}
+        top = sorted(scores, key=lambda i: (-round(scores[i], 9), i))[:7]
+        assert [got.get(p, {})[n][0] for n in sorted(got.get(p, {}))] == top
+
+
 PROFILE = Profile(name="p", experience_years=2, role_targets=("backend",), strong=("python", "react"),
                   working=("java", "go"), hard_constraints=(("exclude_pattern", "senior"),))
 

@@ -6,10 +6,14 @@ statistics, scoring and both top-k steps run on the narrow rows.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vacancia import rules
 from vacancia.candidate import Profile, expand_query
@@ -30,21 +34,23 @@ def search_text(title: Column, location: Column, department: Column, body: Colum
                        strip_tags(F.coalesce(body, blank)))
 
 
+def _runs(x: Column) -> Column:
+    """Counts of the values of a sorted array, as ``array<struct(term, tf)>``."""
+    at = F.filter(F.transform(x, lambda t, i: F.when((i == 0) | (t != F.get(x, i - 1)), i)), lambda i: i.isNotNull())
+    return let(at, lambda starts: F.transform(starts, lambda s, j: F.struct(
+        F.get(x, s).alias("term"), (F.coalesce(F.get(starts, j + 1), F.size(x)) - s).alias("tf"))))
+
+
 def query_hits(docs: DataFrame, terms: list[str], text: Column) -> DataFrame:
     """Add ``doc_len`` and ``hits array<struct(term, tf)>`` for the query terms.
 
     Row-local: the found terms are sorted and counted by their runs, so counting
     needs no explode and no shuffle.
     """
-    def runs(x: Column) -> Column:
-        at = F.filter(F.transform(x, lambda t, i: F.when((i == 0) | (t != F.get(x, i - 1)), i)), lambda i: i.isNotNull())
-        return let(at, lambda starts: F.transform(starts, lambda s, j: F.struct(
-            F.get(x, s).alias("term"), (F.coalesce(F.get(starts, j + 1), F.size(x)) - s).alias("tf"))))
-
     tokens = docs.withColumn("__tokens", tokenize(text))
     found = F.sort_array(F.filter("__tokens", lambda t: t.isin(*terms)))
     return tokens.withColumn("doc_len", F.size("__tokens").cast("bigint")) \
-        .withColumn("hits", let(found, runs)).drop("__tokens")
+        .withColumn("hits", let(found, _runs)).drop("__tokens")
 
 
 def corpus_stats(hit_rows: DataFrame, terms: list[str]) -> DataFrame:
@@ -114,87 +120,168 @@ def length_stats(docs: DataFrame, text: Column) -> DataFrame:
         F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_len"))
 
 
-#: (profile, term) pairs up to this number are shipped to the tasks; more are joined.
-MOST_PAIRS = 1_000_000
-#: Cells of the score table that a task holds at once.
-SCORE_CELLS = 4_000_000
+#: Query terms up to this number are broadcast to the tokens (some 30 MB); more meet them in a shuffled join.
+MOST_TERMS = 1_000_000
+#: (profile, term) pairs that one pass over the hits scores; more are scored in as many passes.
+MOST_PAIRS = 500_000
+#: Profiles scored together, and cells of the document-by-term table that a task holds.
+SCORE_PROFILES, SCORE_CELLS = 256, 4_000_000
+#: A block is skipped only if it misses by more than rounding can explain.
+BOUND_SLACK = 1e-7
 
 
-def _joined_scores(rows: DataFrame, pairs: DataFrame, stats: Column, id_col: str) -> DataFrame:
-    """``profile_id, id, bm25_score`` by an equi-join on term, for any number of profiles."""
-    hits = rows.select(id_col, "doc_len", F.explode("hits").alias("h")).select(id_col, "doc_len", "h.term", "h.tf")
-    weighed = hits.join(pairs, "term").withColumn("__n", stats).select(
-        "profile_id", id_col, (idf(F.col("__n.n_docs"), F.col("df")) * saturated_tf(
-            F.col("tf"), F.col("doc_len"), F.col("__n.avg_len"))).alias("w"))
-    return weighed.groupBy("profile_id", id_col).agg(F.round(F.sum("w"), SCORE_DIGITS).alias("bm25_score"))
+def term_hits(docs: DataFrame, text: Column, terms: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``id, doc_len, term, tf`` for the ``terms(term)`` found in each document, and a row without term for each document.
 
-
-def _local_scores(rows: DataFrame, pairs: DataFrame, stats: Column, k: int, id_col: str) -> DataFrame:
-    """The best ``k`` documents per profile of every task: its documents against all profiles.
-
-    What leaves a task is ``k`` rows a profile, not a row per document and profile.
+    Texts are read once. A document's tokens are counted by runs of the sorted tokens; the counts meet the
+    terms in a hash join, so the plan holds no term and nothing but the hits leaves the task.
+    """
+    wanted = terms.select("term").distinct().withColumn("__wanted", F.lit(True))
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_TERMS else wanted
+    counted = docs.select(id_col, let(F.sort_array(tokenize(text)), lambda x: F.struct(
+        F.size(x).cast("bigint").alias("doc_len"), _runs(x).alias("hits"))).alias("__t"))
+    # The total comes first, as a run without a term.
+    none = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"))
+    each = counted.select(id_col, F.col("__t.doc_len").alias("doc_len"), F.explode(F.concat(F.array(none), F.col("__t.hits"))).alias("h"))
+    named = each.select(id_col, "doc_len", F.col("h.term").alias("term"), F.col("h.tf").cast("bigint").alias("tf"))
+    return named.join(wanted, "term", "left").filter(F.col("term").isNull() | F.col("__wanted")).select(
+        id_col, "doc_len", "term", "tf")
+
+
+class _Best:
+    """The best ``k`` documents of each profile that a task has seen."""
+
+    def __init__(self, profiles: int, k: int) -> None:
+        self.k = k
+        self.kept = pd.DataFrame({"p": np.empty(0, np.int64), "score": np.empty(0), "id": []})
+        self.to_beat = np.full(profiles, -np.inf)      # the k-th best score, once there are k
+
+    def add(self, profile: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        new = pd.DataFrame({"p": profile, "score": score, "id": ids})
+        every = (pd.concat([self.kept, new]) if len(self.kept) else new).sort_values(
+            ["p", "score", "id"], ascending=[True, False, True])
+        self.kept = every.groupby("p").head(self.k)
+        last = self.kept.groupby("p")["score"].agg(["size", "min"])
+        full = last[last["size"] == self.k]
+        self.to_beat[full.index.to_numpy(np.int64)] = full["min"].to_numpy()
+
+
+def _local_best(hits: DataFrame, pairs: list, n_docs: int, avg_len: float, k: int, id_col: str, profile: T.DataType) -> DataFrame:
+    """The best ``k`` documents per profile of every task: its documents against all profiles of ``pairs``.
+
+    Documents are taken in blocks; a block's largest weight per term bounds every score in it, and
+    profiles whose bound misses their ``k``-th best so far skip the block. The others are
+    one matrix product of the block's weights. What leaves a task is ``k`` rows a profile.
     """
-    known = pairs.collect()
-    profiles = sorted({r["profile_id"] for r in known})
-    column = {p: i for i, p in enumerate(profiles)}
-    by_term: dict[str, tuple[int, list[int]]] = {}
-    for r in known:
-        by_term.setdefault(r["term"], (r["df"], []))[1].append(column[r["profile_id"]])
-    types = dict(rows.dtypes), dict(pairs.dtypes)
+    profiles = sorted({r["profile_id"] for r in pairs})
+    place = {p: i for i, p in enumerate(profiles)}
+    counts = {r["term"]: r["df"] for r in pairs}
+    terms = sorted(counts)
+    number = {t: i for i, t in enumerate(terms)}
+    df = np.array([counts[t] for t in terms], np.float64)
+    rarity = np.log((n_docs - df + 0.5) / (df + 0.5) + 1)
+    of_term = np.array([number[r["term"]] for r in pairs], np.int64)
+    of_profile = np.array([place[r["profile_id"]] for r in pairs], np.int64)
     k1, b, digits = rules.BM25_K1, rules.BM25_B, SCORE_DIGITS
+    out = T.StructType([T.StructField("profile_id", profile), T.StructField(id_col, hits.schema[id_col].dataType),
+                        T.StructField("bm25_score", T.DoubleType())])
+    arrow = to_arrow_schema(out)
 
     def score(batches):
-        best = pd.DataFrame({"p": [], "score": [], "id": []})
-        step = max(1, SCORE_CELLS // max(1, len(profiles)))
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known, best = pa.array(terms, pa.string()), _Best(len(profiles), k)
+        groups = []
+        for at in range(0, len(profiles), SCORE_PROFILES):
+            mine = (of_profile >= at) & (of_profile < at + SCORE_PROFILES)
+            own, column = np.unique(of_term[mine], return_inverse=True)
+            wants = np.zeros((len(own), min(SCORE_PROFILES, len(profiles) - at)))
+            wants[column, of_profile[mine] - at] = 1.0
+            lookup = np.full(len(terms), -1)
+            lookup[own] = np.arange(len(own))
+            groups.append((at, lookup, wants))
+        widest = max((len(w) for _, _, w in groups), default=1)
+        step = max(1, SCORE_CELLS // max(1, widest))
+
+        def block(ids, row, term, weight):
+            for at, lookup, wants in groups:
+                column = lookup[term]
+                there = column >= 0
+                table = np.zeros((len(ids), len(wants)))
+                table[row[there], column[there]] = weight[there]
+                bound = table.max(axis=0) @ wants
+                beat = best.to_beat[at:at + wants.shape[1]]
+                alive = np.flatnonzero((bound > 0) & (bound >= beat - BOUND_SLACK))
+                if not len(alive):
+                    continue
+                scores = (table @ wants[:, alive]).round(digits)
+                least = beat[alive]
+                if len(ids) > k:
+                    least = np.maximum(least, np.partition(scores, len(ids) - k, axis=0)[len(ids) - k])
+                i, p = np.nonzero((scores > 0) & (scores >= least))
+                best.add(alive[p] + at, scores[i, p], ids[i])
+
+        def blocks(table):
+            """Whole documents of some rows, in blocks."""
+            ids = table.column(id_col).to_numpy(zero_copy_only=False)
+            row = np.cumsum(table.column("first").to_numpy(zero_copy_only=False)) - 1
+            term = pc.fill_null(pc.index_in(table.column("term"), known), -1).to_numpy(zero_copy_only=False)
+            tf = table.column("tf").to_numpy(zero_copy_only=False).astype(np.float64)
+            norm = k1 * (1 - b + b * table.column("doc_len").to_numpy(zero_copy_only=False) / (avg_len or 1))
+            starts = np.flatnonzero(table.column("first").to_numpy(zero_copy_only=False))
+            named = term >= 0
+            weight = np.zeros(len(term))
+            weight[named] = rarity[term[named]] * (tf[named] * (k1 + 1)) / (tf[named] + norm[named])
+            for at in range(0, len(starts), step):
+                low = starts[at]
+                high = starts[at + step] if at + step < len(starts) else len(term)
+                use = np.flatnonzero(named[low:high]) + low
+                block(ids[starts[at:at + step]], row[use] - at, term[use], weight[use])
+        left = None
         for batch in batches:
-            for at in range(0, len(batch), step):
-                part = batch.iloc[at: at + step]
-                table = np.zeros((len(part), len(profiles)))
-                for row, (n, hits, n_docs, avg) in enumerate(zip(
-                        part["doc_len"], part["hits"], part["n_docs"], part["avg_len"], strict=True)):
-                    norm = k1 * (1 - b + b * n / avg)
-                    for h in hits:
-                        df, where = by_term.get(h["term"], (0, []))
-                        if where:
-                            weight = np.log((n_docs - df + 0.5) / (df + 0.5) + 1)
-                            table[row, where] += weight * (h["tf"] * (k1 + 1)) / (h["tf"] + norm)
-                i, p = np.nonzero(table)
-                found = pd.DataFrame({"p": p, "score": table[i, p].round(digits), "id": part[id_col].to_numpy()[i]})
-                best = pd.concat([best, found[found["score"] > 0]]).sort_values(
-                    ["p", "score", "id"], ascending=[True, False, True]).groupby("p").head(k)
-        yield pd.DataFrame({"profile_id": [profiles[int(p)] for p in best["p"]], id_col: best["id"].tolist(),
-                            "bm25_score": best["score"].tolist()})
-    scored = rows.withColumn("__n", stats).select(id_col, "doc_len", "hits", "__n.n_docs", "__n.avg_len")
-    return scored.mapInPandas(
-        score, f"profile_id {types[1]['profile_id']}, {id_col} {types[0][id_col]}, bm25_score double")
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table.append_column("first", pc.is_null(table.column("term")))
+            table = (pa.concat_tables([left, table]) if left is not None else table).combine_chunks()
+            # The last document may go on in the next batch.
+            last = int(np.flatnonzero(table.column("first").to_numpy(zero_copy_only=False))[-1])
+            if last:
+                blocks(table.slice(0, last).combine_chunks())
+            left = table.slice(last)
+        if left is not None:
+            blocks(left.combine_chunks())
+        yield pd.DataFrame({"profile_id": [profiles[int(p)] for p in best.kept["p"]], id_col: best.kept["id"].tolist(),
+                            "bm25_score": best.kept["score"].tolist()})
+
+    def run(batches):
+        import pyarrow as pa
+        for frame in score(batches):
+            yield pa.RecordBatch.from_pandas(frame, schema=arrow, preserve_index=False)
+    return hits.select(id_col, "doc_len", "term", F.coalesce("tf", F.lit(0)).alias("tf")).mapInArrow(run, out)
 
 
 def bm25_profiles(docs: DataFrame, queries: DataFrame, text: Column, k: int,
                   id_col: str = "doc_id") -> DataFrame:
     """Top ``k`` documents for every profile of ``queries(profile_id, term)``.
 
-    One pass over the texts leaves narrow rows (length and the hits of any
-    profile's terms), from which lengths, document frequencies and scores are
-    taken. Up to ``MOST_PAIRS`` (profile, term) pairs go to every task, which
-    keeps its own best ``k`` per profile; more pairs meet the hits in a join.
+    One pass over the texts leaves the hits of any profile's terms, from which lengths,
+    document frequencies and scores are taken. Every task scores its documents in blocks against
+    the profiles, with upper bounds, and hands on its best ``k`` per profile. The
+    profiles of a pass are a bounded number of pairs; more pairs take more passes over the hits.
     """
-    terms = reliable(queries.select("profile_id", "term").distinct())
-    few = terms.count() <= MOST_PAIRS
-    tokens = docs.select(id_col, text.alias("__text"))
-    if few:
-        wanted = [r["term"] for r in terms.select("term").distinct().collect()]
-        rows = query_hits(tokens, wanted, F.col("__text")).select(id_col, "doc_len", "hits")
-    else:
-        tf = term_frequencies(tokens, F.col("__text"), id_col)
-        rows = tf.join(terms.select("term").distinct(), "term", "left_semi").groupBy(id_col).agg(
-            F.first("doc_len").alias("doc_len"), F.collect_list(F.struct("term", "tf")).alias("hits"))
-    rows = reliable(rows)
-    df = rows.select(F.explode("hits.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    lengths = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len")) if few \
-        else length_stats(docs, text)
-    stats, pairs = lengths.select(F.struct("*").alias("s")).scalar(), terms.join(df, "term")
-    scored = _local_scores(rows, pairs, stats, k, id_col) if few else _joined_scores(rows, pairs, stats, id_col)
-    return first_k_per_key(scored.filter("bm25_score > 0"), ["profile_id"], [F.desc("bm25_score"), F.asc(id_col)], k)
+    queries = reliable(queries.select("profile_id", "term").distinct())
+    hits = reliable(term_hits(docs.select(id_col, text.alias("__text")), F.col("__text"), queries, id_col))
+    sizes = hits.filter("term is null").agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg")).first()
+    pairs = queries.join(document_frequencies(hits.filter("term is not null")), "term")
+    passes = max(1, -(-queries.count() // MOST_PAIRS))
+    kind, parts = queries.schema["profile_id"].dataType, []
+    for at in range(passes):
+        share = pairs.filter(F.pmod(F.xxhash64("profile_id"), F.lit(passes)) == at).collect()
+        parts.append(_local_best(hits, share, sizes["n"], sizes["avg"] or 0.0, k, id_col, kind))
+    scored = reduce(DataFrame.unionByName, parts)
+    return first_k_per_key(scored, ["profile_id"], [F.desc("bm25_score"), F.asc(id_col)], k)
 
 
 def with_description(jobs: DataFrame, raw: str = "raw_json") -> DataFrame:
