@@ -10,6 +10,7 @@ from vacancia import rules
 from vacancia.functions.scoring import escape_label, is_good
 from vacancia.functions.text import lag_ms, utc_day
 from vacancia.operators.ordered import order_statistics
+from vacancia.session import reliable
 
 COMPANY_DIM = ["company_id", "slug", "name", "ats_type"]
 
@@ -260,6 +261,14 @@ def triage_view(rows: DataFrame, view: str = "unlabeled", tier: str = "push",
     return rows.filter(_clean() & _in_tier(tier) & _VIEWS[view]()).orderBy(*order, "key")
 
 
+def triage_views(rows: DataFrame, tiers: tuple[str, ...] = ("push", "digest", "both")) -> DataFrame:
+    """Every list of the review queue in one pass: the rows with the views and tiers that they belong to."""
+    lists = F.array(*[F.when(_in_tier(t) & test(), F.struct(F.lit(v).alias("view"), F.lit(t).alias("tier")))
+                      for v, test in _VIEWS.items() for t in tiers])
+    return rows.filter(_clean()).select("*", F.explode(F.filter(lists, lambda x: x.isNotNull())).alias("__list")).select(
+        F.col("__list.view").alias("view"), F.col("__list.tier").alias("tier"), *rows.columns)
+
+
 def triage_counts(rows: DataFrame, tier: str = "push") -> DataFrame:
     """Chip counts of the review queue in one pass."""
     clean = rows.filter(_clean())
@@ -303,7 +312,12 @@ _LABEL_COLUMN = {"ats": "ats_type", "source": "source_type"}
 def metrics_long(companies: DataFrame, jobs: DataFrame, company_sources: DataFrame,
                  polls: DataFrame, stats: DataFrame | None = None,
                  aimd: DataFrame | None = None) -> DataFrame:
-    """Every metric sample as (name, labels, value)."""
+    """Every metric sample as (name, labels, value).
+
+    ``stats`` is the row of ``triage_stats``, ``aimd`` the rate-control state by vendor; both are small
+    and are worked out once.
+    """
+    stats, aimd = (None if small is None else reliable(small) for small in (stats, aimd))
     ok = F.col("status") == "success"
     totals = polls.agg(F.count_if(ok).alias("success"), F.count_if(~ok).alias("fail"))
     per_result = totals.select(F.explode(F.create_map(

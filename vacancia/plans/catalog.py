@@ -5,7 +5,7 @@ import importlib
 
 from vacancia.plans.registry import Query
 
-_MODULES = ("feed", "discovery", "health", "matching", "evaluation", "streams")
+_MODULES = ("feed", "discovery", "health", "metrics", "matching", "evaluation", "streams")
 
 
 def _registries():

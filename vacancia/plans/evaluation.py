@@ -105,13 +105,8 @@ _TIER_SQL = {"push": "score >= 70", "digest": "score >= 40 AND score < 70", "bot
     f"SELECT '{v}' AS view, '{t}' AS tier, key, score FROM rows_ WHERE NOT rejected AND ({ts}) AND ({vs})"
     for v, vs in _VIEW_SQL.items() for t, ts in _TIER_SQL.items()))
 def _(spark, sf):
-    rows, out = _rows(spark, sf), None
-    for v in _VIEW_SQL:
-        for t in _TIER_SQL:
-            part = monitoring.triage_view(rows, v, t, "newest").select(
-                F.lit(v).alias("view"), F.lit(t).alias("tier"), "key", "score")
-            out = part if out is None else out.unionByName(part)
-    return out
+    """All lists of the review queue, from one pass over the reviewed rows."""
+    return monitoring.triage_views(_rows(spark, sf)).select("view", "tier", "key", "score")
 
 
 @evaluation.add("a23_triage_stats", _REVIEW + """

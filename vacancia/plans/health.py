@@ -397,60 +397,6 @@ def _(spark, sf):
         "company_id", "slug")
 
 
-# --- metrics ---
-
-def _metrics(spark, sf):
-    return mon.metrics_long(view(spark, sf, "companies"), view(spark, sf, "jobs"),
-                            view(spark, sf, "company_sources"), view(spark, sf, "polls"))
-
-
-_METRICS = ctes("companies", "jobs", "company_sources", "polls") + """
-, s AS (SELECT company_id, source_type FROM company_sources GROUP BY ALL),
- sm AS (SELECT source_type, count(*) AS y, count(*) FILTER (WHERE k = 1) AS u FROM (SELECT *,
-   count(*) OVER (PARTITION BY company_id) AS k FROM s) GROUP BY source_type),
- fr AS (SELECT ats_type, count(*) AS t, count(ats_posted_at) AS w,
-   round(avg(epoch_ms(first_seen_at) - epoch_ms(ats_posted_at))) AS l
-   FROM jobs JOIN companies USING (company_id) GROUP BY ats_type),
- m(name, tags, value) AS (
-  SELECT 'companies_total', '', count(*) FROM companies
-  UNION ALL SELECT 'companies_active', '', count(*) FROM companies WHERE active
-  UNION ALL SELECT 'companies_disabled', '', count(*) FROM companies WHERE NOT active
-  UNION ALL SELECT 'jobs_total', '', count(*) FROM jobs
-  UNION ALL SELECT 'companies_by_ats', concat('ats="', ats_type, '"'), count(*) FROM companies
-    GROUP BY ats_type
-  UNION ALL SELECT 'discovery_yield', concat('source="', source_type, '"'), y FROM sm
-  UNION ALL SELECT 'discovery_unique_contribution', concat('source="', source_type, '"'), u FROM sm
-  UNION ALL SELECT 'polls_total', 'result="success"', count(*) FROM polls WHERE status = 'success'
-  UNION ALL SELECT 'polls_total', 'result="fail"', count(*) FROM polls WHERE status <> 'success'
-  UNION ALL SELECT 'freshness_jobs_total', concat('ats="', ats_type, '"'), t FROM fr
-  UNION ALL SELECT 'freshness_with_posted_at', concat('ats="', ats_type, '"'), w FROM fr
-  UNION ALL SELECT 'freshness_avg_lag_ms', concat('ats="', ats_type, '"'), l FROM fr
-  UNION ALL SELECT 'recent_poll_errors', '', count(*) FROM (SELECT * FROM polls
-    ORDER BY attempted_at DESC, poll_id DESC LIMIT 20) WHERE status <> 'success')
-"""
-
-
-@health.add("a24_metrics_long", _METRICS + "SELECT name, tags, CAST(value AS DOUBLE) AS value FROM m")
-def _(spark, sf):
-    tags = F.array_join(F.transform(F.map_entries("labels"), lambda e: F.concat(
-        e["key"], F.lit('="'), e["value"], F.lit('"'))), ",")
-    return _metrics(spark, sf).select("name", tags.alias("tags"), "value")
-
-
-@health.add("s24_exposition", _METRICS + """
-SELECT concat('vacancia_', name, CASE WHEN tags = '' THEN '' ELSE concat('{', tags, '}') END, ' ',
-   CAST(CAST(value AS BIGINT) AS VARCHAR)) AS line FROM m
-UNION ALL SELECT DISTINCT concat('# HELP vacancia_', name, ' ',
-   CASE name WHEN 'jobs_total' THEN 'Stored postings.' ELSE '' END) FROM m
-UNION ALL SELECT DISTINCT concat('# TYPE vacancia_', name, ' ',
-   CASE name WHEN 'polls_total' THEN 'counter' ELSE 'gauge' END) FROM m""")
-def _(spark, sf):
-    path = scratch(spark, "metrics")
-    lines = mon.exposition(_metrics(spark, sf), {"jobs_total": "Stored postings."})
-    landing.write_exposition(lines, path)
-    return spark.read.text(path).select(F.col("value").alias("line"))
-
-
 # --- sampling: rows are ranked by an MD5 of seed and key, so the oracle draws the same ones ---
 
 _BY_ID = "md5(concat_ws(':', 7, company_id)), company_id"
