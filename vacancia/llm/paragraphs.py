@@ -84,7 +84,7 @@ class Cut:
         else:
             self.starts, self.ends = starts, ends
         self.words = data.lower().split()
-        self.hashes = np.fromiter((xxh3_64_intdigest(w) for w in self.words), np.uint64, len(self.words))
+        self.hashes = np.fromiter(map(xxh3_64_intdigest, self.words), np.uint64, len(self.words))
         self.bounds = self._bounds()
 
     def _bounds(self) -> np.ndarray:
@@ -95,18 +95,22 @@ class Cut:
         pair = _mix(self.hashes[1:] + self.hashes[:-1] * _ODD)
         top = np.uint64(2 ** 64 - 1)
         padded = np.concatenate((np.full(REACH, top), pair, np.full(REACH, top)))
-        near = np.lib.stride_tricks.sliding_window_view(padded, REACH)
+        # Minima of REACH consecutive values, from minima of as many as double at each step.
+        least, width = padded, 1
+        while width < REACH:
+            step = min(width, REACH - width)
+            least, width = np.minimum(least[:-step], least[step:]), width + step
         # Strictly below all before and not above any behind: of equal neighbours the first may cut.
-        cut = np.flatnonzero((pair < near[: len(pair)].min(axis=1)) & (pair <= near[REACH + 1:][: len(pair)].min(axis=1)))
+        cut = np.flatnonzero((pair < least[: len(pair)]) & (pair <= least[REACH + 1:][: len(pair)]))
         return np.concatenate(([0], cut + 1, [n]))
 
     def names(self) -> np.ndarray:
         """A 64-bit name of each paragraph's words."""
         from xxhash import xxh3_64_intdigest
 
-        b = self.bounds.tolist()
-        return np.fromiter((xxh3_64_intdigest(b" ".join(self.words[i:j])) for i, j in zip(b[:-1], b[1:], strict=True)),
-                           np.uint64, len(b) - 1)
+        words, b = self.words, self.bounds.tolist()
+        joined = [b" ".join(words[i:j]) for i, j in zip(b[:-1], b[1:], strict=True)]
+        return np.fromiter(map(xxh3_64_intdigest, joined), np.uint64, len(joined))
 
     def shingles(self) -> tuple[np.ndarray, np.ndarray]:
         """All shingle hashes in order, and where each paragraph's begin (its own words only)."""
@@ -122,32 +126,37 @@ class Cut:
         return _mix(total), np.concatenate(([0], np.cumsum(count)))
 
 
+def _packed_sets(low: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The distinct values of consecutive stretches of ``low``, each sorted and packed."""
+    held = np.repeat(np.arange(len(sizes), dtype=np.uint64) << np.uint64(32), sizes) | low
+    held.sort()
+    held = held[np.concatenate(([True], held[1:] != held[:-1]))]
+    ends = np.cumsum(np.bincount((held >> np.uint64(32)).astype(np.int64), minlength=len(sizes))) * 4
+    data = (held & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+    return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
 def _band_rows(texts: list[str], bands: int, rows: int) -> tuple[list, list, list, list]:
     """``key, name, many, set`` of the distinct paragraphs of some texts, a row a band."""
-    names, keys, sets = [], [], []
-    for text in texts:
-        cut = Cut(text)
-        if not cut.words:
-            continue
-        hashes, begins = cut.shingles()
-        own = []
-        for band in range(bands):
-            key = np.zeros(len(begins) - 1, np.uint64)
-            for r in range(rows):
-                key = _mix(key + np.minimum.reduceat(_mix(hashes, 1 + band * rows + r), begins[:-1]), 101 + band)
-            own.append(key)
-        low = hashes.astype(np.uint32)
-        names.append(cut.names())
-        keys.append(np.stack(own))
-        sets.extend(low[a:b] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True))
-    if not names:
+    cuts = [cut for text in texts if len((cut := Cut(text)).words)]
+    if not cuts:
         return [], [], [], []
-    every = np.concatenate(names)
+    every = np.concatenate([cut.names() for cut in cuts])
     # Equal paragraphs of one batch are sent once, so a popular one does not travel with every copy.
     name, first, count = np.unique(every, return_index=True, return_counts=True)
-    keys = np.concatenate(keys, axis=1)[:, first]
-    packed = [np.unique(sets[i]).astype("<u4").tobytes() for i in first.tolist()]
-    many = count > 1
+    shingles = [cut.shingles() for cut in cuts]
+    hashes = np.concatenate([h for h, _ in shingles])
+    sizes = np.concatenate([np.diff(begins) for _, begins in shingles])
+    begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    # Only the shingles of first occurrences are looked at, in the order of the names.
+    sizes, begins = sizes[first], begins[first]
+    at = np.repeat(begins - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+    hashes, begins = hashes[at], np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    keys = np.zeros((bands, len(name)), np.uint64)
+    for band in range(bands):
+        for r in range(rows):
+            keys[band] = _mix(keys[band] + np.minimum.reduceat(_mix(hashes, 1 + band * rows + r), begins), 101 + band)
+    packed, many = _packed_sets(hashes & np.uint64(0xFFFFFFFF), sizes), count > 1
     return (keys.reshape(-1).view(np.int64), np.tile(name.view(np.int64), bands), np.tile(many, bands), packed * bands)
 
 
