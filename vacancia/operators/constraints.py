@@ -6,6 +6,7 @@ tokenising and scoring.
 from __future__ import annotations
 
 from functools import reduce
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,19 +59,25 @@ def _single_years(clean: Column) -> Column:
     return F.transform(found, _number)
 
 
+def _message(form: str, **values: Column) -> Column:
+    """A message with column values in its places."""
+    parts = [F.concat(F.lit(text), values[name]) if name else F.lit(text) for text, name, _, _ in Formatter().parse(form)]
+    return F.concat(*parts)
+
+
 def years_failures(clean: Column, limit: int) -> Column:
     """Messages for requirements of ``limit`` years or more.
 
     Two substring tests keep the four regular expressions off texts that never
     mention years.
     """
-    tail = F.lit(f" years experience (max {limit - 1})")
+    most = F.lit(str(limit - 1))
     ranges = F.transform(
         F.filter(_range_bounds(clean), lambda r: r["lo"] >= limit),
-        lambda r: F.concat(F.lit("Requires "), r["lo"].cast("string"), F.lit("-"), r["hi"], tail))
+        lambda r: _message(rules.FAILED_YEARS_RANGE, low=r["lo"].cast("string"), high=r["hi"], most=most))
     singles = F.transform(
         F.filter(_single_years(clean), lambda y: y >= limit),
-        lambda y: F.concat(F.lit("Requires "), y.cast("string"), F.lit("+"), tail))
+        lambda y: _message(rules.FAILED_YEARS, low=y.cast("string"), most=most))
     mentions = clean.contains("year") | clean.contains("yr")
     return F.when(mentions, F.concat(ranges, singles)).otherwise(_no_failures())
 
@@ -85,8 +92,7 @@ def excluded_terms(title_lower: Column, value: str) -> Column:
     """Messages for the ``|``-separated title terms that occur as substrings."""
     terms = [t.strip().lower() for t in value.split("|")]
     hits = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(title_lower, t))
-    return F.transform(hits, lambda t: F.concat(F.lit('Title contains excluded term: "'), t,
-                                                F.lit('"')))
+    return F.transform(hits, lambda t: _message(rules.FAILED_TITLE_TERM, term=t))
 
 
 def clearance_required(clean: Column) -> Column:
@@ -121,7 +127,7 @@ def primary_languages(clean: Column, known: tuple[str, ...]) -> Column:
         return _no_failures()
     mentioned = clean.rlike(rules.LANGUAGE_MENTION)
     named = let(marked, lambda m: F.array_compact(F.array(*[
-        F.when(m.rlike(rules.ascii_words(p)), F.lit(f"Primary language: {n} (not in candidate skills)"))
+        F.when(m.rlike(rules.ascii_words(p)), F.lit(rules.FAILED_LANGUAGE.format(language=n)))
         for n, p in wanted])))
     return F.when(mentioned, named).otherwise(_no_failures())
 
@@ -152,14 +158,12 @@ def hard_constraint_failures(profile: Profile, title: Column, title_lower: Colum
         elif kind == "exclude_pattern":
             parts.append(excluded_terms(title_lower, value))
         elif kind == "clearance" and value == "none":
-            parts.append(_only_if(clearance_required(clean), "Requires security clearance"))
+            parts.append(_only_if(clearance_required(clean), rules.FAILED_CLEARANCE))
     if "true" in profile.constraints("location_us_only"):
-        parts.append(_only_if(outside_us(title, text, strict), "Non-US location"))
+        parts.append(_only_if(outside_us(title, text, strict), rules.FAILED_LOCATION))
     parts.append(primary_languages(clean, profile.skills))
-    parts.append(_only_if(security_operations(clean, title_lower),
-                          "Security operations/admin role, not software engineering"))
-    parts.append(_only_if(security_title(title, title_lower), F.concat(
-        F.lit("Security role title ("), title, F.lit("), not software engineering"))))
+    parts.append(_only_if(security_operations(clean, title_lower), rules.FAILED_SECURITY_OPERATIONS))
+    parts.append(_only_if(security_title(title, title_lower), _message(rules.FAILED_SECURITY_TITLE, title=title)))
     return F.array_distinct(F.concat(*parts))
 
 

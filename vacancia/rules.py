@@ -193,3 +193,13 @@ AIMD_MAX_BACKOFF = 10
 PROBE_INTERVALS = (1000, 500, 250, 100, 50)
 PROBE_MAX_CONCURRENT = 20
 PROBE_MIN_COMPANIES = 5
+
+# --- messages of failed constraints (fixed values: they are part of the results) ---
+FAILED_YEARS_RANGE = "Requires {low}-{high} years experience (max {most})"
+FAILED_YEARS = "Requires {low}+ years experience (max {most})"
+FAILED_TITLE_TERM = 'Title contains excluded term: "{term}"'
+FAILED_CLEARANCE = "Requires security clearance"
+FAILED_LOCATION = "Non-US location"
+FAILED_LANGUAGE = "Primary language: {language} (not in candidate skills)"
+FAILED_SECURITY_OPERATIONS = "Security operations/admin role, not software engineering"
+FAILED_SECURITY_TITLE = "Security role title ({title}), not software engineering"
