@@ -180,7 +180,8 @@ def _keyed(docs: DataFrame, text: str, doc_id: str, width: int, seed: int) -> Da
 def _grouped(keyed: DataFrame, radius: int) -> DataFrame:
     """``f, group``: the component of each distinct fingerprint, named by a fingerprint."""
     prints = keyed.groupBy("f").agg(F.lit(1).alias("one")).select("f")
-    found = components(links(prints, radius)).select(F.col("node").alias("f"), F.col("component").alias("group"))
+    # The tiles are compared once, though the components look at the links more than once.
+    found = components(reliable(links(prints, radius))).select(F.col("node").alias("f"), F.col("component").alias("group"))
     return prints.join(found, "f", "left").select("f", F.coalesce("group", "f").alias("group"))
 
 
@@ -196,7 +197,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     keyed = _keyed(docs, text, doc_id, width, seed)
     group = reliable(_grouped(keyed, radius))
     least = keyed.groupBy("f").agg(F.min("id").alias("least")).join(group, "f")
-    smallest = least.groupBy("group").agg(F.min("least").alias("component_id"))
+    # The checkpoint parts the join from the aggregate on its key, so a group of any size may be split.
+    smallest = reliable(least.groupBy("group").agg(F.min("least").alias("component_id")))
     return (
         keyed.join(group.join(smallest, "group").select("f", "component_id"), "f")
         .select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"),
