@@ -47,6 +47,33 @@ def test_random_runs_are_found_and_ordinary_ones_are_not(spark):
     assert all(found[30 + k] == 0 for k in range(len(plain)))
 
 
+def test_keys_joined_to_words_are_found_and_masked(spark):
+    """Keys in url paths, behind dash-joined words and behind assignments of other names, and hex in dashed groups."""
+    rng = random.Random(11)
+    code = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def key():
+        return "".join(rng.choices(code, k=32))
+
+    def grouped():
+        return "-".join("".join(rng.choices("0123456789abcdef", k=n)) for n in (8, 4, 4, 4, 12))
+    shapes = [lambda k: f"see https://example.com/some/path/of/{k}", lambda k: f"my-service-account-key-{k}",
+              lambda k: f"name_of_the_thing={k}"]
+    rows = [shape(key()) for shape in shapes for _ in range(30)] + [f"id {grouped()} here" for _ in range(30)]
+    plain = ["this-is-a-long-dashed-heading-of-an-article", "a/very/long/path/internationalization/configuration",
+             "2024-01-02-03-04-05-06-07-08", "face-added-decade-facade-beaded-cabbage", "SOME-CONSTANT_NAME/WITH=PARTS",
+             "tel-0123-4567-8901-2345-6789"] * 5
+    df = spark.createDataFrame(list(enumerate(rows + plain)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in secret_spans(df).collect()}
+    for k in range(4):
+        assert sum(found[i]["n_random"] > 0 for i in range(30 * k, 30 * k + 30)) >= 28, k
+    assert all(found[len(rows) + i]["n_random"] == 0 for i in range(len(plain)))
+    texts = {r["doc_id"]: r["text"] for r in mask_secrets(df).collect()}
+    for i, text in enumerate(rows):
+        if found[i]["n_random"]:
+            assert "[SECRET]" in texts[i] and re.split(r"[ /=-]", text)[-1 if i < 90 else 1] not in texts[i]
+
+
 def test_a_short_run_needs_more_evidence_among_many_candidates(spark):
     rng = random.Random(5)
     token = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=20))

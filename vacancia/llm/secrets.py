@@ -6,7 +6,8 @@ infers the encoding (hex, base32, base64), maps the characters to numbers and
 asks, each as a test of uniform randomness: chi-squared uniformity over the
 alphabet, the number of runs above and below the middle, and the lag-one serial
 correlation. A run that fails one of them after Bonferroni correction is no
-secret.
+secret. Parts of a run between its joining signs, and hex in dashed groups without the
+dashes, are candidates of their own.
 
 Passing is weak evidence for a short run, so discoveries are controlled against
 the other side: how likely would ordinary words, constants or numbers make this
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacancia.functions.core import let
-from vacancia.llm.texts import whole
+from vacancia.llm.texts import own_columns, whole
 
 #: The kinds in listed order, their patterns, the group that is measured and its least length.
 KINDS = (
@@ -39,6 +40,10 @@ KINDS = (
 )
 RANDOM = "random"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Parts of such runs between their joining signs (a key in a path, behind words), and runs that may be hex in dashed groups.
+PART = r"(?<=[/_=-])[A-Za-z0-9+]{20,}+|(?<![A-Za-z0-9+])[A-Za-z0-9+]{20,}+(?=[/_-])"
+DASHED = r"[A-Za-z0-9-]{20,}"
+LEAST_DIGITS = 20
 HEX, BASE32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 #: Size of the combined randomness test, and the false-discovery rate.
@@ -136,23 +141,33 @@ def _bits(body: Column, k: Column, n: Column) -> Column:
         F.lit(-MOST_BITS), F.floor((-mixed - math.log(3)) / math.log(2)))).cast("int")
 
 
-def candidates(text: Column) -> Column:
-    """``array<struct<start, end, bits, random>>`` of every run that the battery looks at."""
-    def judged(x: Column) -> Column:
-        body = F.rtrim(F.translate(x["part"], "-_", "+/"), F.lit("="))
-
-        def by_code(b: Column) -> Column:
-            code = (F.when(b.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.struct(F.lit(HEX).alias("a"), F.lower(b).alias("b")))
-                    .when(b.rlike("^[A-Z2-7]+$"), F.struct(F.lit(BASE32).alias("a"), b.alias("b")))
-                    .otherwise(F.struct(F.lit(BASE64).alias("a"), F.replace(b, F.lit("="), F.lit("")).alias("b"))))
-            return let(code, lambda c: let(F.transform(
-                F.array_remove(F.split(c["b"], ""), ""), lambda ch: F.instr(c["a"], ch) - 1), lambda v: F.struct(
-                    x["start"], x["end"], _bits(b, F.length(c["a"]), F.length(b)).alias("bits"),
-                    (_battery(v, F.length(c["a"]), F.size(v)) > ALPHA).alias("random"))))
-        return let(body, by_code)
+def _judged(found: Column, body: Column) -> Column:
+    """``struct<start, end, bits, random>`` of a match, whose characters are read as ``body``."""
+    def by_code(b: Column) -> Column:
+        code = (F.when(b.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.struct(F.lit(HEX).alias("a"), F.lower(b).alias("b")))
+                .when(b.rlike("^[A-Z2-7]+$"), F.struct(F.lit(BASE32).alias("a"), b.alias("b")))
+                .otherwise(F.struct(F.lit(BASE64).alias("a"), F.replace(b, F.lit("="), F.lit("")).alias("b"))))
+        return let(code, lambda c: let(F.transform(
+            F.array_remove(F.split(c["b"], ""), ""), lambda ch: F.instr(c["a"], ch) - 1), lambda v: F.struct(
+                found["start"], found["end"], _bits(b, F.length(c["a"]), F.length(b)).alias("bits"),
+                (_battery(v, F.length(c["a"]), F.size(v)) > ALPHA).alias("random"))))
+    return let(body, by_code)
+
+
+def candidates(text: Column) -> tuple[Column, Column]:
+    """Two ``array<struct<start, end, bits, random>>``: whole runs, and other readings of what they hold.
+
+    The other readings are the parts of a run between its joining signs, and hex in dashed groups without
+    the dashes. All of them are tested together.
+    """
     # A run of padding alone has nothing to test.
     runs = F.filter(matches(text, CANDIDATE), lambda x: F.length(F.replace(x["part"], F.lit("="), F.lit(""))) >= 2)
-    return F.transform(runs, judged)
+    wholes = F.transform(runs, lambda x: _judged(x, F.rtrim(F.translate(x["part"], "-_", "+/"), F.lit("="))))
+    parts = F.transform(matches(text, PART), lambda x: _judged(x, x["part"]))
+    grouped = F.filter(matches(text, DASHED), lambda x: x["part"].rlike("^[0-9a-f]+-[0-9a-f-]*[0-9a-f]$|^[0-9A-F]+-[0-9A-F-]*[0-9A-F]$")
+                       & (F.length(F.replace(x["part"], F.lit("-"), F.lit(""))) >= LEAST_DIGITS))
+    dashed = F.transform(grouped, lambda x: _judged(x, F.replace(x["part"], F.lit("-"), F.lit(""))))
+    return wholes, F.concat(parts, dashed)
 
 
 def evidence_threshold(docs: DataFrame, text: str = "text", fdr: float = FDR) -> int:
@@ -160,7 +175,7 @@ def evidence_threshold(docs: DataFrame, text: str = "text", fdr: float = FDR) ->
 
     The histogram has at most ``2 * MOST_BITS + 1`` rows, whatever the table.
     """
-    found = docs.select(F.explode(candidates(whole(docs[text]))).alias("c"))
+    found = docs.select(F.explode(F.concat(*candidates(whole(docs[text])))).alias("c"))
     counts = {b: n for b, n in found.groupBy("c.bits").count().collect()}
     tested, reached = sum(counts.values()), 0
     threshold = MOST_BITS + 1
@@ -172,12 +187,21 @@ def evidence_threshold(docs: DataFrame, text: str = "text", fdr: float = FDR) ->
 
 
 def all_spans(text: Column, threshold: int) -> Column:
-    """The fixed kinds and the accepted random runs that lie in none of them."""
-    def added(base: Column) -> Column:
-        new = F.filter(candidates(text), lambda x: (x["bits"] >= threshold) & x["random"] & ~F.exists(
-            base, lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
-        return F.sort_array(F.concat(base, _of_kind(new, len(KINDS))))
-    return let(base_spans(text), added)
+    """The fixed kinds and the accepted random runs that lie in none of them; parts of accepted runs are left out."""
+    def holds(outer: Column, x: Column) -> Column:
+        return (outer["start"] <= x["start"]) & (outer["end"] >= x["end"])
+
+    def passed(x: Column) -> Column:
+        return (x["bits"] >= threshold) & x["random"]
+
+    def added(s: Column) -> Column:
+        free = lambda x: ~F.exists(s["base"], lambda b: holds(b, x))
+        wholes = F.filter(s["wholes"], lambda x: passed(x) & free(x))
+        parts = F.filter(s["parts"], lambda x: passed(x) & free(x) & ~F.exists(
+            s["wholes"], lambda w: passed(w) & holds(w, x)))
+        return F.array_distinct(F.sort_array(F.concat(s["base"], _of_kind(wholes, len(KINDS)), _of_kind(parts, len(KINDS)))))
+    wholes, parts = candidates(text)
+    return let(F.struct(base_spans(text).alias("base"), wholes.alias("wholes"), parts.alias("parts")), added)
 
 
 def _listed(spans: Column) -> Column:
@@ -217,6 +241,8 @@ def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
 def mask_secrets(docs: DataFrame, text: str = "text", fdr: float = FDR, mask: str = MASK) -> DataFrame:
     """All documents, with every secret in ``text`` replaced; null texts stay null."""
     threshold = evidence_threshold(docs, text, fdr)
-    t = docs[text].cast("string")
-    clean = F.when(t.isNotNull(), let(all_spans(t, threshold), lambda s: masked(t, s)))
-    return docs.withColumn(text, clean)
+    own, = own_columns(docs, "spans")
+    # A column of its own: the spans are used several times, and worked out once.
+    found = docs.withColumn(own, F.when(docs[text].isNotNull(), all_spans(whole(docs[text]), threshold)))
+    clean = F.when(found[own].isNotNull(), masked(found[text].cast("string"), found[own]))
+    return found.withColumn(text, clean).drop(own)
