@@ -53,10 +53,11 @@ def test_many_profiles_agree_with_one(spark):
     assert [r.doc_id for r in got if r.profile_id == 2] == [1]
 
 
-@pytest.mark.parametrize("profiles, cells, pairs", [(2, 60, 10 ** 6), (256, 10 ** 6, 10 ** 6), (256, 300, 20)])
-def test_blocks_and_bounds_change_nothing(spark, monkeypatch, profiles, cells, pairs):
-    """Small blocks that are skipped, several groups of profiles, several passes: the rows of a plain scoring."""
+@pytest.mark.parametrize("profiles, cells, pairs, terms", [(2, 60, 10 ** 6, 10 ** 6), (256, 10 ** 6, 10 ** 6, 0), (256, 300, 20, 10 ** 6)])
+def test_blocks_and_bounds_change_nothing(spark, monkeypatch, profiles, cells, pairs, terms):
+    """Small blocks that are skipped, several groups of profiles, several passes, a shuffled join: the rows of a plain scoring."""
     import random
+    monkeypatch.setattr(retrieval, "MOST_TERMS", terms)
     monkeypatch.setattr(retrieval, "SCORE_PROFILES", profiles)
     monkeypatch.setattr(retrieval, "SCORE_CELLS", cells)
     monkeypatch.setattr(retrieval, "MOST_PAIRS", pairs)

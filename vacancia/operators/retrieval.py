@@ -133,19 +133,22 @@ BOUND_SLACK = 1e-7
 def term_hits(docs: DataFrame, text: Column, terms: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``id, doc_len, term, tf`` for the ``terms(term)`` found in each document, and a row without term for each document.
 
-    Texts are read once. A document's tokens are counted by runs of the sorted tokens; the counts meet the
-    terms in a hash join, so the plan holds no term and nothing but the hits leaves the task.
+    A document's rows follow each other, the one without term first; ids are unique. Texts are read once. A
+    document's tokens are counted by runs of the sorted tokens; the counts meet the terms in a hash join, so the
+    plan holds no term and nothing but the hits leaves the task.
     """
     wanted = terms.select("term").distinct().withColumn("__wanted", F.lit(True))
-    wanted = F.broadcast(wanted) if wanted.count() <= MOST_TERMS else wanted
+    few = wanted.count() <= MOST_TERMS
     counted = docs.select(id_col, let(F.sort_array(tokenize(text)), lambda x: F.struct(
         F.size(x).cast("bigint").alias("doc_len"), _runs(x).alias("hits"))).alias("__t"))
     # The total comes first, as a run without a term.
     none = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"))
     each = counted.select(id_col, F.col("__t.doc_len").alias("doc_len"), F.explode(F.concat(F.array(none), F.col("__t.hits"))).alias("h"))
     named = each.select(id_col, "doc_len", F.col("h.term").alias("term"), F.col("h.tf").cast("bigint").alias("tf"))
-    return named.join(wanted, "term", "left").filter(F.col("term").isNull() | F.col("__wanted")).select(
-        id_col, "doc_len", "term", "tf")
+    found = named.join(F.broadcast(wanted) if few else wanted, "term", "left").filter(
+        F.col("term").isNull() | F.col("__wanted")).select(id_col, "doc_len", "term", "tf")
+    # A hash join leaves a document's rows together; after a shuffled one they are brought together again.
+    return found if few else found.repartition(id_col).sortWithinPartitions(id_col, F.col("term").asc_nulls_first())
 
 
 class _Best:
