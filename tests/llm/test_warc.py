@@ -97,3 +97,51 @@ def test_files_that_break_off_are_named(spark, tmp_path):
     (folder / "c").write_bytes(fake("one", 1).encode())
     found = warc.unfinished(read_records(spark, f"file://{folder}"), f"file://{folder}").collect()
     assert sorted((r["path"][-1], r["end"]) for r in found) == [("a", len(fake("one", 1))), ("b", None)]
+
+
+def test_little_more_than_the_archive_is_read(spark, tmp_path, monkeypatch):
+    """Bytes that the search and the walk ask the store for, with records of 10 KB in ranges of 256 KB."""
+    rows = [(k, f"http://a/{k}", prose(k, 1800)) for k in range(300)]
+    path = f"file://{tmp_path}/archives"
+    write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path)
+    log, real = f"{tmp_path}/read", warc._opened
+
+    def opened(name):
+        class Counting:
+            def __init__(self, source):
+                self.source = source
+
+            def read_at(self, n, at):
+                data = self.source.read_at(n, at)
+                with open(log, "a") as f:
+                    f.write(f"{len(data)}\n")
+                return data
+
+            def size(self):
+                return self.source.size()
+
+            def __enter__(self):
+                return self
+
+            def __exit__(self, *why):
+                self.source.close()
+        return Counting(real(name))
+    monkeypatch.setattr(warc, "_opened", opened)
+    monkeypatch.setattr(warc, "AHEAD", 64 << 10)
+    assert len({r["page"] for r in read_records(spark, path, 256 << 10).collect()}) == 300
+    whole = sum(f.stat().st_size for f in (tmp_path / "archives").glob("part-*"))
+    asked = sum(map(int, open(log).read().split()))
+    assert whole < asked < 2.5 * whole
+
+
+def test_stretches_give_the_bytes_of_the_file(tmp_path):
+    import random
+
+    import pyarrow.fs as pafs
+    data = random.Random(2).randbytes(50_000)
+    (tmp_path / "f").write_bytes(data)
+    with pafs.LocalFileSystem().open_input_file(f"{tmp_path}/f") as source:
+        for ahead in (0, 5000, 100_000):
+            held = warc.Stretch(source, 7000, data[7000:9000], ahead)
+            for at, n in [(7000, 2000), (0, 10), (8999, 2), (6999, 5), (30_000, 4096), (31_000, 96), (49_990, 8192), (49_999, 1), (8000, 6000)]:
+                assert held.read_at(n, at) == data[at:at + n]

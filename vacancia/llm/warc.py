@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from vacancia.llm.texts import whole
 from vacancia.session import reliable, shared_dir
+from vacancia.sources.storage import opened_store, resolved
 
 CRLF = "\r\n"
 END = CRLF + CRLF
@@ -31,9 +32,10 @@ VERSION = "WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"
 #: Payloads of fewer bytes are always written in full.
 LEAST_REVISIT = 1000
-#: Bytes of a file that one task searches, and those of a header that are read at once.
+#: Bytes of a file that one task searches, those of a header that are looked at first, and those that a walk reads ahead.
 RANGE = 8 << 20
-HEADER = 64 << 10
+HEADER = 4 << 10
+AHEAD = 1 << 20
 #: Bodies that occur more than once are joined by broadcast up to this number (a digest and an id each).
 MOST_BROADCAST = 100_000
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
@@ -96,13 +98,29 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", payloa
 
 
 def _opened(path: str):
-    """The file behind a Spark path, by whichever file system its scheme names."""
-    from pyarrow.fs import FileSystem
-
-    fs, name = FileSystem.from_uri(path)
+    """The file behind a full Spark path, by whichever file system its scheme names."""
+    fs, name = opened_store(path)
     return fs.open_input_file(name)
 
 
+class Stretch:
+    """A file with one stretch of it in memory; what lies outside is read, with ``ahead`` bytes the stretch moves on."""
+
+    def __init__(self, source, start: int = 0, data: bytes = b"", ahead: int = 0) -> None:
+        self.source, self.start, self.data, self.ahead = source, start, data, ahead
+
+    def read_at(self, n: int, at: int) -> bytes:
+        low = at - self.start
+        if low < 0 or low + n > len(self.data):
+            if not self.ahead or n < HEADER:      # a few bytes elsewhere: where a record should end
+                return self.source.read_at(n, at)
+            self.start, self.data, low = at, self.source.read_at(max(n, self.ahead), at), 0
+        return self.data[low:low + n]
+
+    def size(self) -> int:
+        return self.source.size()
+
+
 def archive_ranges(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     """``path, length, start``: the byte ranges of every archive under ``path``."""
     files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
@@ -156,7 +174,8 @@ def candidate_links(ranges: DataFrame, size: int = RANGE) -> DataFrame:
                     # A magic that begins in the range may end behind it.
                     data = source.read_at(min(size + 16, length - start), start)
                     places = [start + m.start() for m in MAGIC.finditer(data) if m.start() < size]
-                    links = {at: r[2] for at in places if (r := _record(source, at, length))}
+                    held = Stretch(source, start, data)
+                    links = {at: r[2] for at in places if (r := _record(held, at, length))}
                 leaves: dict[int, int | None] = {}
                 for at in reversed(places):
                     if at in links:
@@ -172,6 +191,7 @@ def reachable(links: DataFrame) -> DataFrame:
     Every round adds what the reached places jump to and doubles the jumps; it
     ends when nothing new is reached.
     """
+    links = reliable(links)               # the archives are searched once
     jumps = reliable(links.filter("exit is not null").select("path", "offset", F.col("exit").alias("to")))
     places = reliable(links.select("path", "offset"))
     reached = reliable(places.filter("offset = 0"))
@@ -197,13 +217,14 @@ def read_records(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame
     names = ["path", "offset", "type", "page", "refers", "declared_digest", "n_bytes", "digest", "end"]
 
     def walk(name: str, at: int) -> Iterator[tuple]:
-        with _opened(name) as source:
+        with _opened(name) as file:
+            source = Stretch(file, ahead=AHEAD)
             length, end = source.size(), (at // size + 1) * size
             while at < min(end, length) and (record := _record(source, at, length)):
                 fields, body, after = record
                 digest, left = hashlib.sha1(), after - 4 - body
                 while left:
-                    part = source.read_at(min(left, 1 << 20), after - 4 - left)
+                    part = source.read_at(min(left, AHEAD), after - 4 - left)
                     digest.update(part)
                     left -= len(part)
                 yield (name, at, fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-refers-to"),
@@ -253,7 +274,7 @@ def archive_round_trip(pages: DataFrame, page_id: str = "page_id", payload: str
     Raises if an archive cannot be read to its end.
     """
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = f"{resolved(spark, shared_dir(spark))}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, page_id, payload)
     records = reliable(read_records(spark, path))
     if broken := unfinished(records, path).take(5):
