@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from vacancia.llm.ranges import id_bounds, range_number
 from vacancia.llm.texts import whole
 from vacancia.session import reliable, shared_dir
+from vacancia.sources.storage import opened_store, resolved
 
 BLOCK = 1 << 16
 MAGIC = b"TOKBITS1"
@@ -200,12 +201,6 @@ class WordEncoder:
         return np.frombuffer(b"".join(map(self.known.__getitem__, self.blanks.split(text))), np.uint32)
 
 
-def _file_system(path: str):
-    from pyarrow.fs import FileSystem
-
-    return FileSystem.from_uri(path)
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: int, end_id: int,
                       text: str = "text", doc_id: str = "doc_id", files: int | None = None) -> DataFrame:
     """Encode, pack and write; ``number, file, n_docs, n_ids`` of the files, in ascending order of ids.
@@ -214,6 +209,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, vocabular
     lost or repeated task leaves one whole file.
     """
     spark = docs.sparkSession
+    path = resolved(spark, path)
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = docs[doc_id].cast("long")
     rows = docs.select(key.alias("doc_id"), key.isNull().alias("missing"), whole(docs[text]).alias("t"))
@@ -227,7 +223,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, vocabular
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, (fs, folder) = WordEncoder(tokenizer_path), _file_system(path)
+        encoder, (fs, folder) = WordEncoder(tokenizer_path), opened_store(path)
         fs.create_dir(folder, recursive=True)
         number = writer = sink = part = None
 
@@ -265,7 +261,7 @@ def read_token_files(written: DataFrame) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, base in zip(batch["file"], batch["base"], strict=True):
-                fs, local = _file_system(name)
+                fs, local = opened_store(name)
                 with fs.open_input_file(local) as source:
                     rows = [(key, base + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
                             for key, start, ids in TokenFile(source).documents()]
