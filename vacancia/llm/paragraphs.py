@@ -430,7 +430,8 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     document = F.struct(F.col("doc_id"), F.col("tag"))
     spread = seen.groupBy("cluster").agg(
         F.min(place).alias("first"), F.min(document).alias("lo"), F.max(document).alias("hi"))
-    across = spread.filter(~F.col("lo").eqNullSafe(F.col("hi"))).select("cluster", "first")
+    # The checkpoint parts the join from the aggregate on its key, so a cluster of any size may be split.
+    across = reliable(spread.filter(~F.col("lo").eqNullSafe(F.col("hi"))).select("cluster", "first"))
     near = seen.join(across, "cluster")
     by_document = Window.partitionBy("doc_id", "tag").orderBy("seq")
     stretch = Window.partitionBy("doc_id", "tag", "stretch")
