@@ -2,10 +2,12 @@
 import random
 from contextlib import contextmanager
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tests.test_ordered import aimd, machine
 from vacancia.plans.streams import ROCKSDB, drain, source
 from vacancia.streaming import ingest, matching, rates, state
@@ -227,6 +229,18 @@ def test_matching_tick_gate(spark):
     assert matching.matching_tick(jobs, runs, profile, scorer, min_new=5) is None
 
 
+def test_matching_loop_with_every_posting_scored(spark, sf_dir, tmp_path):
+    """No tick stores a run then; the query has no rows, as its SQL."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id % 6 <> 0").withColumn("lang", F.lit("fr"))
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["st5_matching_loop"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()["st5_matching_loop"])
+    assert got.columns == [d[0] for d in want.description]
+    assert got.collect() == want.fetchall() == []
+
+
 @pytest.mark.parametrize("layout", ["file", "parts", "partitions"])
 def test_a_table_of_part_files_is_streamed_whole(spark, tmp_path, layout):
     rows = spark.range(100).selectExpr("id", "cast(id % 3 as int) as k")

@@ -12,7 +12,7 @@ from vacancia.plans.health import health
 from vacancia.plans.matching import _REL, _RERANK, PROFILE
 from vacancia.plans.registry import Registry, ms, scratch
 from vacancia.streaming import ingest, matching, rates, state
-from vacancia.streaming.tables import read_last
+from vacancia.streaming.tables import read_all, read_last, write_batch
 from vacancia.streaming.termindex import TermIndex
 
 streams = Registry()
@@ -159,6 +159,7 @@ def _scorer(frame: pd.DataFrame) -> pd.DataFrame:
                          "latency_ms": 1000.0, "error": None})
 
 
+RUN = "company_slug string, title string, url string, score double, band string, reasoning string"
 _LOOP = """, fresh AS (SELECT * FROM postings p WHERE NOT EXISTS (SELECT 1 FROM stored_runs r
   WHERE r.company_slug = p.company_slug AND r.title = p.title))
 """ + _RERANK.replace("FROM postings", "FROM fresh").replace("LIMIT 50)", "LIMIT 30)")
@@ -173,21 +174,23 @@ SELECT company_slug, title, url, CAST(50 + i AS DOUBLE) AS score, CASE WHEN 50 +
 SELECT company_slug, title, url, 0.0, 'skip', concat('Title "', title, '" not SWE-relevant')
 FROM gate WHERE NOT relevant""")
 def _(spark, sf):
-    """One matching tick per trigger over the index that the arriving postings maintain; reads the stored run."""
+    """One matching tick per trigger over the index that the arriving postings maintain; reads the stored runs.
+
+    No run is stored if no tick has enough unscored postings; the log of runs is empty then.
+    """
     base = scratch(spark, "matching")
 
     def jobs(s):
         return view(s, sf, "postings").withColumnRenamed("doc_id", "job_id")
 
     def save(df, batch_id):
-        df.write.mode("overwrite").parquet(f"{base}/runs/run_id={batch_id}")
+        write_batch(df, f"{base}/runs", batch_id)
     index = TermIndex(spark, f"{base}/index", PROFILE, text="description")
     matching.matching_stream(
         streamed(spark, sf, "postings", "documents").withColumnRenamed("doc_id", "job_id"), index, jobs,
         lambda s, b: view(s, sf, "stored_runs"), save, _scorer, f"{base}/checkpoint",
         available_now=True, k=200, n=30).awaitTermination()
-    return spark.read.parquet(f"{base}/runs").select(
-        "company_slug", "title", "url", "score", "band", "reasoning")
+    return read_all(spark, f"{base}/runs", RUN)
 
 
 @streams.add("st6_poll_rate", ctes("polls") + """
