@@ -89,3 +89,16 @@ def test_line_order_does_not_depend_on_the_splits(spark, tmp_path):
         spark.conf.set(key_cost, before[1])
     assert found[0] == found[1] == found[2]
     assert found[0] == sorted((str(i), f"{i},{'x' * (i % 11)}") for i in range(97))
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_new_per_source_reads_each_source_once(spark):
+    def source(k):
+        return src.from_url_list(spark.range(k).selectExpr(
+            "'d' doc", "id line_no", "concat('https://jobs.lever.co/c', id) line"))
+    df = dedup.new_per_source([source(20), source(30).withColumn("source_type", F.lit("hn"))])
+    assert plan(df).count("Range (") == 2
+    assert {r.source_type: (r.found, r.new) for r in df.collect()} == {"oss_list": (20, 20), "hn": (30, 10)}

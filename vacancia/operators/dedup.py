@@ -67,17 +67,14 @@ def merge_sources(sources: list[DataFrame]) -> DataFrame:
 def new_per_source(sources: list[DataFrame]) -> DataFrame:
     """Companies found by each source and how many no earlier source had.
 
-    Two-level: collapse to (company, source) first, then one aggregate per
-    company carries only its distinct sources (bounded by their number).
+    The sources are read once: they collapse to (company, source), and a rank per company,
+    over its distinct sources only, marks the first.
     """
     pairs = union_sources(sources).groupBy(*BOARD_KEY, "source_type").agg(
         F.min("precedence").alias("precedence"))
-    firsts = pairs.groupBy(*BOARD_KEY).agg(
-        F.min_by("source_type", F.struct("precedence", "source_type")).alias("source_type"))
-    found = pairs.groupBy("source_type").agg(F.count(F.lit(1)).alias("found"))
-    new = firsts.groupBy("source_type").agg(F.count(F.lit(1)).alias("new"))
-    return found.join(new, "source_type", "left").select(
-        "source_type", "found", F.coalesce("new", F.lit(0)).alias("new"))
+    turn = F.row_number().over(Window.partitionBy(*BOARD_KEY).orderBy("precedence", "source_type"))
+    return pairs.withColumn("__turn", turn).groupBy("source_type").agg(
+        F.count(F.lit(1)).alias("found"), F.count_if(F.col("__turn") == 1).alias("new"))
 
 
 def exclude_seen(jobs: DataFrame, runs: DataFrame) -> DataFrame:
