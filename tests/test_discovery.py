@@ -102,3 +102,28 @@ def test_new_per_source_reads_each_source_once(spark):
     df = dedup.new_per_source([source(20), source(30).withColumn("source_type", F.lit("hn"))])
     assert plan(df).count("Range (") == 2
     assert {r.source_type: (r.found, r.new) for r in df.collect()} == {"oss_list": (20, 20), "hn": (30, 10)}
+
+
+def test_derived_text_is_made_once(spark):
+    """No test on a text is pushed below the projection that makes it."""
+    rows = spark.range(10).selectExpr("'d' doc", "id line_no", "id thread_id", "id comment_no", "concat('M@DE ', id) line",
+                                      "concat('M@DE ', id) comment_html", "'who is hiring' title", "now() created_at")
+    for df in (src.from_markdown(rows), src.from_readme(rows), src.from_url_list(rows), src.from_cdx(rows),
+               src.from_threads(rows.select("thread_id", "title", "created_at"), rows, F.now())):
+        assert plan(df).count("M@DE") == 1
+
+
+def test_url_ends(spark):
+    rows = lines(spark, "(https://a.b/c..", "https://a.b/d.\u0085", "https://a.b/e\u2028", "https://a.b/f.x")
+    from vacancia.functions.urls import extract_urls
+    got = [r.u for r in rows.select("line_no", extract_urls(F.col("line"), "text").alias("u")).orderBy("line_no").collect()]
+    assert got == [["https://a.b/c"], ["https://a.b/d\u0085"], ["https://a.b/e\u2028"], ["https://a.b/f.x"]]
+
+
+def test_first_pattern_in_order_wins(spark):
+    from vacancia.functions.urls import parse_board_url
+    rows = lines(spark, "https://x.workable.com/?r=JOBS.lever.co/abc", "https://boards.greenhouse.io/?r=apply.workable.com/q",
+                 "https://apply.workable.com/", "none")
+    got = [r.b and (r.b.ats_type, r.b.slug) for r in rows.select("line_no", parse_board_url(F.col("line")).alias("b"))
+           .orderBy("line_no").collect()]
+    assert got == [("lever", "abc"), ("workable", "q"), None, None]

@@ -1,7 +1,7 @@
 """Column expressions over URLs: vendor detection, request building, extraction."""
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,24 +30,20 @@ def parse_board_url(url: Column) -> Column:
 
 
 def mentions_board(text: Column) -> Column:
-    """Cheap pre-filter: some vendor host occurs in the text."""
-    lowered = F.lower(text)
-    return reduce(lambda a, b: a | b, [lowered.contains(h) for h in rules.BOARD_HOSTS])
+    """Cheap test: some vendor host occurs in the text, which is evaluated once."""
+    return let(F.lower(text), lambda lowered: reduce(
+        lambda a, b: a | b, [lowered.contains(h) for h in rules.BOARD_HOSTS]))
 
 
 def _first_board(lowered: Column) -> Column:
-    hits = F.array(*[
-        F.struct(F.lit(ats).alias("ats_type"),
-                 F.when(lowered.contains(literal), F.regexp_extract(lowered, pattern, 1))
-                 .otherwise("").alias("slug"))
+    def named(ats: str, slug: Column) -> Column:
+        return F.when(slug != "", F.struct(F.lit(ats).alias("ats_type"), slug.alias("slug"),
+                                           board_api_url(F.lit(ats), slug).alias("ats_url")))
+    # Tried in order; what comes after the first match is not evaluated.
+    return F.coalesce(*[
+        F.when(lowered.contains(literal), let(F.regexp_extract(lowered, pattern, 1), partial(named, ats)))
         for ats, literal, pattern in rules.BOARD_URL_PATTERNS
     ])
-    named = F.transform(
-        F.filter(hits, lambda h: h["slug"] != ""),
-        lambda h: F.struct(h["ats_type"].alias("ats_type"), h["slug"].alias("slug"),
-                           board_api_url(h["ats_type"], h["slug"]).alias("ats_url")),
-    )
-    return F.get(named, F.lit(0))
 
 
 def _component(slug: Column) -> Column:
@@ -91,7 +87,10 @@ def extract_urls(text: Column, variant: str) -> Column:
     urls = F.regexp_extract_all(text, F.lit(rules.URL_PATTERNS[variant]), F.lit(0))
     if variant in ("markdown", "list"):
         return urls
-    return F.transform(urls, lambda u: F.regexp_replace(u, r"[.)]+$", ""))
+    # ``$`` also matches before a final line end; the other URLs have nothing to drop.
+    return F.transform(urls, lambda u: F.when(
+        F.substring(u, -1, 1).isin(".", ")", "\u0085", "\u2028", "\u2029"),
+        F.regexp_replace(u, r"[.)]+$", "")).otherwise(u))
 
 
 def crawl_pattern(url: Column) -> Column:

@@ -28,11 +28,15 @@ def split_lines(docs: DataFrame) -> DataFrame:
 
 
 def _parsed_urls(text: Column, variant: str) -> Column:
-    """Board URLs in ``text`` as ``array<struct(pos, board)>``."""
+    """Board URLs in ``text`` as ``array<struct(pos, board)>``; null if no vendor host occurs in it.
+
+    The test is part of the expression: a filter would be pushed below the projection
+    that makes the text, and the text would be made again for every place that mentions it.
+    """
     hits = F.transform(extract_urls(text, variant),
                        lambda u, i: F.struct(i.cast("bigint").alias("pos"),
                                              parse_board_url(u).alias("board")))
-    return F.filter(hits, lambda h: h["board"].isNotNull())
+    return F.when(mentions_board(text), F.filter(hits, lambda h: h["board"].isNotNull()))
 
 
 def _output(df: DataFrame, name: Column, source_type: Column | str, detail: Column,
@@ -59,8 +63,8 @@ def from_markdown(lines: DataFrame) -> DataFrame:
     """Table rows of a markdown list: the first board URL of each line."""
     cell = F.regexp_extract("line", r"\|\s*\[([^\]]+)\]", 1)
     found = (
-        with_present(lines.filter(F.col("line").contains("|") & mentions_board(F.col("line"))),
-                     "__hit", F.get(_parsed_urls(F.col("line"), "markdown"), F.lit(0)))
+        with_present(lines, "__hit", F.when(F.col("line").contains("|"),
+                                            F.get(_parsed_urls(F.col("line"), "markdown"), F.lit(0))))
         .withColumn("pos", F.lit(0).cast("bigint")).withColumn("board", F.col("__hit.board"))
     )
     return _output(found, F.coalesce(F.nullif(cell, F.lit("")), F.col("board.slug")),
@@ -71,14 +75,14 @@ def from_readme(lines: DataFrame) -> DataFrame:
     """Every board URL of a README, named after the first table cell of its line."""
     cell = F.trim(F.regexp_extract(
         "line", r"\|\s*(?:\*\*)?(?:<img[^>]*>)?\s*\[?([^\]|*<\n]+)", 1))
-    found = _exploded(lines.filter(mentions_board(F.col("line"))), F.col("line"), "text")
+    found = _exploded(lines, F.col("line"), "text")
     return _output(found, F.coalesce(F.nullif(cell, F.lit("")), F.col("board.slug")),
                    "oss_list", F.col("doc"))
 
 
 def from_url_list(lines: DataFrame) -> DataFrame:
     """URLs anywhere in plain text."""
-    found = _exploded(lines.filter(mentions_board(F.col("line"))), F.col("line"), "list")
+    found = _exploded(lines, F.col("line"), "list")
     return _output(found, F.col("board.slug"), "oss_list", F.col("doc"))
 
 
@@ -131,11 +135,11 @@ def from_crawl_jsonl(lines: DataFrame) -> DataFrame:
 def from_cdx(lines: DataFrame) -> DataFrame:
     """CDX lines: the JSON tail carries the URL."""
     tail = F.substr("line", F.instr("line", "{").cast("int"))
-    hit = let(F.from_json(tail, "url string")["url"], lambda u: let(
+    hit = F.when(F.col("line").contains("{"), let(F.from_json(tail, "url string")["url"], lambda u: let(
         parse_board_url(u), lambda b: F.when(b.isNotNull(), F.struct(u.alias("url"),
-                                                                     b.alias("board")))))
+                                                                     b.alias("board"))))))
     found = (
-        with_present(lines.filter(F.col("line").contains("{")), "__hit", hit)
+        with_present(lines, "__hit", hit)
         .withColumn("board", F.col("__hit.board")).withColumn("pos", F.lit(0).cast("bigint"))
     )
     return _output(found, F.col("board.slug"), "common_crawl", F.lit("cc-direct-cdx"),
@@ -203,7 +207,7 @@ def from_threads(threads: DataFrame, comments: DataFrame, now: Column,
     lines = kept.select(F.col("thread_id").cast("string").alias("doc"),
                         F.col("comment_no").cast("bigint").alias("line_no"),
                         strip_tags(F.col("comment_html")).alias("line"))
-    found = _exploded(lines.filter(mentions_board(F.col("line"))), F.col("line"), "thread")
+    found = _exploded(lines, F.col("line"), "thread")
     return _output(found, F.col("board.slug"), "hn",
                    F.concat(F.lit("whos-hiring:"), F.col("doc")))
 
@@ -214,7 +218,7 @@ def from_directory(directory: DataFrame) -> DataFrame:
                               for c in ("website", "long_description", "one_liner")])
     rows = directory.select("name", "batch", F.lit("directory").alias("doc"),
                             F.col("record_no").cast("bigint").alias("line_no"), text.alias("line"))
-    found = _exploded(rows.filter(mentions_board(F.col("line"))), F.col("line"), "text")
+    found = _exploded(rows, F.col("line"), "text")
     batch = F.coalesce(F.nullif("batch", F.lit("")), F.lit("unknown"))
     return _output(found, F.col("name"), "yc", F.concat(F.lit("yc:"), batch))
 
@@ -254,7 +258,7 @@ def from_fragments(fragments: DataFrame) -> DataFrame:
     lines = fragments.select(F.split("query", " ")[0].alias("doc"),
                              F.col("fragment_no").cast("bigint").alias("line_no"),
                              F.col("text").alias("line"))
-    found = _exploded(lines.filter(mentions_board(F.col("line"))), F.col("line"), "text")
+    found = _exploded(lines, F.col("line"), "text")
     return _output(found, F.col("board.slug"), "github",
                    F.concat(F.lit("code-search:"), F.col("doc")))
 
