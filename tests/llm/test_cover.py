@@ -175,3 +175,14 @@ def test_other_thresholds(spark, monkeypatch, threshold):
     monkeypatch.setattr(cover, "CELL", 40)
     rows = list(enumerate(crowd(4, 80, [50, 20, 50])))
     assert found(embedding_links(frame(spark, rows), threshold=threshold)) == brute(rows, threshold)
+
+
+def test_small_pairs_of_a_node_are_compared_at_once(monkeypatch):
+    """Spread vectors, where bounds drop little: comparisons by node, not by pair of nodes."""
+    x = np.random.default_rng(4).normal(size=(800, 32)).astype("<f4")
+    x[400:600] = x[:200] + 0.05 * x[200:400]
+    a, b = (sides(part, list(range(at, at + 400)), [1] * 400) for at, part in ((0, x[:400]), (400, x[400:])))
+    calls, pairs = [], Meeting._pairs
+    monkeypatch.setattr(Meeting, "_pairs", lambda self, *args: (calls.append(1), pairs(self, *args)))
+    meeting = Meeting(a, b, 0.9)
+    assert meeting.count_a.sum() == 200 and len(calls) <= len(a.start) + len(b.start)

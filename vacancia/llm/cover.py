@@ -297,7 +297,17 @@ class Meeting:
         whole = near & (apart + reach <= self.chord - SLACK)
         for i, j in zip(*np.nonzero(whole), strict=True):
             self._whole(int(left[i]), int(right[j]))
-        stack.extend((int(left[i]), int(right[j])) for i, j in zip(*np.nonzero(near & ~whole), strict=True))
+        near &= ~whole
+        # Small pairs are compared point by point: all those of a node at once.
+        sizes = (self.a.end[left] - self.a.start[left])[:, None] * (self.b.end[right] - self.b.start[right])[None, :]
+        few = near & (sizes <= FEW_PAIRS)
+        if within:
+            few &= left[:, None] != right[None, :]
+        for i in np.flatnonzero(few.any(axis=1)).tolist():
+            rows = np.arange(self.a.start[left[i]], self.a.end[left[i]])
+            cols = np.concatenate([np.arange(self.b.start[j], self.b.end[j]) for j in right[few[i]].tolist()])
+            self._pairs(rows, cols, self.a.x[rows] @ self.b.x[cols].T, True)
+        stack.extend((int(left[i]), int(right[j])) for i, j in zip(*np.nonzero(near & ~few), strict=True))
 
     def rows(self) -> Iterator[tuple[int, int, int]]:
         """``(0, point, count)`` of linked points and ``(1, point, point)`` of the forest."""
