@@ -186,3 +186,29 @@ def test_small_pairs_of_a_node_are_compared_at_once(monkeypatch):
     monkeypatch.setattr(Meeting, "_pairs", lambda self, *args: (calls.append(1), pairs(self, *args)))
     meeting = Meeting(a, b, 0.9)
     assert meeting.count_a.sum() == 200 and len(calls) <= len(a.start) + len(b.start)
+
+
+def test_estimates_do_not_grow_with_the_levels(spark, monkeypatch):
+    """The driver multiplies the planner's estimates: their digits are bounded, however many levels of nodes there are."""
+    monkeypatch.setattr(cover, "CELL", 24)
+    monkeypatch.setattr(cover, "FAN", 3)
+    rows = list(enumerate(crowd(9, 250, [150])))
+    levels, bits, assigned, descended = [], [], cover._assigned, cover._descended
+
+    def estimate(df):
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length()
+
+    def assign(rest, number, kind):
+        moved, centres = assigned(rest, number, kind)
+        levels.append(number)
+        bits.append(estimate(moved))
+        return moved, centres
+
+    def descend(*args):
+        pairs, whole = descended(*args)
+        bits.append(estimate(pairs))
+        return pairs, whole
+    monkeypatch.setattr(cover, "_assigned", assign)
+    monkeypatch.setattr(cover, "_descended", descend)
+    assert found(embedding_links(frame(spark, rows))) == brute(rows)
+    assert len(levels) >= 4 and max(bits) < 512

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacancia.llm.components import components
-from vacancia.session import reliable
+from vacancia.session import reliable, unsized
 
 THRESHOLD = 0.9
 #: Points of a cell, children of a node above it, and points dealt to their pivots at a time.
@@ -363,7 +363,7 @@ def _assigned(rest: DataFrame, number: int, kind: str) -> tuple[DataFrame, DataF
     fan = F.least(F.lit(FAN), F.ceil(F.col("size") * 2 / CELL)).cast("int")
     rest = rest.withColumn("bucket", F.pmod(F.xxhash64("p", F.lit(number)), fan).cast("int"))
     chosen = rest.groupBy("cell", "bucket").agg(F.min("p").alias("p"))
-    pivots = reliable(rest.select("p", "vec", "size", "hashed").join(chosen, "p"))
+    pivots = unsized(rest.select("p", "vec", "size", "hashed").join(chosen, "p"))
     stretches = F.ceil(F.col("size") / DEALT).cast("int")
     heads = pivots.groupBy("cell").agg(
         F.sort_array(F.collect_list(F.struct("bucket", "vec"))).alias("pivots"), F.first("hashed").alias("hashed"),
@@ -398,7 +398,7 @@ def _assigned(rest: DataFrame, number: int, kind: str) -> tuple[DataFrame, DataF
             yield pa.RecordBatch.from_arrays(
                 [part.column("p"), part.column("n"), part.column("vec"), pa.array(names), pa.array(dist)],
                 ["p", "n", "vec", "cell", "dist"])
-    moved = reliable(dealt.mapInArrow(assign, "p long, n long, vec binary, cell string, dist double"))
+    moved = unsized(dealt.mapInArrow(assign, "p long, n long, vec binary, cell string, dist double"))
     centres = pivots.select(F.concat_ws(".", "cell", F.col("bucket").cast("string")).alias("cell"), F.col("vec").alias("centre"))
     return moved, centres
 
@@ -425,13 +425,13 @@ def _cells(points: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
         sizes = now.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("p").alias("rep"),
                                         F.max("dist").alias("radius"))
         if before is None:
-            sizes = reliable(sizes.withColumn("hashed", F.lit(False)))
+            sizes = unsized(sizes.withColumn("hashed", F.lit(False)))
             nodes.append(sizes.select("cell", F.lit(None).cast("binary").alias("centre"), "radius", "size", "weight", "rep"))
         else:
             above = before.select(F.col("cell").alias("up"), F.col("size").alias("above"), F.col("hashed").alias("was"))
             sizes = sizes.join(above, _parent(F.col("cell")) == F.col("up"))
-            sizes = reliable(sizes.withColumn("hashed", F.col("was") | (F.col("size") > STUCK * F.col("above")))
-                             .drop("up", "above", "was"))
+            sizes = unsized(sizes.withColumn("hashed", F.col("was") | (F.col("size") > STUCK * F.col("above")))
+                            .drop("up", "above", "was"))
             nodes.append(sizes.join(centres, "cell").select("cell", "centre", "radius", "size", "weight", "rep"))
         marked = now.join(_sent(sizes.select("cell", "size", "hashed")), "cell")
         done.append(marked.filter(F.col("size") <= CELL).select("p", "n", "vec", "cell"))
@@ -490,7 +490,7 @@ def _descended(nodes: DataFrame, kind: str, threshold: float) -> tuple[DataFrame
     while not front.isEmpty():
         met = (front.join(lists.select(F.col("name").alias("a"), F.col("kids").alias("left")), "a")
                .join(lists.select(F.col("name").alias("b"), F.col("kids").alias("right")), "b"))
-        met = reliable(met.select("a", "b", "left", "right").mapInArrow(step, schema))
+        met = unsized(met.select("a", "b", "left", "right").mapInArrow(step, schema))
         all_linked = met.filter("whole").select("a", "b", "wa", "wb", "ra", "rb")
         whole = all_linked if whole is None else whole.unionByName(all_linked)
         ready = ready.unionByName(met.filter("not whole and not inner").select("a", "b"))

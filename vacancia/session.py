@@ -63,6 +63,19 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """``reliable``, without the planner's estimate of the size.
+
+    A checkpoint keeps the estimate of the plan that made it, and a join's is the
+    product of its sides'. Where each checkpoint of a loop joins what the last one gave,
+    the estimate is raised to a power at every turn, up to numbers of millions of
+    digits that the driver multiplies and keeps. Here every turn starts from Spark's
+    estimate for an unknown table; the sizes measured as the plan runs choose the joins.
+    """
+    spark, kept = df.sparkSession, reliable(df)._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(kept.toJavaRDD(), kept.schema()), spark)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Spread a table that has fewer splits than the session has cores.
 
