@@ -212,3 +212,26 @@ def test_estimates_do_not_grow_with_the_levels(spark, monkeypatch):
     monkeypatch.setattr(cover, "_descended", descend)
     assert found(embedding_links(frame(spark, rows))) == brute(rows)
     assert len(levels) >= 4 and max(bits) < 512
+
+
+def test_cells_are_sent_once_a_block(spark):
+    """All cells meet all: each is sent once for each block, and each meeting is made in one tile that holds both."""
+    names = [f"8.{k}" for k in range(40)]
+    pairs = [(names[i], names[j]) for i in range(40) for j in range(i + 1)]
+    sent = cover._tiles(spark.createDataFrame(pairs, "a string, b string"), 5).collect()
+    assert len(sent) <= 40 * (5 + 1) and {r["tile"] for r in sent} == set(range(15))
+    held = {(r["tile"], r["cell"]) for r in sent if r["role"] == 0}
+    met = [(r["tile"], p, r["cell"]) for r in sent if r["role"] == 1 for p in r["partners"]]
+    assert all((tile, p) in held for tile, p, _ in met)
+    assert sorted(tuple(sorted(m[1:])) for m in met) == sorted(tuple(sorted(p)) for p in pairs)
+
+
+@pytest.mark.parametrize("block, tiles", [(2_000, 4), (40_000, 1), (16_000_000, 1)])
+def test_blocks_of_any_size(spark, monkeypatch, block, tiles):
+    monkeypatch.setattr(cover, "CELL", 40)
+    monkeypatch.setattr(cover, "BLOCK", block)
+    monkeypatch.setattr(cover, "TILES", tiles)
+    monkeypatch.setattr(cover, "MOST_TASKS", 7)
+    monkeypatch.setattr(cover, "PAIRS", 3)
+    rows = list(enumerate(crowd(6, 90, [60, 30])))
+    assert found(embedding_links(frame(spark, rows))) == brute(rows)

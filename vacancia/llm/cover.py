@@ -32,8 +32,10 @@ from vacancia.session import reliable, unsized
 THRESHOLD = 0.9
 #: Points of a cell, children of a node above it, and points dealt to their pivots at a time.
 CELL, FAN, DEALT = 2048, 64, 8192
-#: Cover trees that a cell meets in one task, one after the other.
-PARTNERS = 8
+#: Bytes of cover trees that a task holds, to meet others one after the other; tiles of meetings a core; tasks at most.
+BLOCK, TILES, MOST_TASKS = 16_000_000, 4, 10_000
+#: Pairs of nodes whose children meet in one task.
+PAIRS = 512
 #: Bounds on chords are used only beyond this distance, well above their rounding errors.
 SLACK = 1e-6
 #: Cosines this close to the threshold are worked out again, component by component.
@@ -465,32 +467,37 @@ def _descended(nodes: DataFrame, kind: str, threshold: float) -> tuple[DataFrame
         import pyarrow as pa
 
         for batch in batches:
-            out = []
+            sides = [(column.offsets.to_pylist(), column.values) for column in (batch.column("left"), batch.column("right"))]
+            radii = [values.field("radius").to_numpy(zero_copy_only=False) for _, values in sides]
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            met, whole = ([np.empty(0, np.int64)], [np.empty(0, np.int64)]), [np.empty(0, bool)]
             for k in range(batch.num_rows):
-                a, b, left, right = (batch.column(c)[k].as_py() for c in ("a", "b", "left", "right"))
-                x, y = (units([m["centre"] for m in side], kind) for side in (left, right))
+                (s, e), (u, v) = ((at[k], at[k + 1]) for at, _ in sides)
+                x, y = (units(values.field("centre")[at[k]:at[k + 1]].to_pylist(), kind) for at, values in sides)
                 apart = np.sqrt(np.maximum(2 - 2 * (x @ y.T), 0))
-                reach = np.array([m["radius"] for m in left])[:, None] + np.array([m["radius"] for m in right])[None, :]
+                reach = radii[0][s:e][:, None] + radii[1][u:v][None, :]
                 near = apart <= reach + chord + SLACK
-                if a == b:
+                if a[k] == b[k]:
                     near = np.triu(near)
-                whole = near & (apart + reach <= chord - SLACK)
-                for i, j in zip(*np.nonzero(near), strict=True):
-                    p, q = left[i], right[j]
-                    out.append({"a": p["cell"], "b": q["cell"], "whole": bool(whole[i, j]),
-                                "inner": max(p["size"], q["size"]) > CELL, "wa": p["weight"], "wb": q["weight"],
-                                "ra": p["rep"], "rb": q["rep"]})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([
-                ("a", pa.string()), ("b", pa.string()), ("whole", pa.bool_()), ("inner", pa.bool_()),
-                ("wa", pa.int64()), ("wb", pa.int64()), ("ra", pa.int64()), ("rb", pa.int64())]))
+                i, j = np.nonzero(near)
+                met[0].append(i + s)
+                met[1].append(j + u)
+                whole.append((apart + reach <= chord - SLACK)[i, j])
+            p, q = (values.take(pa.array(np.concatenate(m))) for (_, values), m in zip(sides, met, strict=True))
+            inner = np.maximum(*(m.field("size").to_numpy(zero_copy_only=False) for m in (p, q))) > CELL
+            yield pa.RecordBatch.from_arrays(
+                [p.field("cell"), q.field("cell"), pa.array(np.concatenate(whole)), pa.array(inner),
+                 p.field("weight"), q.field("weight"), p.field("rep"), q.field("rep")],
+                ["a", "b", "whole", "inner", "wa", "wb", "ra", "rb"])
     roots = nodes.filter(F.col("centre").isNull())
     ready = roots.filter(F.col("size") <= CELL).select(F.col("cell").alias("a"), F.col("cell").alias("b"))
     whole = None
     front = roots.filter(F.col("size") > CELL).select(F.col("cell").alias("a"), F.col("cell").alias("b"))
-    while not front.isEmpty():
+    while pairs := front.count():
         met = (front.join(lists.select(F.col("name").alias("a"), F.col("kids").alias("left")), "a")
                .join(lists.select(F.col("name").alias("b"), F.col("kids").alias("right")), "b"))
-        met = unsized(met.select("a", "b", "left", "right").mapInArrow(step, schema))
+        met = met.select("a", "b", "left", "right").repartition(math.ceil(pairs / PAIRS))
+        met = unsized(met.mapInArrow(step, schema))
         all_linked = met.filter("whole").select("a", "b", "wa", "wb", "ra", "rb")
         whole = all_linked if whole is None else whole.unionByName(all_linked)
         ready = ready.unionByName(met.filter("not whole and not inner").select("a", "b"))
@@ -524,29 +531,57 @@ def _trees(cells: DataFrame, kind: str) -> DataFrame:
     return reliable(dealt.mapInArrow(build, "cell string, points binary, weights binary, vectors binary, nodes binary, radii binary"))
 
 
+def _tiles(pairs: DataFrame, blocks: int) -> DataFrame:
+    """What each task gets to make the meetings ``a, b``: ``tile, role, cell, partners``.
+
+    Cells are dealt to blocks, and the meetings between two blocks are a tile. It needs the cells of one
+    block (role 0), to hold, and then those of the other (role 1), each with the held cells that it meets.
+    """
+    numbered = pairs.select("a", "b", *[F.pmod(F.xxhash64(c), F.lit(blocks)).alias(f"of_{c}") for c in ("a", "b")])
+    low, high, turned = F.least("of_a", "of_b"), F.greatest("of_a", "of_b"), F.col("of_a") > F.col("of_b")
+    dealt = numbered.select((F.floor(high * (high + 1) / 2) + low).alias("tile"),
+                            F.when(turned, F.col("b")).otherwise(F.col("a")).alias("held"),
+                            F.when(turned, F.col("a")).otherwise(F.col("b")).alias("cell"))
+    held = dealt.select("tile", F.lit(0).alias("role"), F.col("held").alias("cell"),
+                        F.lit(None).cast("array<string>").alias("partners")).distinct()
+    return held.unionByName(dealt.groupBy("tile", "cell").agg(F.collect_list("held").alias("partners"))
+                            .select("tile", F.lit(1).alias("role"), "cell", "partners"))
+
+
 def _met(pairs: DataFrame, trees: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """The rows of all meetings: ``what, x, y``. A cell's tree is sent once per ``PARTNERS`` trees that it meets."""
-    several = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
-    dealt = pairs.join(several, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-    sides = (dealt.select("a", "part").distinct().select("a", "part", F.lit(0).alias("role"), F.col("a").alias("cell"))
-             .unionByName(dealt.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("cell"))))
-    rows = sides.join(trees, "cell").repartition("a", "part").sortWithinPartitions("a", "part", "role", "cell")
+    """The rows of all meetings: ``what, x, y``.
+
+    A cell's tree is sent once per block of bounded size that it has to meet, not once per cell. There are a
+    few tiles a core at least, where there are as many cells.
+    """
+    stored = trees.agg(F.count(F.lit(1)).alias("cells"), F.sum(sum(
+        F.octet_length(c) for c in ("points", "weights", "vectors", "nodes", "radii"))).alias("bytes")).first()
+    cores = pairs.sparkSession.sparkContext.defaultParallelism
+    blocks = max(math.ceil((stored["bytes"] or 0) / BLOCK), math.isqrt(2 * TILES * cores))
+    blocks = max(1, min(blocks, stored["cells"]))
+    tasks = min(blocks * (blocks + 1) // 2, MOST_TASKS)
+    rows = (_tiles(pairs, blocks).join(trees, "cell").repartitionById(tasks, F.pmod("tile", F.lit(tasks)).cast("int"))
+            .sortWithinPartitions("tile", "role", "cell"))
 
     def meet(batches):
         import pyarrow as pa
 
         schema = pa.schema([("what", pa.int32()), ("x", pa.int64()), ("y", pa.int64())])
-        now, head = None, None
+        now, held = None, {}
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-                if (row["a"], row["part"]) != now:
-                    now, head = (row["a"], row["part"]), Side.read(row, kind)
+                if row["tile"] != now:
+                    now, held = row["tile"], {}
+                if row["partners"] is None:
+                    held[row["cell"]] = Side.read(row, kind)
                     continue
-                other = None if row["cell"] == row["a"] else Side.read(row, kind)
-                found = list(Meeting(head, other, threshold).rows())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(
-                    zip(*found, strict=True) if found else ([], [], []), schema, strict=True)], schema=schema)
+                other = Side.read(row, kind)
+                found = [r for name in row["partners"]
+                         for r in Meeting(held[name], None if name == row["cell"] else other, threshold).rows()]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(
+                        zip(*found, strict=True), schema, strict=True)], schema=schema)
     return reliable(rows.mapInArrow(meet, "what int, x long, y long"))
 
 
