@@ -560,7 +560,8 @@ def _met(pairs: DataFrame, trees: DataFrame, kind: str, threshold: float) -> Dat
     blocks = max(math.ceil((stored["bytes"] or 0) / BLOCK), math.isqrt(2 * TILES * cores))
     blocks = max(1, min(blocks, stored["cells"]))
     tasks = min(blocks * (blocks + 1) // 2, MOST_TASKS)
-    rows = (_tiles(pairs, blocks).join(trees, "cell").repartitionById(tasks, F.pmod("tile", F.lit(tasks)).cast("int"))
+    # The levels have left many small parts: a tile's share of the pairs is read at once.
+    rows = (_tiles(pairs.coalesce(tasks), blocks).join(trees, "cell").repartitionById(tasks, F.pmod("tile", F.lit(tasks)).cast("int"))
             .sortWithinPartitions("tile", "role", "cell"))
 
     def meet(batches):
